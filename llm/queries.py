@@ -13,19 +13,31 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark, sf_dir):
     from llm.wordpiece_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    from llm.pieces import encode_and_decode, token_digests
+
+    return token_digests(encode_and_decode(table(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark, sf_dir):
     from llm.line_dedup import fuzzy_line_groups
 
     return fuzzy_line_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_token_counts, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op7_token_counts, op8_sentencepiece, op10_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
