@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from llm.common import table
 
 
+def op1_mixing(spark, sf_dir):
+    from llm.mixing import mix
+
+    weights = {("domain0",): 3.0, ("domain1",): 2.0, ("domain0", "en"): 2.0, ("domain1", "de"): 3.0}
+    return mix(table(spark, sf_dir, "documents"), fraction=0.6, weights=weights, max_epochs=2)
+
+
 def op2_exact_dedup(spark, sf_dir):
     from llm.exact_dedup import exact_groups
 
@@ -31,13 +38,26 @@ def op8_sentencepiece(spark, sf_dir):
     return token_digests(encode_and_decode(table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    from llm.ngram_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_line_dedup(spark, sf_dir):
     from llm.line_dedup import fuzzy_line_groups
 
     return fuzzy_line_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op7_token_counts, op8_sentencepiece, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_exact_dedup, op4_toxicity, op7_token_counts, op8_sentencepiece, op9_ngram_jaccard, op10_line_dedup, pipeline)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
