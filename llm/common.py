@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return spark.read.parquet(path)
+
+
+class Forest:
+    """Union of the rows of a tile; keeps one link for each two trees that it joins."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.parent[i], self.parent[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            low = np.minimum(a, b)[at]
+            self.links.append((high, low))
+            self.parent[high] = low
+            while not np.array_equal(up := self.parent[self.parent], self.parent):
+                self.parent = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row pairs of a spanning forest (roots stand for their trees)."""
+        if not self.links:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*self.links, strict=True))

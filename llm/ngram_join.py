@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import components, cut
+from llm.common import Forest, components, cut
 
 BANDS, ROWS, STEP = 28, 5, 20
 HASHES = BANDS * ROWS
@@ -245,30 +245,19 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
         sets = [shingles(x or "", words, memo) for x in t["text"].to_pylist()]
         length = np.array([len(s) for s in sets])
         ids, size = t["id"].to_numpy(), t["size"].to_numpy()
-        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        a, b = [], []
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         for i, j in _blocks(sig, n, same, least):
             both = intersections(i, j, sets, sets)
             ok = both >= threshold * (length[i] + length[j] - both) - 1e-9
             i, j = i[ok], j[ok]
             np.add.at(links, i, size[j])
             np.add.at(links, j, size[i])
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if (rx := root(x)) != (ry := root(y)):
-                    parent[ry] = rx
-                    a.append(ids[x])
-                    b.append(ids[y])
+            forest.join(i, j)
+        a, b = forest.edges()
         some = np.flatnonzero(links)
         return pa.table({
-            "a": pa.array(np.concatenate([ids[some], np.array(a, np.int64)]), pa.int64()),
-            "b": pa.array([None] * len(some) + [int(x) for x in b], pa.int64()),
+            "a": pa.array(np.concatenate([ids[some], ids[a]]), pa.int64()),
+            "b": pa.array([None] * len(some) + ids[b].tolist(), pa.int64()),
             "links": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]), pa.int64())})
 
     found = cut(alive.join(texts, "id").groupBy("pair").applyInArrow(verify, "a long, b long, links long"), "links")

@@ -20,12 +20,30 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark, sf_dir):
+    from llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark, sf_dir):
     from llm.toxicity import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark, sf_dir):
+    from llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_vector_dedup(spark, sf_dir):
+    from llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark, sf_dir):
     from llm.wordpiece_count import token_counts
 
@@ -57,7 +75,8 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mixing, op2_exact_dedup, op4_toxicity, op7_token_counts, op8_sentencepiece, op9_ngram_jaccard, op10_line_dedup, pipeline)}
+    op1_mixing, op2_exact_dedup, op3_url_filter, op4_toxicity, op5_html_text, op6_vector_dedup, op7_token_counts,
+    op8_sentencepiece, op9_ngram_jaccard, op10_line_dedup, pipeline)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
