@@ -77,7 +77,7 @@ def _collapse(batches):
         yield from out.to_batches()
 
 
-def build_index(docs: DataFrame, max_bits: int = 10, capacity: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(index, entries): the index's rows as read from its files, and every document's key.
 
     index(key, chain, keep_id, group_size, text_sha256) has one row per distinct
