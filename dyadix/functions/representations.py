@@ -13,27 +13,31 @@ def raw(x: Column) -> Column:
     return x.cast("array<double>")
 
 
-def difference(x: Column) -> Column:
-    """First difference, one point shorter."""
-    return F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.get(x, i) - F.get(x, i - 1))
+def once(value: Column, f) -> Column:
+    """f(value) with the value computed once a row: a lambda's argument is bound, an expression is computed at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def diff1_smooth(x: Column) -> Column:
-    """First difference under a moving mean of five, its ends repeated."""
-    d = difference(raw(x))
-    last = F.size(x) - 2
+    """First difference under a moving mean of five, its ends repeated; one point shorter."""
 
-    def mean(i: Column) -> Column:
-        at = [F.get(d, F.least(F.greatest(i + k, F.lit(0)), last)) for k in (-2, -1, 0, 1, 2)]
-        return sum(at[1:], at[0]) / 5
+    def smooth(y: Column) -> Column:
+        last = F.size(y) - 2
 
-    return F.transform(F.sequence(F.lit(0), last), mean)
+        def mean(i: Column) -> Column:
+            at = [F.least(F.greatest(i + k, F.lit(0)), last) for k in (-2, -1, 0, 1, 2)]
+            steps = [F.get(y, k + 1) - F.get(y, k) for k in at]
+            return sum(steps[1:], steps[0]) / 5
+
+        return F.transform(F.sequence(F.lit(0), last), mean)
+
+    return once(raw(x), smooth)
 
 
 def diff2(x: Column) -> Column:
     """Difference of the difference, two points shorter."""
-    y = raw(x)
-    return F.transform(F.sequence(F.lit(2), F.size(y) - 1), lambda i: (F.get(y, i) - F.get(y, i - 1)) - (F.get(y, i - 1) - F.get(y, i - 2)))
+    return once(raw(x), lambda y: F.transform(
+        F.sequence(F.lit(2), F.size(y) - 1), lambda i: (F.get(y, i) - F.get(y, i - 1)) - (F.get(y, i - 1) - F.get(y, i - 2))))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -51,13 +55,12 @@ def fft_abs(x: pd.Series) -> pd.Series:
 
 def fft_abs_sql(x: Column, length: int) -> Column:
     """The same by the defining sums, for plans without Python: O(length squared)."""
-    y = raw(x)
     points = F.sequence(F.lit(0), F.lit(length - 1))
 
-    def part(k: Column, wave) -> Column:
+    def part(y: Column, k: Column, wave) -> Column:
         return F.aggregate(points, F.lit(0.0), lambda acc, t: acc + F.get(y, t) * wave(F.lit(2 * np.pi / length) * ((k * t) % length)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(length // 2)), lambda k: F.hypot(part(k, F.cos), part(k, F.sin)))
+    return once(raw(x), lambda y: F.transform(F.sequence(F.lit(0), F.lit(length // 2)), lambda k: F.hypot(part(y, k, F.cos), part(y, k, F.sin))))
 
 
 COLUMNS = {"raw": raw, "diff1_smooth": diff1_smooth, "diff2": diff2, "fft_abs": fft_abs}

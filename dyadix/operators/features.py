@@ -97,7 +97,10 @@ def _rowwise(y: Column, n: int, mode: str, depth: int, div: int) -> Column:
     """The features of one representation as array expressions over literal layout arrays."""
     ivs, fs = intervals(n, depth), features(n, depth, div)
     start, width = F.lit([iv.start + 1 for iv in ivs]), F.lit([iv.width for iv in ivs])
-    parts = F.transform(F.sequence(F.lit(0), F.lit(len(ivs) - 1)), lambda i: _interval(F.slice(y, F.get(start, i), F.get(width, i)), mode))
+
+    def parts(series: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(ivs) - 1)), lambda i: _interval(F.slice(series, F.get(start, i), F.get(width, i)), mode))
+
     lit = lambda values: F.lit(list(values))
     at, centered = lit(f.interval_id for f in fs), lit(float(f.centered) for f in fs)
     if mode == "exact":
@@ -105,8 +108,7 @@ def _rowwise(y: Column, n: int, mode: str, depth: int, div: int) -> Column:
         low, rest = lit(int(p) for p in place), lit(p - int(p) for p in place)
         high = lit(min(int(p) + 1, f.width - 1) for p, f in zip(place, fs, strict=True))
 
-        def value(k: Column) -> Column:
-            iv = F.get(F.col("__parts"), F.get(at, k))
+        def value(k: Column, iv: Column) -> Column:
             a, b, r = F.get(iv["ordered"], F.get(low, k)), F.get(iv["ordered"], F.get(high, k)), F.get(rest, k)
             return F.when(r >= 0.5, b - (b - a) * (1 - r)).otherwise(a + (b - a) * r) - F.get(centered, k) * iv["mean"]
     else:
@@ -114,29 +116,35 @@ def _rowwise(y: Column, n: int, mode: str, depth: int, div: int) -> Column:
         t = [lit(x[i] for x in terms) for i in range(4)]
         how = lit(0 if f.kind == 0 else 3 if approximated(f) else 2 if f.k else 1 for f in fs)
 
-        def value(k: Column) -> Column:
-            iv, h = F.get(F.col("__parts"), F.get(at, k)), F.get(how, k)
+        def value(k: Column, iv: Column) -> Column:
+            h = F.get(how, k)
             cf = iv["mean"] + F.sqrt(F.greatest(iv["var"], F.lit(0.0))) * (
                 F.get(t[0], k) + F.get(t[1], k) * iv["skew"] + F.get(t[2], k) * iv["kurt"] - F.get(t[3], k) * iv["skew"] * iv["skew"])
             return F.when(h == 0, iv["mean"]).when(h == 1, iv["low"]).when(h == 2, iv["high"]).otherwise(cf) - F.get(centered, k) * iv["mean"]
 
-    return parts, F.transform(F.sequence(F.lit(0), F.lit(len(fs) - 1)), value)
+    every = F.sequence(F.lit(0), F.lit(len(fs) - 1))
+    return R.once(y, lambda s: R.once(parts(s), lambda p: F.transform(every, lambda k: R.once(F.get(p, F.get(at, k)), lambda iv: value(k, iv)))))
 
 
 def _interval(part: Column, mode: str) -> Column:
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    mean = total(part) / F.size(part)
     if mode == "exact":
-        return F.struct(F.sort_array(part).alias("ordered"), mean.alias("mean"))
-    # the centre is bound once by transforming an array of it
-    one = F.transform(F.array(F.struct(mean.alias("mean"))), lambda s: F.struct(
-        s["mean"].alias("mean"),
-        *[(total(F.transform(part, lambda v, p=p: F.pow(v - s["mean"], F.lit(p)))) / F.size(part)).alias(f"m{p}") for p in (2, 3, 4)]))
-    m = F.get(one, F.lit(0))
-    return F.struct(
+        return R.once(part, lambda p: F.struct(F.sort_array(p).alias("ordered"), (total(p) / F.size(p)).alias("mean")))
+
+    def moments(p: Column, c: Column) -> Column:
+        def add(acc: Column, v: Column) -> Column:
+            d = v - c
+            return F.struct((acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4"))
+
+        n = F.size(p)
+        zero = F.struct(*[F.lit(0.0).alias(f"m{k}") for k in (2, 3, 4)])
+        return F.aggregate(p, zero, add, lambda a: F.struct(
+            c.alias("mean"), (a["m2"] / n).alias("m2"), (a["m3"] / n).alias("m3"), (a["m4"] / n).alias("m4"), F.array_min(p).alias("low"), F.array_max(p).alias("high")))
+
+    return R.once(R.once(part, lambda p: R.once(total(p) / F.size(p), lambda c: moments(p, c))), lambda m: F.struct(
         m["mean"].alias("mean"), m["m2"].alias("var"),
         (m["m3"] / (F.pow(F.sqrt(F.greatest(m["m2"], F.lit(FLOOR))), F.lit(3)) + FLOOR)).alias("skew"),
-        (m["m4"] / (m["m2"] * m["m2"] + FLOOR) - 3).alias("kurt"), F.array_min(part).alias("low"), F.array_max(part).alias("high"))
+        (m["m4"] / (m["m2"] * m["m2"] + FLOOR) - 3).alias("kurt"), m["low"].alias("low"), m["high"].alias("high")))
 
 
 def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode: str = "exact", names: tuple[str, ...] = REPRESENTATIONS,
@@ -154,9 +162,7 @@ def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode:
     out = df.select(*key, F.col(x).alias("__x"))
     for name in names:
         y = R.fft_abs_sql(F.col("__x"), length) if name == "fft_abs" else R.COLUMNS[name](F.col("__x"))
-        out = out.withColumn("__y", y)
-        parts, values = _rowwise(F.col("__y"), lengths[name], mode, depth, div)
-        out = out.withColumn("__parts", parts).withColumn(f"__{name}", values)
+        out = out.withColumn(f"__{name}", _rowwise(y, lengths[name], mode, depth, div))
     return out.select(*key, F.concat(*[F.col(f"__{n}") for n in names]).alias("features"))
 
 

@@ -227,25 +227,25 @@ def moments_raw(spark, sf_dir):
 
 
 EVENTS_SQL = """ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, value,
-      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 1e6 AS gap FROM events),
-    both AS (SELECT user_id, list(value ORDER BY r) AS v, list(gap ORDER BY r) AS g FROM ev WHERE r <= 32 GROUP BY user_id HAVING count(*) = 32)"""
+      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3.6e9 AS gap FROM events),
+    pair AS (SELECT user_id, list(value ORDER BY r) AS v, list(gap ORDER BY r) AS g FROM ev WHERE r <= 32 GROUP BY user_id HAVING count(*) = 32)"""
 
 
 def event_series(spark, sf_dir):
-    """(user_id, channel, x): the first 32 values of each user and the seconds between them."""
+    """(user_id, channel, x): the first 32 values of each user and the hours between them."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6, F.lit(0.0))
+    gap = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 3.6e9, F.lit(0.0))
     ev = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("r"), "value", gap.alias("gap")).where("r <= 32")
     both = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("r", "value", "gap"))).alias("p")).where("size(p) = 32")
     return both.select("user_id", F.posexplode(F.array(F.transform("p", lambda s: s["value"]), F.transform("p", lambda s: s["gap"]))).alias("channel", "x"))
 
 
 def _two_channels_sql(mode):
-    src = "series AS (SELECT user_id * 2 AS id, v AS x FROM both UNION ALL SELECT user_id * 2 + 1, g FROM both)"
-    inner = features_sql("id", f"{EVENTS_SQL}, {src}", 32, "raw", mode, digits=9).replace("WITH ", "", 1)
+    src = "series AS (SELECT user_id * 2 AS id, v AS x FROM pair UNION ALL SELECT user_id * 2 + 1, g FROM pair)"
+    inner = features_sql("id", f"{EVENTS_SQL}, {src}", 32, "raw", mode, digits=15).replace("WITH ", "", 1)
     cut = inner.rindex("SELECT id, feature_idx")
     return f"""WITH {inner[:cut]} , res AS ({inner[cut:]})
-      SELECT id // 2 AS user_id, row_number() OVER (PARTITION BY id // 2 ORDER BY interval_id, id % 2, k) - 1 AS feature_idx, round(value, 4) + 0.0 AS value
+      SELECT id // 2 AS user_id, row_number() OVER (PARTITION BY id // 2 ORDER BY interval_id, id % 2, k) - 1 AS feature_idx, round(value, 7) + 0.0 AS value
       FROM res JOIN ft USING (feature_idx)"""
 
 
@@ -253,7 +253,7 @@ def _events(mode):
     def run(spark, sf_dir):
         df = X.interval_features(event_series(spark, sf_dir), ["user_id", "channel"], "x", 32, mode, ("raw",))
         joined = X.join_channels(df, "user_id", "channel", 32, ("raw",))
-        return X.as_rows(joined, ["user_id"], 4).select("user_id", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
+        return X.as_rows(joined, ["user_id"], 7).select("user_id", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
 
     run.__name__ = f"{mode}_events_two_channel"
     query(_two_channels_sql(mode).replace(" , res", ", res"))(run)
