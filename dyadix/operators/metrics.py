@@ -43,10 +43,10 @@ def roc_auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
 
 def roc_auc_ovr(df: DataFrame, keys: list[str], n_classes: int, y: str = "y", proba: str = "proba") -> DataFrame:
     """One class against the rest, weighted by prevalence."""
-    each = df.select(*keys, y, F.posexplode(proba).alias("k", "p")).select(*keys, "k", (F.col(y) == F.col("k")).cast("int").alias("hit"), "p")
-    auc = roc_auc(each, [*keys, "k"], "hit", "p")
-    count = df.groupBy(*keys, F.col(y).cast("int").alias("k")).agg(F.count("*").alias("w"))
-    return auc.join(count, [*keys, "k"]).groupBy(*keys).agg((F.sum(F.col("roc_auc") * F.col("w")) / F.sum("w")).alias("roc_auc"))
+    each = df.select(*keys, y, F.posexplode(proba).alias("klass", "p")).select(*keys, "klass", (F.col(y) == F.col("klass")).cast("int").alias("hit"), "p")
+    auc = roc_auc(each, [*keys, "klass"], "hit", "p")
+    count = df.groupBy(*keys, F.col(y).cast("int").alias("klass")).agg(F.count("*").alias("w"))
+    return auc.join(count, [*keys, "klass"]).groupBy(*keys).agg((F.sum(F.col("roc_auc") * F.col("w")) / F.sum("w")).alias("roc_auc"))
 
 
 def minority_class(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
@@ -55,12 +55,12 @@ def minority_class(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
 
 
 def f1_per_class(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
-    """(keys, k, support, f1): confusion counts first, so the rest works on classes."""
+    """(keys, klass, support, f1): confusion counts first, so the rest works on classes."""
     counts = df.groupBy(*keys, y, pred).agg(F.count("*").alias("n"))
     sides = counts.select(*keys, F.explode(F.array(
-        F.struct(F.col(y).alias("k"), F.when(F.col(y) == F.col(pred), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said")),
-        F.struct(F.col(pred).alias("k"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said")))).alias("s")).select(*keys, "s.*")
-    return sides.groupBy(*keys, "k").agg(F.sum("is").alias("support"), F.coalesce(
+        F.struct(F.col(y).alias("klass"), F.when(F.col(y) == F.col(pred), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said")),
+        F.struct(F.col(pred).alias("klass"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said")))).alias("s")).select(*keys, "s.*")
+    return sides.groupBy(*keys, "klass").agg(F.sum("is").alias("support"), F.coalesce(
         2 * F.sum("tp") / F.nullif(F.sum("is") + F.sum("said"), F.lit(0)), F.lit(0.0)).alias("f1"))
 
 
@@ -68,7 +68,7 @@ def f1(df: DataFrame, keys: list[str], n_classes: int, y: str = "y", pred: str =
     """Two classes: of the rarer one; more: weighted by support."""
     per = f1_per_class(df, keys, y, pred)
     if n_classes == 2:
-        return per.where("support > 0").groupBy(*keys).agg(F.min_by("f1", F.struct("support", "k")).alias("f1"))
+        return per.where("support > 0").groupBy(*keys).agg(F.min_by("f1", F.struct("support", "klass")).alias("f1"))
     return per.groupBy(*keys).agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"))
 
 

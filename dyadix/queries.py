@@ -227,14 +227,14 @@ def moments_raw(spark, sf_dir):
 
 
 EVENTS_SQL = """ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, value,
-      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3.6e9 AS gap FROM events),
+      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3141592653.59 AS gap FROM events),
     pair AS (SELECT user_id, list(value ORDER BY r) AS v, list(gap ORDER BY r) AS g FROM ev WHERE r <= 32 GROUP BY user_id HAVING count(*) = 32)"""
 
 
 def event_series(spark, sf_dir):
-    """(user_id, channel, x): the first 32 values of each user and the hours between them."""
+    """(user_id, channel, x): the first 32 values of each user and the time between them, in a unit that makes no decimal ties when rounded."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 3.6e9, F.lit(0.0))
+    gap = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 3141592653.59, F.lit(0.0))
     ev = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("r"), "value", gap.alias("gap")).where("r <= 32")
     both = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("r", "value", "gap"))).alias("p")).where("size(p) = 32")
     return both.select("user_id", F.posexplode(F.array(F.transform("p", lambda s: s["value"]), F.transform("p", lambda s: s["gap"]))).alias("channel", "x"))
