@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from math import log, log2
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -109,16 +110,26 @@ def fit_tree(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int
             fit_tree(x[~side], gradient[~side], weight[~side], depth - 1, least, ridge))
 
 
-def train(urls: list[str], labels: list[int], rounds: int = 40, depth: int = 3, rate: float = 0.2, least: int = 4) -> Model:
-    """Boosted trees by logistic loss; suffix statistics are smoothed log odds of the training urls' suffixes."""
-    y = np.array(labels, float)
+def suffix_statistics(urls: list[str], labels: np.ndarray) -> dict[str, float]:
+    """Smoothed log odds of the last one and two host labels that occur at least three times."""
     count: dict[str, list[int]] = {}
     for u, label in zip(urls, labels, strict=True):
         for s in set(suffixes(PARTS(u)[1])):
             count.setdefault(s, [0, 0])[int(label)] += 1
-    stats = {s: log((c[1] + 2) / (c[0] + 2)) for s, c in count.items() if sum(c) >= 3}
-    model = Model(stats, log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    x = np.array([features(u, stats) for u in urls])
+    return {s: log((c[1] + 2) / (c[0] + 2)) for s, c in count.items() if sum(c) >= 3}
+
+
+def train(urls: list[str], labels: list[int], rounds: int = 40, depth: int = 3, rate: float = 0.2, least: int = 4) -> Model:
+    """Boosted trees by logistic loss; suffix statistics are smoothed log odds of the training urls' suffixes."""
+    y = np.array(labels, float)
+    # a training url's statistics come from other registered domains, else the trees would learn those by heart
+    fold = np.array([crc32(suffixes(PARTS(u)[1])[1].encode()) % 5 for u in urls])
+    x = np.zeros((len(urls), len(FEATURES)))
+    for k in range(5):
+        others = suffix_statistics([u for u, f in zip(urls, fold, strict=True) if f != k], y[fold != k])
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(urls[i], others)
+    model = Model(suffix_statistics(urls, y), log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     z = np.full(len(y), model.start)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
@@ -134,17 +145,17 @@ def _scaled(tree, rate: float):
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The default training table, by rule: ordinary hosts and paths, and the shapes that spam and tracking urls take."""
-    plain = "library garden weather history museum recipes cycling harbour physics village forest letters"
-    spam = "win-cash cheap-watches best-loans-4u free-spins hot-dates click-track pills-shop ad-server99 x-videos bonus-codes seo-links promo-deals"
+    plain = "library garden weather history museum old-town cycling harbour physics village forest city-news"
+    spam = "win-cash cheapwatches99 best-loans-4u free-spins hotdates247 click-track pills-shop ad-server99 x-videos bonuscodes777 seo-links promo-deals"
     out = []
     for k, (good, bad) in enumerate(zip(plain.split(), spam.split(), strict=True)):
         tail = ("com", "org", "net")[k % 3]
         for front in ("", "www.", "blog."):
-            out += [(f"https://{front}{good}.{tail}/", 0), (f"https://{front}{good}.{tail}/en/{k}1/{good}.html", 0),
-                    (f"http://{front}{good}.{tail}/de/{7 * k}?page=2&ref=x", 0), (f"https://{front}{good}.{tail}/es/{k}05#top", 0),
-                    (f"http://{front}{bad}.{tail}/", 1), (f"https://{front}{bad}.{tail}/en/{k}3?utm_source=feed", 1),
-                    (f"http://{front}{bad}.{tail}/{10 ** 6 + 7919 * k}/?id={31337 * (k + 1)}&aff={k}&click=1&r=%2Fgo", 1),
-                    (f"https://{front}{bad}.{tail}/de/{k}4.html", 1)]
+            # both kinds have the same ordinary paths
+            for path in ("/", f"/en/{k}1.html", f"/de/{7 * k}3?page=2&ref=x", f"/fr/{k}05#top", f"/es/{k}6?utm_source=feed", f"/en/{9 * k}2/"):
+                out += [(f"http{'s' * (k % 2)}://{front}{host}.{tail}{path}", label) for host, label in ((good, 0), (bad, 1))[::1 - 2 * (len(path) % 2)]]
+            # an ordinary host under a tracking path, and a bare number for a host
+            out += [(f"http://{front}{good}.{tail}/r/{10 ** 7 + 977 * k}/?u=%2F{k}&id={99991 * (k + 1)}&aff={k}&sid={k}7&click=1", 1), (f"http://10.{k}.{7 * k}.{13 * k}/{k}/x.php?id={k}", 1)]
     return out
 
 
