@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import erf, exp, lgamma, log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadix.operators.prefix import running_before
+
 EPS = 2.220446049250313e-16
 
 
@@ -36,8 +38,8 @@ def log_loss(df: DataFrame, keys: list[str], y: str = "y", proba: str = "proba")
 def roc_auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Mann-Whitney with average ranks, from one row per distinct score: ties are added up before they are ranked."""
     per = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    before = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy(score)) - (F.col("n") - F.col("pos"))
-    wins = per.withColumn("u", F.col("pos") * (before + (F.col("n") - F.col("pos")) / 2))
+    ranked = running_before(per.withColumn("neg", F.col("n") - F.col("pos")), keys, score, "neg", "before")
+    wins = ranked.withColumn("u", F.col("pos") * (F.col("before") + F.col("neg") / 2))
     return wins.groupBy(*keys).agg((F.sum("u") / F.nullif(F.sum("pos") * F.sum(F.col("n") - F.col("pos")), F.lit(0))).alias("roc_auc"))
 
 
@@ -102,9 +104,8 @@ def wilcoxon_sums(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank sums with average ranks, zero differences left out: ties are counted before they are ranked."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     per = d.groupBy(F.abs("d").alias("size")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("size")) - F.col("n")  # one row per distinct difference
-    rank = before + (F.col("n") + 1) / 2
-    ranked = per.select((F.col("up") * rank).alias("up"), ((F.col("n") - F.col("up")) * rank).alias("down"), "n")
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    ranked = running_before(per, [], "size", "n", "before").select((F.col("up") * rank).alias("up"), ((F.col("n") - F.col("up")) * rank).alias("down"), "n")
     return ranked.agg(F.sum("up").alias("w_plus"), F.sum("down").alias("w_minus"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("tie_term"))
 
 
