@@ -155,6 +155,8 @@ def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode:
     lengths = representation_lengths(length)
     if strategy == "arrow":
         return _arrow(df, key, x, mode, length, names, depth, div, lower_median)
+    if lower_median:
+        raise ValueError("the baseline layout is there in the arrow plan only")
     if strategy == "long":
         return _long(df, key, x, mode, length, names, depth, div)
     if strategy != "rowwise":

@@ -200,6 +200,13 @@ _all("exact")
 _all("approx")
 
 
+@query(features_sql("vec_id", "series AS (SELECT vec_id, list_transform(embedding[1:48], lambda v: v::DOUBLE) AS x FROM embeddings)", 48, "raw", "exact").replace("median(e - s)", "quantile_disc(e - s, 0.5)"))
+def exact_baseline_layout(spark, sf_dir):
+    """The baseline variants' layout (lower median), at a length where it differs."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 48).alias("x"))
+    return _rows(X.interval_features(df, ["vec_id"], "x", 48, "exact", ("raw",), lower_median=True))
+
+
 @query(features_sql("vec_id", VECTORS_SQL, 64, "raw", "exact"))
 def exact_sort_order(spark, sf_dir):
     """The pre-sorted variant: points ranked by a window inside each interval, then interpolated."""

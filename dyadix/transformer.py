@@ -101,7 +101,7 @@ class IntervalQuantilesModel(Model, _Shared, DefaultParamsReadable, DefaultParam
         g = self.getOrDefault
         channel, key = g("channelCol"), [g("idCol")] + ([g("channelCol")] if g("channelCol") else [])
         x, length = F.col(g("inputCol")), g("length")
-        good = (F.size(x) == length) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
+        good = (F.size(x) == length) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
         checked = df.withColumn(g("inputCol"), F.when(good, x).otherwise(F.raise_error(F.lit(f"every series needs {length} finite points"))))
         # the size is asked for only where the answer can differ
         n = None if df.isStreaming or g("version") != "auto" else dispatch.known_size(df)
