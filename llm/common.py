@@ -54,6 +54,21 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def only_wanted(df: DataFrame, wanted: DataFrame, name: str = "id", slots: int = 1 << 18) -> DataFrame:
+    """Rows of ``df`` whose long ``name`` is in ``wanted(name)``, which has each id once.
+
+    A bitmap of the wanted ids, 64 bits in each of ``slots`` rows whatever their
+    number, is broadcast first, so that hardly any other row is shuffled. Then
+    an inner join decides: the optimiser would move a semi join below the
+    bitmap and shuffle every row."""
+    h = F.xxhash64(name)
+    slot = F.pmod(F.shiftrightunsigned(h, 6), F.lit(slots)).alias("slot__")
+    bit = h.bitwiseAND(F.lit(63)).cast("int").alias("bit__")
+    bits = wanted.select(slot, bit).groupBy("slot__").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit__"))).alias("bits__"))
+    maybe = df.select("*", slot, bit).join(F.broadcast(bits), "slot__").where(F.call_function("getbit", "bits__", "bit__") == 1)
+    return maybe.select(*df.columns).join(wanted, name)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large and small stars.
 
