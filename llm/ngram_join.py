@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Forest, components, cut
+from llm.common import Forest, components, cut, only_wanted
 
 BANDS, ROWS, STEP = 28, 5, 20
 HASHES = BANDS * ROWS
@@ -237,7 +237,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
 
     alive = cut(rows.groupBy("pair").applyInArrow(may_reach, "pair string, side int, id long, size long, sig binary"), "alive")
     wanted = alive.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    texts = only_wanted(docs.select(F.col("doc_id").alias("id"), "text"), wanted).groupBy("id").agg(F.max("text").alias("text"))
 
     def verify(t: pa.Table) -> pa.Table:
         t, sig, n, same = _sides(t)
