@@ -69,9 +69,9 @@ def pipeline(spark, sf_dir):
 
 
 def op10_line_dedup(spark, sf_dir):
-    from llm.line_dedup import fuzzy_line_groups
+    from llm.line_dedup import SEARCH, fuzzy_line_groups
 
-    return fuzzy_line_groups(table(spark, sf_dir, "documents"))
+    return fuzzy_line_groups(table(spark, sf_dir, "documents"), **SEARCH)
 
 
 QUERIES = {f.__name__: f for f in (

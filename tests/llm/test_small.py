@@ -438,6 +438,29 @@ def test_lines_link_like_brute_force(spark):
     assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()}
 
 
+def test_lines_recall_against_edit_similarity(spark, tmp_path):
+    """Of pairs one character apart the registered query links most, and of pairs below the similarity none directly."""
+    from llm.line_dedup import normal
+    from llm.queries import QUERIES
+
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, int(rng.integers(2, 10)))) for _ in range(2000)]
+    base = [" ".join(rng.choice(words, int(rng.integers(4, 80)))) for _ in range(300)]
+    base = [t for t in base if len(t) >= 20]
+    rows = []
+    for i, t in enumerate(base):
+        at = int(rng.integers(1, len(t) - 1))
+        rows += [(2 * i, t), (2 * i + 1, t[:at] + "q" + t[at + 1:])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    group = {r.doc_id: r.group_id for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    found = np.mean([group[2 * i] == group[2 * i + 1] for i in range(len(base))])
+    assert found >= 0.65, found
+    assert len({group[2 * i] for i in range(len(base))}) == len(base)
+    odd = ["\u201cHello\u201d \u2014 world\u2026", "hello\u00a0world!", "HELLO, - world"]
+    assert {r.n for r in spark.createDataFrame([(t,) for t in odd], "t string").select(normal(F.col("t")).alias("n")).collect()} == {"hello world"}
+
+
 # ---- components and pipeline
 
 def test_components(spark):
