@@ -68,12 +68,19 @@ def default_domain(source: Column) -> Column:
     return F.concat(F.lit("domain"), (F.coalesce(F.try_to_number(F.regexp_extract(source, r"(\d{1,9})$", 1), F.lit("999999999")), F.lit(0)) % 4).cast("int").cast("string"))
 
 
-def token_stream(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, h): words counted in the JVM, texts left behind."""
+def leaf_columns(domain: Column | None = None) -> list[Column]:
+    """domain, lang and source of a document, without nulls."""
     source = F.coalesce(F.col("source"), F.lit(""))
+    return [F.coalesce(domain if domain is not None else default_domain(source), F.lit("")), F.coalesce("lang", F.lit("")), source]
+
+
+def token_stream(docs: DataFrame, domain: Column | None = None) -> DataFrame:
+    """(doc_id, domain, lang, source, key, n_tokens): words counted in the JVM, texts left behind.
+
+    key is a hash of leaf and text: rows with one doc_id and key are told apart by nothing here."""
+    leaf = leaf_columns(domain)
     return docs.select(
-        "doc_id", F.coalesce(domain if domain is not None else default_domain(source), F.lit("")).alias("domain"),
-        F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"),
+        "doc_id", leaf[0].alias("domain"), leaf[1].alias("lang"), leaf[2].alias("source"), F.xxhash64(*leaf, "text").alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"))
 
 
@@ -88,6 +95,12 @@ def mix(docs: DataFrame, total: float | None = None, fraction: float = 0.5, weig
     are combined before the shuffle, and running sums within slices are
     windows over (leaf, slice).
     """
+    return _choices(docs, total, fraction, weights, max_epochs, seed, domain, max_leaves)[1].drop("key")
+
+
+def _choices(docs: DataFrame, total: float | None = None, fraction: float = 0.5, weights: dict[tuple, float] | None = None,
+             max_epochs: int = 2, seed: int = 1, domain: Column | None = None, max_leaves: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The token stream, and the rows of ``mix`` with their key in it."""
     spark = docs.sparkSession
     leaf = ["domain", "lang", "source"]
     rows = cut(token_stream(docs, domain).where("n_tokens > 0"), "stream")
@@ -98,7 +111,7 @@ def mix(docs: DataFrame, total: float | None = None, fraction: float = 0.5, weig
     table = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, whole int, rest long"))
     joined = rows.join(table, leaf)
     whole = joined.where("whole > 0").select(
-        "doc_id", *leaf, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("taken"))
+        "doc_id", *leaf, "key", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("taken"))
     # the seeded order of the last epoch: the first hex digits choose the slice
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.col("doc_id")))
     part = joined.where("rest > 0").withColumn("h", order).withColumn("slice", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
@@ -107,14 +120,35 @@ def mix(docs: DataFrame, total: float | None = None, fraction: float = 0.5, weig
         *leaf, "slice", (F.sum("in_slice").over(Window.partitionBy(*leaf).orderBy("slice")) - F.col("in_slice")).alias("before"))
     # slices that begin beyond the budget are not needed at all
     some = part.join(before, [*leaf, "slice"]).where("before < rest")
-    within = Window.partitionBy(*leaf, "slice").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*leaf, "slice").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")
     last = some.withColumn("start", start).where("start < rest").select(
-        "doc_id", *leaf, F.col("whole").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("taken"))
-    return whole.union(last)
+        "doc_id", *leaf, "key", F.col("whole").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("taken"))
+    return rows, whole.union(last)
 
 
 def select_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` repeated once for each epoch that selects the document; whole texts, all columns as they are."""
-    chosen = mix(docs, **options).select(F.col("doc_id").alias("id__"))
-    return docs.join(chosen, docs.doc_id == chosen.id__).drop("id__")
+    """``docs`` repeated once for each epoch that selects the document; whole texts, all columns as they are.
+
+    Choices are counted by doc_id (null too), leaf and text. Equal rows stand
+    side by side in a leaf's order, so all of them are chosen equally often but
+    for at most one such set in a leaf, in which the budget ends; only there the
+    rows are numbered."""
+    stream, chosen = _choices(docs, **options)
+    both = stream.select("doc_id", "key", F.lit(1).alias("m"), F.lit(0).alias("c")).union(chosen.select("doc_id", "key", F.lit(0), F.lit(1)))
+    sums = both.groupBy(F.col("doc_id").alias("id__"), F.col("key").alias("key__")).agg(F.sum("m").alias("m"), F.sum("c").alias("c")).where("c > 0")
+    times = cut(sums.select("id__", "key__", F.expr("cast(c div m as int)").alias("each__"), F.expr("cast(c % m as int)").alias("more__")), "times")
+    keyed = docs.withColumn("row__", F.xxhash64(*leaf_columns(options.get("domain")), "text"))
+
+    def met(wanted: DataFrame) -> DataFrame:
+        return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("row__") == F.col("key__")))
+
+    def repeated(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.withColumn("copy__", F.explode(F.array_repeat(F.lit(0), n))).select(*docs.columns)
+
+    out = repeated(met(times.where("more__ = 0")), F.col("each__"))
+    ends = times.where("more__ > 0")
+    if ends.isEmpty():
+        return out
+    numbered = met(F.broadcast(ends)).withColumn("n__", F.row_number().over(Window.partitionBy("id__", "key__").orderBy(F.lit(0))))
+    return out.union(repeated(numbered, F.col("each__") + (F.col("n__") <= F.col("more__")).cast("int")))

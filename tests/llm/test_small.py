@@ -94,6 +94,27 @@ def test_mix_edges(odd, clashing, empty):
     assert select_documents(clashing.where("doc_id > 4"), fraction=1.0, max_epochs=1).columns == clashing.columns
 
 
+def test_selected_documents_are_the_chosen_ones(spark, tmp_path):
+    """Null and repeated ids come back as often as they are chosen, through the pipeline's stage too."""
+    import corpus_pipeline
+    from llm.mixing import mix, select_documents
+
+    rows = [(None, "null one", "en", "src0", 0), (None, "null two x", "en", "src0", 1), (None, "null two x", "en", "src0", 1)]
+    rows += [(4, "a b c", "de", "src1", k) for k in range(40)] + [(5, "one text", "de", "src1", 0), (5, "other text here", "de", "src1", 0), (5, "other text here", "fr", None, 0)]
+    rows += [(10 + k, "w " * (k + 1), "en", "src0", 0) for k in range(12)] + [(99, "", "en", "src0", 0), (None, None, "en", "src0", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for options in ({"fraction": 1.0, "max_epochs": 1}, {"fraction": 0.5, "max_epochs": 1}, {"fraction": 1.6, "max_epochs": 3}, {"total": 60, "max_epochs": 1, "seed": 3}):
+        want = Counter((r.doc_id, r.lang, r.source, r.n_tokens) for r in mix(df, **options).collect())
+        got = select_documents(df, **options)
+        assert got.columns == df.columns
+        assert Counter((r.doc_id, r.lang, r.source or "", len(r.text.split())) for r in got.collect()) == want
+    kept = Counter(tuple(r) for r in select_documents(df, fraction=1.0, max_epochs=1).collect())
+    assert kept == Counter(r for r in rows if r[1])
+    out = corpus_pipeline.mixing(spark, df, str(tmp_path)).collect()
+    n = Counter(r.doc_id for r in mix(df, fraction=corpus_pipeline.MIX_FRACTION, weights=corpus_pipeline.MIX_WEIGHTS, max_epochs=1).collect())
+    assert Counter(r.doc_id for r in out) == n and n[None] and n[4] > 1
+
+
 # ---- 2 exact dedup
 
 def test_directory_doubles_and_covers():
