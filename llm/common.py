@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where it is set, else a local one (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session in one
+    process (tests) gets a local folder, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,6 +40,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
+def with_rows(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """``docs`` with a long ``row__`` that tells its rows apart, written once so that it stays the same."""
+    return cut(docs.withColumn("row__", F.monotonically_increasing_id()), name)
+
+
 def remove_shared(spark: SparkSession, path: str) -> None:
     """Delete a table that ``write_shared`` wrote and nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,38 +2,42 @@
 
 DataFrame functions only. A line is a piece of a text between line feeds. It is
 normalised to lower case with every run of other characters than letters, marks
-and digits as one space. Its SimHash is made of words or, with ``gram``, of
-character n-grams, of which an edit moves fewer bits. Two lines
-are linked when their SimHashes agree in at least ``keep`` of ``blocks`` blocks,
-differ in at most ``max_bits`` bits and the edit similarity of their normal
-forms, 1 - levenshtein / longer length, reaches ``similarity``. Any ``blocks -
-keep`` differing bits are certain to leave enough blocks; more are found by
-chance, as the README's measured recall says. Of each connected group the
-occurrence with the smallest (doc_id, line_no) stays.
+and digits as one space. Its words fall into BLOCKS classes by their hash, and
+each block of the SimHash is made of the words of its own class: so an edit of
+one word changes at most two blocks, and by the pigeonhole principle the others
+are equal for certain, while many edits in a long line still leave most bits of
+a block as they are. Lines are compared when they agree in some choice of
+blocks: all but two for lines of up to SHORT words, any two for longer ones
+(around the border both). A choice counts when its classes hold three words, or
+half of a shorter line. Lines are linked when the edit similarity of their
+normal forms, 1 - levenshtein / longer length, reaches ``similarity``. Of each
+connected group the occurrence with the smallest (doc_id, line_no) stays.
+
+So one word replaced is found for certain in lines whose other words fill the
+choice; more edits are found by chance, as the README's measured recall says.
 
 Defined cases: a null text has no lines; lines whose normal form is empty carry
 no wording and always stay, each its own group; repeated lines inside one
 document count as occurrences like any others; rows with a null doc_id take
-part and order first; rows that repeat a whole document give repeated
-occurrences, told apart by nothing, so all of them share one verdict.
+part and order first; of rows that repeat a whole document one row's
+occurrences stay; a line of one word meets equal lines only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import components, cut, only_wanted
+from llm.common import components, cut, only_wanted, with_rows
 
-LANES = 21  # a long holds three counters of 21 bits each: a line may have a million different n-grams
-BITS = 3 * LANES
-MASK = 1 | 1 << LANES | 1 << 2 * LANES
-#: The search of the registered query and of drop_fuzzy_lines: 35 keys of 27 bits each. Shorter n-grams are
-#: shared by unlike lines, longer ones are moved more by an edit.
-SEARCH = {"blocks": 7, "keep": 3, "max_bits": 20, "gram": 4}
+BLOCKS, BITS = 6, 15  # 60 bits of SimHash
+SHORT = 10  # lines of up to so many words must agree in all blocks but two
+LANES = 5  # a long holds three counters of 21 bits each: a class may have two million words of a line
+MASK = 1 | 1 << 21 | 1 << 42
+LONG = 1000  # characters from which lines are stripped of common ends before the edit distance
+TILE = 2000  # lines of a key that meet in one go
 
 
 def normal(line: Column) -> Column:
@@ -41,98 +45,115 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r" [^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N} ][^\p{L}\p{M}\p{N}]*", " "))
 
 
-def features(norm: Column, gram: int) -> Column:
-    """A line's different words, or with ``gram`` its different n-grams of so many characters, spaces put around it."""
-    if not gram:
-        return F.array_distinct(F.split(norm, " "))
-    edge = F.lit(" " * (gram // 2))
-    return F.array_distinct(F.regexp_extract_all(F.concat(edge, norm, edge), F.lit(f"(?=(.{{{gram}}}))"), F.lit(1)))
+def with_simhash(lines: DataFrame) -> DataFrame:
+    """lines(id, norm), one row per id -> (id, len, words, n0.., b0..): length, different words, and each block's words and bits.
 
-
-def with_simhash(lines: DataFrame, gram: int = 0) -> DataFrame:
-    """lines(doc_id, line_no, norm) -> the same rows' (doc_id, line_no, id, len, sim).
-
-    Each different word or n-gram adds its hash's bits to counters packed three to a long;
-    one hash aggregate per line sums them, all in generated code."""
+    Each different word (a long line's common words would outvote the rest) adds its hash's bits to counters packed three to a long, in the
+    block that other bits of the hash name; a bit is set when over half of the
+    block's words have it, and a block without words has the value -1."""
     h = F.xxhash64("w")
-    packed = [F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK)) for i in range(LANES)]
-    words = lines.select(
-        "doc_id", "line_no", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"),
-        F.explode(features(F.col("norm"), gram)).alias("w")).select("doc_id", "line_no", "id", "len", h.alias("h"))
-    sums = words.groupBy("doc_id", "line_no", "id", "len").agg(
-        F.count("*").alias("n"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(packed)])
-    # a bit is set when over half of the features have it: adding 2**20 - 1 - n // 2 to a counter carries into its top bit
-    top = F.lit((1 << LANES - 1) - 1) - F.floor(F.col("n") / 2)
-    raised = top * F.lit(MASK)
+    words = lines.select("id", F.char_length("norm").alias("len"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select(
+        "id", "len", F.pmod(F.shiftrightunsigned(h, 20), F.lit(BLOCKS)).cast("int").alias("g"), h.alias("h"))
+    sums = words.groupBy("id", "len", "g").agg(
+        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK))).alias(f"s{i}") for i in range(LANES)])
+    # adding 2**20 - 1 - n // 2 to a counter carries into its top bit when it is over n / 2
+    raised = (F.lit((1 << 20) - 1) - F.floor(F.col("n") / 2)) * F.lit(MASK)
     bits = F.lit(0).cast("long")
     for i in range(LANES):
-        carried = F.shiftrightunsigned(F.col(f"s{i}") + raised, LANES - 1).bitwiseAND(F.lit(MASK))
+        carried = F.shiftrightunsigned(F.col(f"s{i}") + raised, 20).bitwiseAND(F.lit(MASK))
         bits = bits.bitwiseOR(F.shiftleft(carried, i))
-    return sums.select("doc_id", "line_no", "id", "len", bits.alias("sim"))
-
-
-def block_keys(sim: Column, blocks: int, keep: int) -> Column:
-    """One key for each choice of ``keep`` blocks: lines that agree there share it."""
-    width = -(-BITS // blocks)
-    part = [F.shiftrightunsigned(sim, i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(blocks)]
-    choices = list(combinations(range(blocks), keep))
-    room = 1 << keep * width
-    if len(choices) * room > 1 << 63:
-        return F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(choices)])
-    # small numbers: what is shuffled packs better than hashes do
-    return F.array(*[reduce(lambda a, b: a + b, [F.shiftleft(part[i], n * width) for n, i in enumerate(chosen)], F.lit(k * room).cast("long")) for k, chosen in enumerate(choices)])
+    # lanes at 0, 21 and 42 move together: 15 bits side by side
+    packed = bits.bitwiseAND(F.lit(31)).bitwiseOR(F.shiftrightunsigned(bits, 16).bitwiseAND(F.lit(31 << 5))).bitwiseOR(
+        F.shiftrightunsigned(bits, 32).bitwiseAND(F.lit(31 << 10)))
+    blocks = sums.select("id", "len", "g", F.col("n").cast("int").alias("n"), packed.cast("int").alias("b"))
+    own = [F.col("g") == k for k in range(BLOCKS)]
+    return blocks.groupBy("id", "len").agg(
+        F.sum("n").cast("int").alias("words"),
+        *[F.coalesce(F.max(F.when(own[k], F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(BLOCKS)],
+        *[F.coalesce(F.max(F.when(own[k], F.col("b"))), F.lit(-1)).alias(f"b{k}") for k in range(BLOCKS)])
+
+
+def block_keys() -> Column:
+    """The keys of a row of ``with_simhash``: lines that agree in a choice of blocks share one."""
+    words = F.col("words")
+    least = F.least(F.lit(3), F.ceil(words / 2))
+    out = []
+    for size, fits in ((BLOCKS - 2, words <= SHORT), (2, words >= SHORT - 1)):
+        for k, chosen in enumerate(combinations(range(BLOCKS), size)):
+            held = sum((F.col(f"n{i}") for i in chosen[1:]), F.col(f"n{chosen[0]}"))
+            # small numbers: what is shuffled packs better than hashes do
+            if size == 2:
+                key = F.shiftleft(F.col(f"b{chosen[0]}") + F.lit(1).cast("long"), 16) + F.col(f"b{chosen[1]}") + F.lit(1 + (k << 33))
+            else:
+                key = F.shiftrightunsigned(F.xxhash64(*[F.col(f"b{i}") for i in chosen]), 20) + F.lit((k + 1) << 44)
+            out.append(F.when(fits & (held >= least), key))
+    return F.array_compact(F.array(*out))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) with a flag ``ok``: the edit similarity of their normal forms reaches the threshold."""
+    """pairs(a, b) with a flag ``ok``: the edit similarity of their normal forms reaches the threshold.
+
+    With a bound only a band of the table is walked; -1 says that the bound is
+    passed. Long lines lose the words that they share at both ends first (no
+    distance changes by that) and are tried with an eighth of the bound."""
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
     longer = F.greatest(F.char_length("na"), F.char_length("nb"))
     most = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    # with a bound only a band of the table is walked; -1 says that the bound is passed
-    return pairs.join(ta, "a").join(tb, "b").withColumn("most", most).select(
-        "a", "b", (F.expr("levenshtein(na, nb, most)") >= 0).alias("ok"))
-
-
-def fuzzy_line_groups(
-    docs: DataFrame, similarity: float = 0.9, blocks: int = 4, keep: int = 2, max_bits: int = 8, gram: int = 0
-) -> DataFrame:
+    both = pairs.join(ta, "a").join(tb, "b").withColumn("most", most)
+    short = both.where(longer < LONG).select("a", "b", (F.expr("levenshtein(na, nb, most)") >= 0).alias("ok"))
+    same = lambda x, y: x.eqNullSafe(y)
+    split = both.where(longer >= LONG).withColumns({"wa": F.split("na", " "), "wb": F.split("nb", " ")})
+    head = split.withColumn("head", F.array_position(F.zip_with("wa", "wb", same), False) - 1)
+    tail = head.withColumn("tail", F.array_position(F.zip_with(F.reverse("wa"), F.reverse("wb"), same), False) - 1)
+    # what both ends share may not overlap in the shorter one
+    ends = tail.withColumn("tail", F.least(F.col("tail"), F.least(F.size("wa"), F.size("wb")) - F.col("head")))
+    rest = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
+    cored = ends.select("a", "b", "most", rest("wa").alias("na"), rest("wb").alias("nb"))
+    tried = cored.withColumn("ok", F.expr("levenshtein(na, nb, cast(most div 8 as int)) >= 0"))
+    return short.union(tried.select("a", "b", F.expr("case when ok then true else levenshtein(na, nb, most) >= 0 end").alias("ok")))
+
+
+def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """(doc_id, line_no, line_id, group_id, kept) for every non-empty line of ``docs(doc_id, text)``.
 
     line_id is the 64-bit hash of the normal form, group_id the smallest line_id
     of the connected group. Scale: equal lines meet once by a map-side combined
     aggregate, so a line that a third of all documents repeat is one row from
     there on. Inside a block key every line meets the key's smallest line first;
-    only lines which that check leaves unlinked meet the others, so a key shared
-    by many near copies costs as many pairs as it has lines and loses no link.
-    The defaults are a narrow search over words that older tests fix; the registered
-    query and ``drop_fuzzy_lines`` use the wider SEARCH. For corpora of over a
-    hundred million different lines raise ``keep`` (7 and 3 make keys of 27 bits,
-    7 and 4 of 36): the keys should outnumber the lines.
+    only lines which that check leaves unlinked meet the others, in tiles of
+    TILE lines a side, so a key shared by many near copies costs as many pairs
+    as it has lines and loses no link.
     """
-    raw = cut(docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")).select(
-        "doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''"), "rawlines")
-    lines = cut(with_simhash(raw, gram), "lines")
+    return _groups(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), similarity).drop("row")
+
+
+def _groups(docs: DataFrame, similarity: float) -> DataFrame:
+    """As fuzzy_line_groups, for rows told apart by ``row``, with that column."""
+    raw = cut(docs.select("doc_id", "row", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")).select(
+        "doc_id", "row", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm")), "rawlines")
 
-    distinct = cut(lines.groupBy("id").agg(F.first("len").alias("len"), F.first("sim").alias("sim")), "distinct")
+    distinct = cut(with_simhash(raw.groupBy("id").agg(F.min("norm").alias("norm"))), "simhashes")
     # dealt by key once: the count and the join below use the same exchange
-    keyed = distinct.select("id", F.explode(block_keys(F.col("sim"), blocks, keep)).alias("key")).repartition("key")
-    low = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    met = cut(keyed.join(low, "key").where("id <> low").join(distinct, "id"), "met")
-
-    near = (F.least("len", "len2") >= F.greatest("len", "len2") * F.lit(similarity) - F.lit(1e-9)) & (
-        F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= max_bits)
-    lows = distinct.select(F.col("id").alias("low"), F.col("len").alias("len2"), F.col("sim").alias("sim2"))
-    star = cut(met.select("id", "len", "sim", "low").distinct().join(lows, "low").where(near).select(
+    keyed = distinct.select("id", F.explode(block_keys()).alias("key")).repartition("key")
+    low = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    met = cut(keyed.join(low.hint("shuffle_hash"), "key").where("id <> low"), "met")
+
+    near = F.least("len", "len2") >= F.greatest("len", "len2") * F.lit(similarity) - F.lit(1e-9)
+    size = distinct.select("id", "len")
+    lows = size.select(F.col("id").alias("low"), F.col("len").alias("len2"))
+    star = cut(met.select("id", "low").distinct().join(size, "id").join(lows, "low").where(near).select(
         F.col("low").alias("a"), F.col("id").alias("b")), "star")
     texts = cut(_texts(raw, star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
     first = cut(_similar(star, texts, similarity), "first")
     # what a line misses of a key's smallest line it may share with the key's other lines
+    many = cut(met.where("n > 2").join(size, "id").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "many")
+    tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     good = first.where("ok").select(F.col("a").alias("low"), F.col("b").alias("id"))
-    rest = met.join(good, ["low", "id"], "left_anti").select(
-        "key", F.col("id").alias("a"), F.col("len").alias("len2"), F.col("sim").alias("sim2"))
-    others = met.select("key", F.col("id").alias("b"), "len", "sim")
-    pairs = cut(rest.join(others, "key").where((F.col("a") != F.col("b")) & near).select(
+    rest = many.join(good, ["low", "id"], "left_anti").select(
+        "key", F.col("id").alias("a"), F.col("len").alias("len2"), F.col("tile").alias("ta"), tiles.alias("tb"))
+    others = many.select("key", F.col("id").alias("b"), "len", F.col("tile").alias("tb"), tiles.alias("ta"))
+    pairs = cut(rest.join(others, ["key", "ta", "tb"]).where((F.col("a") != F.col("b")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id", "left_anti")
     second = _similar(pairs, texts.unionByName(_texts(raw, missing)), similarity)
@@ -140,25 +161,26 @@ def fuzzy_line_groups(
 
     lead = components(edges).select(F.col("a").alias("id"), F.col("b").alias("lead"))
     # the first occurrence of each group: a combined minimum per line, then per group
-    per_line = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).join(lead, "id", "left").select(
+    per_line = raw.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("at")).join(lead, "id", "left").select(
         "id", F.coalesce("lead", "id").alias("group_id"), "at")
     per_group = per_line.groupBy("group_id").agg(F.min("at").alias("first_at"))
-    verdict = per_line.join(per_group, "group_id").select("id", "group_id", "first_at")
-    return lines.join(verdict, "id").select(
+    verdict = per_line.join(per_group, "group_id").select("id", "group_id", F.col("first_at.row").alias("first_row"), F.col("first_at.line_no").alias("first_line"))
+    return raw.select("doc_id", "row", "line_no", "id").join(verdict, "id").select(
         "doc_id", "line_no", F.col("id").alias("line_id"), "group_id",
-        F.struct("doc_id", "line_no").eqNullSafe(F.col("first_at")).alias("kept"))
+        ((F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_line"))).alias("kept"), "row")
 
 
 def _texts(raw: DataFrame, wanted: DataFrame) -> DataFrame:
     """The normal form of each wanted line, one row each."""
-    named = raw.select(F.xxhash64("norm").alias("id"), "norm")
-    return only_wanted(named, wanted).groupBy("id").agg(F.min("norm").alias("norm"))
+    return only_wanted(raw.select("id", "norm"), wanted).groupBy("id").agg(F.min("norm").alias("norm"))
 
 
-def drop_fuzzy_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_fuzzy_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """``docs`` with the text rebuilt from its kept lines (and its lines without wording); other columns as they are."""
-    marks = fuzzy_line_groups(docs, **(SEARCH | options)).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone__"))
+    keyed = with_rows(docs)
+    marks = _groups(keyed.select("doc_id", F.col("row__").alias("row"), "text"), similarity).where("not kept").groupBy(
+        F.col("row").alias("row__")).agg(F.collect_set("line_no").alias("gone__"))
     pieces = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains(F.col("gone__"), i), x)), lambda x: x.isNotNull())
-    return docs.join(marks, "doc_id", "left").withColumn(
-        "text", F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))).drop("gone__")
+    return keyed.join(marks, "row__", "left").withColumn(
+        "text", F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))).select(*docs.columns)

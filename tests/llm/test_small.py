@@ -426,41 +426,60 @@ def test_lines(spark, odd, clashing, empty):
     out = {r.doc_id: r.text for r in drop_fuzzy_lines(df).collect()}
     assert out == {1: docs[0][1], 2: "\n---", 3: "only here twice or so", 4: None, 5: ""}
     assert fuzzy_line_groups(empty).count() == 0
-    assert fuzzy_line_groups(clashing).count() == 5 and drop_fuzzy_lines(clashing).columns == clashing.columns
+    # the repeated row of document 4 counts as a row of its own
+    assert fuzzy_line_groups(clashing).count() == 6 and drop_fuzzy_lines(clashing).columns == clashing.columns
 
 
 def test_lines_link_like_brute_force(spark):
-    """Every pair that shares the blocks and the similarity ends in one group, and no other."""
-    from llm.line_dedup import BITS, fuzzy_line_groups, normal, with_simhash
+    """Against plain edit similarity of all pairs: no line joins a group that brute force keeps apart, and nearly all pairs are found."""
+    from llm.line_dedup import fuzzy_line_groups
 
-    texts = prose(8, 120, 3)
+    texts = list(dict.fromkeys(prose(8, 260, 4)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    lines = with_simhash(df.select("doc_id", F.lit(0).alias("line_no"), normal(F.col("text")).alias("norm"))).collect()
-    width = -(-BITS // 4)
-    sims = {r.doc_id: r.sim for r in lines}
-    dist = {(r.a, r.b): r.d for r in df.alias("x").join(df.alias("y"), F.col("x.doc_id") < F.col("y.doc_id")).select(
-        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.levenshtein("x.text", "y.text").alias("d")).collect()}
-    low = {i: i for i in sims}
-    linked = []
-    for (a, b), d in dist.items():
-        x = sims[a] ^ sims[b]
-        blocks = sum((x >> k * width) & ((1 << width) - 1) == 0 for k in range(4))
-        if blocks >= 2 and bin(x).count("1") <= 8 and d <= 0.1 * max(len(texts[a]), len(texts[b])) + 1e-9:
-            linked.append((a, b))
+    dist = df.alias("x").join(df.alias("y"), F.col("x.doc_id") < F.col("y.doc_id")).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.levenshtein("x.text", "y.text").alias("d")).collect()
+    pairs = [(r.a, r.b) for r in dist if r.d <= 0.1 * max(len(texts[r.a]), len(texts[r.b])) + 1e-9]
+    low = {i: i for i in range(len(texts))}
     for _ in range(20):
-        for a, b in linked:
+        for a, b in pairs:
             low[a] = low[b] = min(low[a], low[b])
-    got = defaultdict(set)
-    for r in fuzzy_line_groups(df).collect():
-        got[r.group_id].add(r.doc_id)
-    want = defaultdict(set)
-    for i, g in low.items():
-        want[g].add(i)
-    assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()}
+    group = {r.doc_id: r.group_id for r in fuzzy_line_groups(df).collect()}
+    assert len(pairs) > 40 and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.9
+    brute = defaultdict(set)
+    for i, g in group.items():
+        brute[g].add(low[i])
+    assert all(len(x) == 1 for x in brute.values())
+
+
+def test_lines_long_repeated_and_hot(spark, monkeypatch):
+    """Lines of 100,000 characters, repeated documents, and a key that many lines share in small tiles."""
+    from llm import line_dedup
+
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 10 ** 6, 15_000)]
+    near, far = list(words), list(words)
+    near[100] = near[14_000] = "changed"
+    for k in range(0, 15_000, 3):
+        far[k] = f"other{k}"
+    docs = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (None, "a b c d e f g h"), (4, "same line here\nsame line here"), (4, "same line here\nsame line here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row": F.lit("clash"), "norm": F.lit(1)})
+    got = line_dedup.fuzzy_line_groups(df).collect()
+    by = {r.doc_id: r for r in got if r.line_no == 0}
+    assert len(docs[0][1]) > 90_000 and by[1].group_id == by[2].group_id != by[3].group_id
+    assert sum(r.kept for r in got if r.doc_id == 4) == 1 and by[None].kept
+    out = [(r.doc_id, r.text) for r in line_dedup.drop_fuzzy_lines(df).collect()]
+    assert Counter(t for i, t in out if i == 4) == Counter({"same line here": 1, "": 1})
+    # one template with two different numbers each: lines share keys and are no near copies of the key's smallest
+    base = "the quick brown fox jumps over the lazy dog near a river bank at"
+    rows = [(i, f"{base} {10 ** 9 + 7 * i} {10 ** 9 * (1 + i % 9) + i}") for i in range(60)] + [(100 + i, f"{base} {10 ** 9 + 7 * i} {10 ** 9 * (1 + i % 9) + i}x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "TILE", 7)
+    group = {r.doc_id: r.group_id for r in line_dedup.fuzzy_line_groups(df).collect()}
+    assert all(group[i] == group[100 + i] for i in range(60))
 
 
 def test_lines_recall_against_edit_similarity(spark, tmp_path):
-    """Of pairs one character apart the registered query links most, and of pairs below the similarity none directly."""
+    """Of pairs one character apart the registered query links nine in ten, and of pairs below the similarity none directly."""
     from llm.line_dedup import normal
     from llm.queries import QUERIES
 
@@ -476,7 +495,7 @@ def test_lines_recall_against_edit_similarity(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     group = {r.doc_id: r.group_id for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     found = np.mean([group[2 * i] == group[2 * i + 1] for i in range(len(base))])
-    assert found >= 0.65, found
+    assert found >= 0.9, found
     assert len({group[2 * i] for i in range(len(base))}) == len(base)
     odd = ["\u201cHello\u201d \u2014 world\u2026", "hello\u00a0world!", "HELLO, - world"]
     assert {r.n for r in spark.createDataFrame([(t,) for t in odd], "t string").select(normal(F.col("t")).alias("n")).collect()} == {"hello world"}
