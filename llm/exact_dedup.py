@@ -10,8 +10,8 @@ writes the bucket's file into the shared folder.
 
 Defined cases: a null text counts as empty; all empty texts are one group; of a
 group the row with the most code points in its original text stays, then the
-smallest doc_id (null first); rows repeated with one doc_id are members like any others and
-only the group's keeper id is marked kept. Other columns are left alone.
+smallest doc_id (null first); rows repeated with one doc_id are members like any others: ``exact_groups``
+marks every row with the keeper's doc_id as kept, ``drop_copies`` keeps one of them. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import cut, write_shared
+from llm.common import cut, with_rows, write_shared
 
 WHITE = " \t\n\x0b\x0c\r"
 KEY_BITS = 64
@@ -69,19 +69,19 @@ def _collapse(batches):
     """Equal texts of a batch become one row: their number and the best of them."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        # the best of a text comes first: most code points, then smallest id with nulls first
-        order = pc.sort_indices(t, sort_keys=[("points", "descending"), ("doc_id", "ascending")], null_placement="at_start")
+        # the best of a text comes first: most code points, then smallest id with nulls first, then row
+        order = pc.sort_indices(t, sort_keys=[("points", "descending"), ("doc_id", "ascending"), ("row", "ascending")], null_placement="at_start")
         g = t.take(order).group_by(["key", "norm"], use_threads=False).aggregate(
-            [("points", "first"), ("doc_id", "first"), ("points", "count")])
-        out = pa.table({"key": g["key"], "norm": g["norm"], "points": g["points_first"], "doc_id": g["doc_id_first"], "n": g["points_count"].cast(pa.int64())})
+            [("points", "first"), ("doc_id", "first"), ("row", "first"), ("points", "count")])
+        out = pa.table({"key": g["key"], "norm": g["norm"], "points": g["points_first"], "doc_id": g["doc_id_first"], "row": g["row_first"], "n": g["points_count"].cast(pa.int64())})
         yield from out.to_batches()
 
 
 def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(index, entries): the index's rows as read from its files, and every document's key.
 
-    index(key, chain, keep_id, group_size, text_sha256) has one row per distinct
-    text, in one file per bucket under the shared folder; chain numbers the
+    index(key, chain, keep_id, keep_row, group_size, text_sha256) has one row per distinct
+    text (keep_row: 0 where ``docs`` has no column row__), in one file per bucket under the shared folder; chain numbers the
     texts of one key. entries(doc_id, key, text_sha256) has one row per document.
     The directory has 2**max_bits entries whatever the corpus holds; loads are
     distinct keys, so copies overfill no bucket. For larger corpora raise
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) ->
     """
     spark = docs.sparkSession
     base = docs.select(
-        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), normal(F.col("text")).alias("norm"))
+        "doc_id", (F.col("row__") if "row__" in docs.columns else F.lit(0).cast("long")).alias("row"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), normal(F.col("text")).alias("norm"))
     base = base.withColumn("key", F.xxhash64("norm"))
     entries = cut(base.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "entries")
     prefix = F.shiftrightunsigned("key", KEY_BITS - max_bits)
@@ -100,14 +100,14 @@ def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) ->
     lookup = spark.createDataFrame([(p, b) for p, b, _ in directory], "p long, bucket int")
 
     # copies collapse batch by batch before the texts move, so a group that holds a third of all rows stays small
-    few = base.mapInArrow(_collapse, "key long, norm string, points long, doc_id long, n long")
+    few = base.mapInArrow(_collapse, "key long, norm string, points long, doc_id long, row long, n long")
     owned = few.join(F.broadcast(lookup), prefix == F.col("p")).drop("p").repartition(max(buckets, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
     # one owner holds all of a bucket: both groupings below find their rows in place
     texts = owned.groupBy("bucket", "key", "norm").agg(
-        F.sum("n").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id")).alias("best"))
+        F.sum("n").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id", "row")).alias("best"))
     chained = texts.select(
         "bucket", "key", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("best")).alias("chain"),
-        F.col("best.doc_id").alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256"))
+        F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.sha2("norm", 256).alias("text_sha256"))
     path = write_shared(chained, "exthash", "bucket")
     return spark.read.schema(chained.drop("bucket").schema).parquet(path), entries
 
@@ -131,7 +131,8 @@ def exact_groups(docs: DataFrame, hot_share: float = 0.001, **options) -> DataFr
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows of which a copy stays; all columns as they are. A doc_id with a kept and
-    a dropped row (ids are not unique) keeps both."""
-    kept = exact_groups(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """``docs`` with one row of each group of equal texts, all columns as they are; rows are told apart by
+    a key of their own, so a repeated row of the keeper's doc_id goes like any other copy."""
+    keyed = with_rows(docs)
+    kept = build_index(keyed, **options)[0].select(F.col("keep_row").alias("row__"))
+    return keyed.join(kept, "row__", "left_semi").select(*docs.columns)

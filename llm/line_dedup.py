@@ -7,9 +7,9 @@ each block of the SimHash is made of the words of its own class: so an edit of
 one word changes at most two blocks, and by the pigeonhole principle the others
 are equal for certain, while many edits in a long line still leave most bits of
 a block as they are. Lines are compared when they agree in some choice of
-blocks: all but two for lines of up to SHORT words, any two for longer ones
-(around the border both). A choice counts when its classes hold three words, or
-half of a shorter line. Lines are linked when the edit similarity of their
+blocks: all but two for lines of up to 10 words, any three for longer and any two
+for the longest ones (CHOICES; around a border both). A choice counts when its
+classes hold enough words, or half of a shorter line. Lines are linked when the edit similarity of their
 normal forms, 1 - levenshtein / longer length, reaches ``similarity``. Of each
 connected group the occurrence with the smallest (doc_id, line_no) stays.
 
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from llm.common import components, cut, only_wanted, with_rows
 
 BLOCKS, BITS = 6, 15  # 60 bits of SimHash
-SHORT = 10  # lines of up to so many words must agree in all blocks but two
+#: Blocks that must agree, for lines of so many different words, and the words that these blocks must hold.
+CHOICES = ((BLOCKS - 2, 1, 10, 3), (3, 9, 32, 5), (2, 28, None, 6))
 LANES = 5  # a long holds three counters of 21 bits each: a class may have two million words of a line
 MASK = 1 | 1 << 21 | 1 << 42
-LONG = 1000  # characters from which lines are stripped of common ends before the edit distance
 TILE = 2000  # lines of a key that meet in one go
 
 
@@ -75,17 +75,17 @@ def with_simhash(lines: DataFrame) -> DataFrame:
 
 def block_keys() -> Column:
     """The keys of a row of ``with_simhash``: lines that agree in a choice of blocks share one."""
-    words = F.col("words")
-    least = F.least(F.lit(3), F.ceil(words / 2))
-    out = []
-    for size, fits in ((BLOCKS - 2, words <= SHORT), (2, words >= SHORT - 1)):
+    words, out = F.col("words"), []
+    for size, low, high, most in CHOICES:
+        fits = (words >= low) if high is None else words.between(low, high)
+        least = F.least(F.lit(most), F.ceil(words / 2))
         for k, chosen in enumerate(combinations(range(BLOCKS), size)):
             held = sum((F.col(f"n{i}") for i in chosen[1:]), F.col(f"n{chosen[0]}"))
-            # small numbers: what is shuffled packs better than hashes do
+            # small numbers where they do: what is shuffled packs better than hashes
             if size == 2:
                 key = F.shiftleft(F.col(f"b{chosen[0]}") + F.lit(1).cast("long"), 16) + F.col(f"b{chosen[1]}") + F.lit(1 + (k << 33))
             else:
-                key = F.shiftrightunsigned(F.xxhash64(*[F.col(f"b{i}") for i in chosen]), 20) + F.lit((k + 1) << 44)
+                key = F.shiftrightunsigned(F.xxhash64(*[F.col(f"b{i}") for i in chosen]), 20) + F.lit(size * 32 + k << 44)
             out.append(F.when(fits & (held >= least), key))
     return F.array_compact(F.array(*out))
 
@@ -93,25 +93,23 @@ def block_keys() -> Column:
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """pairs(a, b) with a flag ``ok``: the edit similarity of their normal forms reaches the threshold.
 
-    With a bound only a band of the table is walked; -1 says that the bound is
-    passed. Long lines lose the words that they share at both ends first (no
-    distance changes by that) and are tried with an eighth of the bound."""
+    Two lines lose the words that they share at both ends first, which changes
+    no distance. With a bound only a band of the table is walked (-1 says that
+    the bound is passed), so a quarter of the bound is tried before the whole."""
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
     longer = F.greatest(F.char_length("na"), F.char_length("nb"))
     most = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    both = pairs.join(ta, "a").join(tb, "b").withColumn("most", most)
-    short = both.where(longer < LONG).select("a", "b", (F.expr("levenshtein(na, nb, most)") >= 0).alias("ok"))
     same = lambda x, y: x.eqNullSafe(y)
-    split = both.where(longer >= LONG).withColumns({"wa": F.split("na", " "), "wb": F.split("nb", " ")})
-    head = split.withColumn("head", F.array_position(F.zip_with("wa", "wb", same), False) - 1)
+    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", most.alias("most"), F.split("na", " ").alias("wa"), F.split("nb", " ").alias("wb"))
+    head = both.withColumn("head", F.array_position(F.zip_with("wa", "wb", same), False) - 1)
     tail = head.withColumn("tail", F.array_position(F.zip_with(F.reverse("wa"), F.reverse("wb"), same), False) - 1)
     # what both ends share may not overlap in the shorter one
     ends = tail.withColumn("tail", F.least(F.col("tail"), F.least(F.size("wa"), F.size("wb")) - F.col("head")))
     rest = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
     cored = ends.select("a", "b", "most", rest("wa").alias("na"), rest("wb").alias("nb"))
-    tried = cored.withColumn("ok", F.expr("levenshtein(na, nb, cast(most div 8 as int)) >= 0"))
-    return short.union(tried.select("a", "b", F.expr("case when ok then true else levenshtein(na, nb, most) >= 0 end").alias("ok")))
+    tried = cored.withColumn("near", F.expr("levenshtein(na, nb, cast(most div 4 as int)) >= 0"))
+    return tried.select("a", "b", F.expr("case when near then true else levenshtein(na, nb, most) >= 0 end").alias("ok"))
 
 
 def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
@@ -120,10 +118,10 @@ def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     line_id is the 64-bit hash of the normal form, group_id the smallest line_id
     of the connected group. Scale: equal lines meet once by a map-side combined
     aggregate, so a line that a third of all documents repeat is one row from
-    there on. Inside a block key every line meets the key's smallest line first;
-    only lines which that check leaves unlinked meet the others, in tiles of
-    TILE lines a side, so a key shared by many near copies costs as many pairs
-    as it has lines and loses no link.
+    there on. Inside a block key every line meets the key's smallest line first.
+    Then only lines of one key that are in different connected groups by now
+    meet, in tiles of TILE lines a side: a link inside a group changes no group,
+    so a key shared by many near copies costs as many pairs as it has lines.
     """
     return _groups(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), similarity).drop("row")
 
@@ -146,18 +144,21 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
         F.col("low").alias("a"), F.col("id").alias("b")), "star")
     texts = cut(_texts(raw, star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
     first = cut(_similar(star, texts, similarity), "first")
-    # what a line misses of a key's smallest line it may share with the key's other lines
-    many = cut(met.where("n > 2").join(size, "id").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "many")
+    found = first.where("ok").select("a", "b")
+    # lines of a key that are in one group by now need no other pairs
+    so_far = components(found).select(F.col("a").alias("id"), F.col("b").alias("group"))
+    many = cut(met.select("key", "id", "n").union(met.select("key", F.col("low").alias("id"), "n").distinct()).where("n > 2").join(size, "id").join(so_far, "id", "left").select(
+        "key", "id", "n", "len", F.coalesce("group", "id").alias("group")), "many")
+    mixed = many.groupBy("key").agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("key", "one")
+    tiled = cut(many.join(mixed, "key").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "tiled")
     tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    good = first.where("ok").select(F.col("a").alias("low"), F.col("b").alias("id"))
-    rest = many.join(good, ["low", "id"], "left_anti").select(
-        "key", F.col("id").alias("a"), F.col("len").alias("len2"), F.col("tile").alias("ta"), tiles.alias("tb"))
-    others = many.select("key", F.col("id").alias("b"), "len", F.col("tile").alias("tb"), tiles.alias("ta"))
-    pairs = cut(rest.join(others, ["key", "ta", "tb"]).where((F.col("a") != F.col("b")) & near).select(
+    rest = tiled.where("group <> one").select("key", F.col("id").alias("a"), F.col("len").alias("len2"), F.col("group").alias("group2"), F.col("tile").alias("ta"), tiles.alias("tb"))
+    others = tiled.select("key", F.col("id").alias("b"), "len", "group", F.col("tile").alias("tb"), tiles.alias("ta"))
+    pairs = cut(rest.join(others, ["key", "ta", "tb"]).where((F.col("group") != F.col("group2")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id", "left_anti")
     second = _similar(pairs, texts.unionByName(_texts(raw, missing)), similarity)
-    edges = first.where("ok").select("a", "b").union(second.where("ok").select("a", "b"))
+    edges = found.union(second.where("ok").select("a", "b"))
 
     lead = components(edges).select(F.col("a").alias("id"), F.col("b").alias("lead"))
     # the first occurrence of each group: a combined minimum per line, then per group

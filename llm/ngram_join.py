@@ -10,8 +10,10 @@ falls below ``tolerance``. What survives is verified on the sets themselves.
 
 Defined cases: null, empty and blank texts have no set: they link with nothing
 and are classes of their own; rows with a null doc_id are returned without
-links; repeated rows of one doc_id are members of one class; texts of any
-length are read whole.
+links; repeated rows of one doc_id are members of one class, and a doc_id with
+two texts is in two classes that link for themselves (what is compared is named
+by its set, a doc_id only names the result); texts of any length are read whole.
+Sets hold 64-bit hashes of runs, so a similarity is exact but for their collisions.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Forest, components, cut, only_wanted
+from llm.common import Forest, components, cut, only_wanted, with_rows
 
 BANDS, ROWS, STEP = 28, 5, 20
 HASHES = BANDS * ROWS
@@ -173,6 +175,16 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
     pair: what leaves it is one count per row and a spanning forest of links, so
     a group of n near copies ships n rows a tile pair and never n squared.
     """
+    out = _groups(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row__")), words, threshold, tolerance, tile)
+    return out.select(
+        "doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "n_links",
+        F.coalesce("group_first.doc_id", "doc_id").alias("group_id"),
+        F.coalesce(F.col("doc_id") == F.col("group_first.doc_id"), F.lit(True)).alias("kept"))
+
+
+def _groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 2048) -> DataFrame:
+    """(doc_id, row__, first, n_links, group_first) for each row of ``docs(doc_id, text, row__)``: the smallest
+    (doc_id, row__) of its class and of its group, null for rows without a set or without a doc_id."""
     least = fewest_matches(threshold, tolerance)
 
     def sign(batches):
@@ -180,10 +192,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                ids, keys, sigs, bands = [], [], [], []
-                for text, doc in zip(some["text"].to_pylist(), some["doc_id"].to_pylist(), strict=True):
+                keys, sigs, bands = [], [], []
+                for text in some["text"].to_pylist():
                     s = shingles(text or "", words, memo)
-                    ids.append(doc)
                     if len(s):
                         sig = signature(s)
                         keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -198,12 +209,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
                         sigs.append(None)
                         bands.append([])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "sig", "bands"])
+                    some["doc_id"], some["row__"], some["hash"], pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "row__", "hash", "key", "sig", "bands"])
 
-    signed = cut(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key binary, sig binary, bands array<long>"), "signed")
+    texts_of = docs.select("doc_id", "row__", "text", F.xxhash64("text").alias("hash"))
+    signed = cut(texts_of.mapInArrow(sign, "doc_id long, row__ long, hash long, key binary, sig binary, bands array<long>"), "signed")
+    # a class is named by a number that only this run knows; hash finds one of its texts
     classes = cut(signed.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+        F.min(F.struct("doc_id", "row__")).alias("first"), F.min("hash").alias("hash"), F.count("*").alias("size"), F.first("sig").alias("sig"),
+        F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
@@ -236,8 +250,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
         return t.select(["pair", "side", "id", "size", "sig"]).filter(pa.array(seen))
 
     alive = cut(rows.groupBy("pair").applyInArrow(may_reach, "pair string, side int, id long, size long, sig binary"), "alive")
-    wanted = alive.select("id").distinct()
-    texts = only_wanted(docs.select(F.col("doc_id").alias("id"), "text"), wanted).groupBy("id").agg(F.max("text").alias("text"))
+    wanted = cut(classes.select("id", "hash").join(alive.select("id").distinct(), "id"), "wanted")
+    found_texts = only_wanted(texts_of.select("hash", "text"), wanted.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("text").alias("text"))
+    texts = wanted.join(found_texts, "hash").select("id", "text")
 
     def verify(t: pa.Table) -> pa.Table:
         t, sig, n, same = _sides(t)
@@ -263,17 +278,17 @@ def jaccard_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tole
     found = cut(alive.join(texts, "id").groupBy("pair").applyInArrow(verify, "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("id"), "links")
     group = components(found.where("b is not null").select("a", "b")).select(F.col("a").alias("id"), F.col("b").alias("lead"))
-    by_class = classes.select("key", "id", "size").join(links, "id", "left").join(group, "id", "left").select(
-        "key", F.col("id").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("lead", "id").alias("group_id"))
-    out = signed.select("doc_id", "key").join(by_class, "key", "left")
-    return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("group_id", "doc_id").alias("group_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("group_id", "doc_id"), F.lit(True)).alias("kept"))
+    by_class = classes.select("key", "id", "first", "size").join(links, "id", "left").join(group, "id", "left").select(
+        "key", "first", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lead", "id").alias("lead"))
+    firsts = by_class.groupBy("lead").agg(F.min("first").alias("group_first"))
+    named = by_class.join(firsts, "lead").select("key", "first", "n_links", "group_first")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")
+    return signed.select("doc_id", "row__", own).join(named, "key", "left").select(
+        "doc_id", "row__", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_first")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each linked group only; all columns as they are."""
-    gone = jaccard_groups(docs, **options).where("not kept").select(F.col("doc_id").alias("id__")).distinct()
-    return docs.join(gone, docs.doc_id == gone.id__, "left_anti")
+    """``docs`` with one row of each linked group, the smallest by doc_id and then by its own key; all columns as they are."""
+    keyed = with_rows(docs)
+    gone = _groups(keyed.select("doc_id", "text", "row__"), **options).where("group_first.row__ <> row__").select("row__")
+    return keyed.join(gone, "row__", "left_anti").select(*docs.columns)

@@ -158,8 +158,26 @@ def test_exact_edges(clashing, empty):
     assert exact_groups(empty).count() == 0
     out = drop_copies(clashing)
     assert out.columns == clashing.columns
-    # a repeated row of the document that stays is told apart by nothing, so both stay
-    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 3, 4, 4, 5, 6, 7]
+    # of each group one row stays: of two equal rows of document 4 (5 has the same wording in other case) one
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 3, 4, 5, 6, 7]
+
+
+def test_row_identity(spark):
+    """Repeated rows, null ids and one id with two texts go through both dedup stages by row."""
+    from llm.exact_dedup import drop_copies
+    from llm.ngram_join import jaccard_groups, one_of_each_group
+
+    long = " ".join(f"w{k}" for k in range(60))
+    near, other = long.replace("w59", "x"), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, long)] * 3 + [(1, other), (2, near), (3, other.replace("v0", "y")), (None, "no id at all"), (None, "no id at all"), (0, other.replace("v30", "z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("clash"), "first": F.lit(1), "hash": F.lit(2)})
+    exact = drop_copies(df)
+    assert exact.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == Counter(dict.fromkeys(rows, 1))
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.group_id, r.kept) for r in jaccard_groups(df.where("doc_id is not null")).collect())
+    assert got == Counter({(1, 1, 3, 1, True): 3, (1, 1, 2, 0, False): 1, (2, 2, 3, 1, False): 1, (3, 3, 2, 0, False): 1, (0, 0, 2, 0, True): 1})
+    kept = Counter((r.doc_id, r.text) for r in one_of_each_group(df).collect())
+    assert kept == Counter({(1, long): 1, (0, rows[-1][1]): 1, (None, "no id at all"): 2})
 
 
 # ---- 3 url filter
@@ -279,6 +297,10 @@ def test_vectors_equal_brute_force(spark):
         got = Counter(tuple(r) for r in near_vectors(df, tile=tile).where("vec_id is not null").collect())
         assert got == want
     assert near_vectors(df.limit(0)).count() == 0
+    # one id with two vectors, and a null id with a copy
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.01]), (2, [0.01, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in near_vectors(two).collect())
+    assert got == Counter({(0, 1, 0, True): 2, (1, 1, 0, False): 1, (2, 1, 0, False): 1, (None, 0, None, True): 1})
 
 
 # ---- 7 token counts
