@@ -10,7 +10,8 @@ order.
 Defined cases: null html counts as empty and gives an empty text; character
 references are decoded once, white space inside a block becomes one space, empty
 blocks vanish; unclosed and misnested tags are tolerated; an unclosed script,
-style or comment hides the rest; pages of any length are read whole; repeated
+style or comment hides the rest; a self-closed icon or frame hides nothing; a
+quote that never closes makes its tag text; pages of any length are read whole, in time that grows with their length; repeated
 rows are extracted each.
 """
 
@@ -24,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# possessive and never across a new tag's bracket outside quotes: bad markup is read once
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|svg|iframe|object|textarea|title|select|button|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
+    r"|<(script|style|noscript|template|svg|iframe|object|textarea|title|select|button|canvas|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|$)"
+    r"|<[!?][^<>]*>|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-label|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,11 +43,24 @@ BAD_NAMES = set(
     "promo promoted promotion recommended related reply replies respond share sharing shop sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags teaser toolbar topbar tracking warning widget".split())
 GOOD_NAMES = set("article articlebody body content entry main maincontent post story text".split())
+#: Parts that say nothing by themselves: "site-footer" is a footer, "has-sidebar" or "overflow-hidden" is none.
+PLAIN_PARTS = set("area bar block box btn button container content group inner item items js left list main new outer page post right section site text top bottom user widget wrap wrapper".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
+EMBEDDED = set("svg iframe object canvas math".split())  # self-closed ones hold no text
 WHITE = re.compile(r"\s+")
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "bad", "good", "heading")
 
 
+def is_boilerplate(value: str) -> bool:
+    """Whether some whole name of a class or id attribute is made of boilerplate and plain parts only."""
+    for token in value.split():
+        parts = {x.lower() for x in NAME_PARTS(token)}
+        if not parts.isdisjoint(BAD_NAMES) and parts <= BAD_NAMES | PLAIN_PARTS:
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
     """(text, words, words in links, boilerplate around it, main text around it, heading) of each block with text."""
     out: list[tuple[str, int, int, int, int, bool]] = []
@@ -80,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
         if name == "a":
             in_link = not m[2]
             continue
-        if name in INLINE:
+        if name in INLINE or name in EMBEDDED and m[4].rstrip().endswith("/"):
             continue
         close()
         in_link = False
@@ -101,9 +118,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "hidden":
                     bad = True
-                parts = {x.lower() for x in NAME_PARTS(value)}
-                bad |= name not in WHOLE and not parts.isdisjoint(BAD_NAMES)
-                good |= not parts.isdisjoint(GOOD_NAMES)
+                bad |= name not in WHOLE and name not in HEADINGS and is_boilerplate(value)
+                good |= not {x.lower() for x in NAME_PARTS(value)}.isdisjoint(GOOD_NAMES)
             stack.append((name, int(bad), int(good and not bad)))
     rest = page[at:]
     if rest:

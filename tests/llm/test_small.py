@@ -244,6 +244,31 @@ def test_toxicity_learns_and_keeps_inputs_apart(spark, clashing):
         train(["a"], [1], ["en"])
 
 
+def test_scores_are_the_forward_pass(monkeypatch):
+    """The scorer against the network written out, over whole texts of many blocks."""
+    from llm import toxicity as T
+
+    rows = toxic_rows(90)
+    net = T.train([r[1] for r in rows], [r[5] for r in rows], ["en"] * len(rows), epochs=1, min_docs=1)
+    rng = np.random.default_rng(3)
+    words = [f"word{k}" for k in range(300)] + ["vile", "rotten", "unseen"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 64, 65, 66, 127, 128, 129, 130, 700)] + [" ".join(rng.choice(words, 60_000))]
+
+    def brute(text):
+        x = np.stack([sum(net.table[i] for i in [np.searchsorted(net.hashes, h) for h in T.features(w)] if i < len(net.hashes) and net.hashes[i] in T.features(w))
+                      if any(h in known for h in T.features(w)) else np.zeros(net.table.shape[1]) for w in T.words_of(text.lower())])
+        x = np.vstack([x, np.zeros((T.PAD, x.shape[1]))])
+        top = [max_ for w in T.WIDTHS for max_ in (sum(x[k:len(x) - T.PAD + k] @ net.filters[w][k] for k in range(w)).max(0) + net.bias[w])]
+        z = np.maximum(top, 0) @ net.out + net.out_bias
+        return 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -30, 30)))
+
+    known = set(net.hashes.tolist())
+    want = [brute(t) for t in texts]
+    for block in (50_000, 64, 7):
+        monkeypatch.setattr(T, "BLOCK_WORDS", block)
+        assert np.allclose(T.Scorer(net).score(texts), want, atol=1e-5), block
+
+
 # ---- 5 html
 
 def test_html():
@@ -255,6 +280,15 @@ def test_html():
     assert main_text(page, tree) == "A & B\nOne two three link four.\nCafé A<b>"
     for bad in ("", "<", "<p", "<p>", "text only", "<script>never closed", "<!-- never closed", "</p></div>", "<a" * 1000):
         assert isinstance(main_text(bad, tree), str)
+    import time
+
+    for bad in ("<a", "<!", "<a '", "<svg ", "<script", "<a b='"):  # a megabyte of bad markup is read in one go
+        began = time.time()
+        assert isinstance(main_text(bad * (1_000_000 // len(bad)), tree), str) and time.time() - began < 20
+    shell = "<article><p>{}</p><p>some more words that belong to the article</p></article>"
+    icon = main_text(shell.format("text <svg viewBox='0 0 1 1'/> after an icon and a few more words"), tree)
+    assert icon.startswith("text after an icon") and icon.count("\n") == 1
+    assert main_text("<div class='overflow-hidden has-sidebar'>" + shell.format("first words here") + "</div>", tree).startswith("first words here")
     long = "<article>" + "<p>" + "word " * 200_000 + "</article>"
     assert len(main_text(long, tree)) == 999_999
 
@@ -354,6 +388,17 @@ def test_pieces_equal_the_library(spark, odd):
         assert ids.tolist() == sp.encode(t) and p.decode(ids) == sp.decode(sp.encode(t))
         assert ends.tolist() == [x.end for x in sp.encode(t, return_type="proto").pieces]
         assert not len(ends) or ends[-1] == len(t.encode())
+    # the table: repeated rows, a null id, clashing columns, spans against the library's begins and ends
+    def digests(t):
+        pieces = sp.encode(t, return_type="proto").pieces
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        ids = [*sp.encode(t), 2]
+        return len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids)), sha(" ".join(map(str, [x.begin for x in pieces] + [x.end for x in pieces])))
+
+    texts = [(i, t) for i, t in enumerate(HARD + prose(5, 20))]
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string")).withColumns({"ids": F.lit("clash"), "decoded": F.lit(0)})
+    want = Counter((i, *digests(t or "")) for i, t in [(r[0], r[1]) for r in ODD] + texts)
+    assert Counter(tuple(r) for r in token_digests(encode_and_decode(df)).collect()) == want
     got = {r.doc_id: r for r in token_digests(encode_and_decode(odd.where("doc_id <> 4"))).collect()}
     assert (got[1].n_tokens, got[1].ids_sha256, got[1].decoded_sha256) == (1, hashlib.sha256(b"2").hexdigest(), hashlib.sha256(b"").hexdigest())
     assert got[6].ids_sha256 == hashlib.sha256(" ".join(map(str, [*sp.encode("x" * 30_000), 2])).encode()).hexdigest()
