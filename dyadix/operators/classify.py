@@ -123,13 +123,21 @@ class RidgeCV:
                     z = np.hstack([x, t, np.ones((len(x), 1))])
                     total = z.T @ z if total is None else total + z.T @ z
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array([r.tobytes() for r in total])], ["i", "g"])
+
+        def added(rows):
+            import pyarrow as pa
+
+            return pa.table({"i": rows["i"][:1], "g": pa.array([np.sum([np.frombuffer(r) for r in rows["g"].to_pylist()], axis=0).tobytes()])})
 
         width = train.agg(F.max(F.size("features"))).first()[0]
         if width > self.max_features:
             raise ValueError(f"{width} features; the driver solves systems of up to {self.max_features}")
         n = width + k + 1
-        g = sum(np.frombuffer(r.g).reshape(n, n) for r in train.select("y", "features").mapInArrow(sums, "g binary").collect())
+        # matrices are added row by row on the executors: the driver gets one, whatever the number of partitions
+        parts = train.select("y", "features").mapInArrow(sums, "i long, g binary").groupBy("i").applyInArrow(added, "i long, g binary")
+        g = np.stack([np.frombuffer(r.g) for r in sorted(parts.collect(), key=lambda r: r.i)])
+        assert g.shape == (n, n)
         rows, mean = g[-1, -1], g[-1, :-1] / g[-1, -1]
         c = g[:-1, :-1] - rows * np.outer(mean, mean)
         values, vectors = np.linalg.eigh(c[:width, :width])

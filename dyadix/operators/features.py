@@ -19,6 +19,7 @@ from dyadix.functions.normal import expansion_terms
 from dyadix.plans.layout import REPRESENTATIONS, approximated, feature_table, features, intervals, membership_table, representation_lengths
 
 FLOOR = 1e-12
+BATCH_BYTES = 32 << 20  # points and features that a task holds at a time
 
 
 def exact_block(z: np.ndarray, depth: int = 6, div: int = 4, lower_median: bool = False) -> np.ndarray:
@@ -76,9 +77,8 @@ def approx_block(z: np.ndarray, depth: int = 6, div: int = 4) -> np.ndarray:
 
 def _arrow(df: DataFrame, key: list[str], x: str, mode: str, length: int, names: tuple[str, ...], depth: int, div: int, lower_median: bool) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = max(1, BATCH_BYTES // (8 * (width + length)))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             flat = batch[x].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(flat) != batch.num_rows * length or not np.isfinite(flat).all():
                 raise ValueError(f"every series needs {length} finite points")
@@ -89,6 +89,8 @@ def _arrow(df: DataFrame, key: list[str], x: str, mode: str, length: int, names:
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in key), pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], [*key, "features"])
 
     kept = df.select(*key, x)
+    lengths = representation_lengths(length)
+    width = sum(len(features(lengths[n], depth, div, lower_median)) for n in names)
     schema = ", ".join(f"{k} {t}" for k, t in kept.dtypes if k != x)
     return kept.mapInArrow(run, f"{schema}, features array<double>")
 

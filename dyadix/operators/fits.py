@@ -92,6 +92,26 @@ def dispatch_study(minima: DataFrame, n_intervals: int, depth: int = 6, div: int
         threshold(F.col("kappa"), n_intervals, F.col("samples"), F.col("intervals")).alias("nl_threshold"))
 
 
+def predicted(constants: DataFrame, grid: DataFrame, keys: list[str], n: str = "n", actual: str = "t") -> DataFrame:
+    """constants(keys, setup, marginal) x grid(keys, n, actual) -> (keys, n, predicted, actual, error)."""
+    both = grid.join(constants.select(*keys, "setup", "marginal"), keys)
+    p = F.col("setup") + F.col("marginal") * F.col(n)
+    return both.select(*keys, n, p.alias("predicted"), F.col(actual).alias("actual"), (p - F.col(actual)).alias("error"))
+
+
+def overhead_residual(lines: DataFrame, slope: str, cost: Column) -> DataFrame:
+    """Adds ``residual``: the fitted slope without the predicted processing cost of one series."""
+    return lines.withColumn("residual", F.col(slope) - cost)
+
+
+def constants_table(long: DataFrame, names: list[str]) -> DataFrame:
+    """(estimator, constant, value) -> one row per estimator with a column per constant; each must be there once."""
+    wide = long.groupBy("estimator").pivot("constant", names).agg(F.first("value").alias("v"), F.count("value").alias("n"))
+    whole = F.forall(F.array(*[F.coalesce(F.col(f"{c}_n"), F.lit(0)) for c in names]), lambda n: n == 1)
+    return wide.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a constant is missing or double")).cast("boolean"))).select(
+        "estimator", *[F.col(f"{c}_v").alias(c) for c in names])
+
+
 def holdout_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     miss, a = F.col(actual) - F.col(predicted), F.col(actual)
     mean = df.agg(F.avg(a).alias("__m")).withColumn("__k", F.lit(1))

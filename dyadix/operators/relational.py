@@ -7,7 +7,7 @@ estimator, accuracy, ...).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,9 @@ def summary_by_bin(df: DataFrame, keys: list[str], score: str, runtime: str, ite
 
 
 def share_of_total(df: DataFrame, within: list[str], value: str, out: str = "share") -> DataFrame:
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*within)))
+    """Totals are combined before they move and joined back (a null key has no share)."""
+    total = df.groupBy(*within).agg(F.sum(value).alias("__total"))
+    return df.join(total, within).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
 
 
 def pivot_mean(df: DataFrame, keys: list[str], column: str, names: list, value: str) -> DataFrame:
@@ -82,6 +84,18 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns])
 
 
+def fill_nulls(df: DataFrame, values: dict) -> DataFrame:
+    return df.fillna(values)
+
+
+def one_row(df: DataFrame, condition: Column) -> DataFrame:
+    """The single row that meets the condition; none or several raise inside the job."""
+    found = df.where(condition)
+    n = found.agg(F.count("*").alias("__n"))
+    ok = n.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.col("__n").cast("string"), F.lit(" rows, not one"))).cast("boolean")))
+    return ok.withColumn("__k", F.lit(1)).join(found.withColumn("__k", F.lit(1)), "__k", "left").drop("__k", "__n")
+
+
 def quadrant_counts(df: DataFrame, x: str, y: str, x0: float = 1.0, y0: float = 0.0) -> DataFrame:
     a, b = F.col(x) >= x0, F.col(y) >= y0
     return df.agg(

@@ -69,7 +69,10 @@ def calibrate(table: DataFrame, modes: tuple[str, ...] = MODES, parallel: bool =
     if unknown:
         raise ValueError(f"unknown modes {sorted(unknown)}")
     rows: dict[str, list] = {}
-    for r in table.where(table.mode.isin(list(modes))).limit(100).collect():
+    held = table.where(table.mode.isin(list(modes))).limit(101).collect()
+    if len(held) > 100:  # never judged by a part of its rows
+        raise ValueError("over a hundred rows; a table of thresholds has one for each mode")
+    for r in held:
         rows.setdefault(r["mode"], []).append(r.asDict())
     out = {}
     for mode in modes:

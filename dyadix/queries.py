@@ -11,6 +11,7 @@ from dyadix.operators import features as X
 from dyadix.operators import fits, metrics, relational
 from dyadix.plans import costmodel, layout
 from dyadix.sources import series
+from dyadix.streaming.features import padded
 
 LENGTH = 64
 LENGTHS = [3, 15, 16, 24, 32, 48, 63, 64, 96, 97, 128, 200]
@@ -200,10 +201,12 @@ _all("exact")
 _all("approx")
 
 
-@query(features_sql("vec_id", "series AS (SELECT vec_id, list_transform(embedding[1:48], lambda v: v::DOUBLE) AS x FROM embeddings)", 48, "raw", "exact").replace("median(e - s)", "quantile_disc(e - s, 0.5)"))
+@query(features_sql("vec_id", "series AS (SELECT vec_id, list_transform(range(48), lambda i: embedding[i + 1]::DOUBLE + CASE WHEN i < 16 THEN embedding[i + 49]::DOUBLE ELSE 0 END) AS x FROM embeddings)", 48, "raw", "exact").replace("median(e - s)", "quantile_disc(e - s, 0.5)"))
 def exact_baseline_layout(spark, sf_dir):
-    """The baseline variants' layout (lower median), at a length where it differs."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 48).alias("x"))
+    """The baseline variants' layout (lower median), at a length where it differs: all 64 values folded onto 48 points."""
+    x = F.col("embedding").cast("array<double>")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.get(x, i) + F.when(i < 16, F.get(x, i + 48)).otherwise(0.0))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", folded.alias("x"))
     return _rows(X.interval_features(df, ["vec_id"], "x", 48, "exact", ("raw",), lower_median=True))
 
 
@@ -235,32 +238,35 @@ def moments_raw(spark, sf_dir):
 
 EVENTS_SQL = """ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, value,
       coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3141592653.59 AS gap FROM events),
-    pair AS (SELECT user_id, list(value ORDER BY r) AS v, list(gap ORDER BY r) AS g FROM ev WHERE r <= 32 GROUP BY user_id HAVING count(*) = 32)"""
+    pair AS (SELECT user_id * 1000 + (r - 1) // 32 AS uid, list_resize(list(value ORDER BY r), 32, arg_max(value, r)) AS v, list_resize(list(gap ORDER BY r), 32, arg_max(gap, r)) AS g
+             FROM ev GROUP BY user_id, (r - 1) // 32)"""
 
 
 def event_series(spark, sf_dir):
-    """(user_id, channel, x): the first 32 values of each user and the time between them, in a unit that makes no decimal ties when rounded."""
+    """(uid, channel, x): every user's values and the times between them, in a unit that makes no decimal ties when rounded,
+    as consecutive series of 32 events (uid = 1000 user_id + block); the last one repeats its last event up to 32."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 3141592653.59, F.lit(0.0))
-    ev = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("r"), "value", gap.alias("gap")).where("r <= 32")
-    both = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("r", "value", "gap"))).alias("p")).where("size(p) = 32")
-    return both.select("user_id", F.posexplode(F.array(F.transform("p", lambda s: s["value"]), F.transform("p", lambda s: s["gap"]))).alias("channel", "x"))
+    ev = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("r"), "value", gap.alias("gap")).withColumn("uid", F.expr("user_id * 1000 + (r - 1) div 32"))
+    both = ev.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("r", "value", "gap"))).alias("p"))
+    sides = F.array(padded(F.transform("p", lambda s: s["value"]), 32), padded(F.transform("p", lambda s: s["gap"]), 32))
+    return both.select("uid", F.posexplode(sides).alias("channel", "x"))
 
 
 def _two_channels_sql(mode):
-    src = "series AS (SELECT user_id * 2 AS id, v AS x FROM pair UNION ALL SELECT user_id * 2 + 1, g FROM pair)"
+    src = "series AS (SELECT uid * 2 AS id, v AS x FROM pair UNION ALL SELECT uid * 2 + 1, g FROM pair)"
     inner = features_sql("id", f"{EVENTS_SQL}, {src}", 32, "raw", mode, digits=15).replace("WITH ", "", 1)
     cut = inner.rindex("SELECT id, feature_idx")
     return f"""WITH {inner[:cut]} , res AS ({inner[cut:]})
-      SELECT id // 2 AS user_id, row_number() OVER (PARTITION BY id // 2 ORDER BY interval_id, id % 2, k) - 1 AS feature_idx, round(value, 7) + 0.0 AS value
+      SELECT id // 2 AS uid, row_number() OVER (PARTITION BY id // 2 ORDER BY interval_id, id % 2, k) - 1 AS feature_idx, round(value, 7) + 0.0 AS value
       FROM res JOIN ft USING (feature_idx)"""
 
 
 def _events(mode):
     def run(spark, sf_dir):
-        df = X.interval_features(event_series(spark, sf_dir), ["user_id", "channel"], "x", 32, mode, ("raw",))
-        joined = X.join_channels(df, "user_id", "channel", 32, ("raw",))
-        return X.as_rows(joined, ["user_id"], 7).select("user_id", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
+        df = X.interval_features(event_series(spark, sf_dir), ["uid", "channel"], "x", 32, mode, ("raw",))
+        joined = X.join_channels(df, "uid", "channel", 32, ("raw",))
+        return X.as_rows(joined, ["uid"], 7).select("uid", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
 
     run.__name__ = f"{mode}_events_two_channel"
     query(_two_channels_sql(mode).replace(" , res", ", res"))(run)
@@ -664,7 +670,7 @@ def extra_trees_predict(spark, sf_dir):
     from dyadix.operators.classify import ExtraTrees
 
     train, test = _train_test(spark, sf_dir)
-    return ExtraTrees(10, trees=16).fit(train).transform(test).select("vec_id", "y", metrics.argmax(F.col("proba")).alias("pred"))
+    return ExtraTrees(10).fit(train).transform(test).select("vec_id", "y", metrics.argmax(F.col("proba")).alias("pred"))
 
 
 @query()
@@ -674,10 +680,13 @@ def forest_predict(spark, sf_dir):
     from dyadix.operators.classify import random_forest
 
     train, test = (d.withColumn("features", array_to_vector("features")) for d in _train_test(spark, sf_dir))
-    model = random_forest(trees=8).setMaxDepth(8).fit(train)
+    model = random_forest().fit(train)
     return model.transform(test).select("vec_id", "y", F.col("prediction").cast("int").alias("pred"))
 
 
 @query()
 def gaussian_series(spark, sf_dir):
     return series.gaussian(spark, 100, LENGTH)
+
+
+from dyadix import study_queries as _more  # noqa: E402, F401  registers the queries of the estimator, readers and studies

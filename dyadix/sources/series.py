@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dyadix.operators.prefix import running_before
+
 RUNTIMES = "dataset string, split string, n_samples int, series_length int, estimator string, run int, runtime double"
 GRID_RUNTIMES = "series_length int, n_samples int, estimator string, run int, runtime double"
 METRICS = ("dataset string, resample int, estimator string, accuracy double, balanced_accuracy double, log_loss double, roc_auc double, f1 double, "
@@ -45,9 +47,13 @@ def read_resample(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pooled(train: DataFrame, test: DataFrame, order: str) -> DataFrame:
-    """Train rows, then test rows, numbered from 0 within a data set."""
-    both = train.withColumn("__t", F.lit(0)).unionByName(test.withColumn("__t", F.lit(1)))
-    return both.withColumn("pool_id", F.row_number().over(Window.partitionBy("dataset").orderBy("__t", order)).cast("long") - 1).drop("__t")
+    """Train rows, then test rows, numbered from 0 within a data set; ``order`` is a number, unique within a side.
+
+    Rows are numbered inside slices of the order, so one data set that holds all rows is many tasks."""
+    sides = train.withColumns({"__t": F.lit(0), "__one": F.lit(1)}).unionByName(test.withColumns({"__t": F.lit(1), "__one": F.lit(1)}))
+    first = train.groupBy("dataset").agg(F.count("*").alias("__first"))
+    ranked = running_before(sides, ["dataset", "__t"], order, "__one", "__before").join(first, "dataset", "left")
+    return ranked.withColumn("pool_id", F.col("__before") + F.when(F.col("__t") == 1, F.coalesce("__first", F.lit(0))).otherwise(0)).drop("__t", "__one", "__before", "__first")
 
 
 def resample(pool: DataFrame, indices: DataFrame) -> tuple[DataFrame, DataFrame]:

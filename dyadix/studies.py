@@ -193,6 +193,12 @@ def decisions_against_truth(spark: SparkSession, truth: DataFrame, mode: str) ->
     return truth.agg(F.avg((measured == chosen).cast("double")).alias("hit_rate"), F.avg((own / best - 1) * 100).alias("mean_percent_slower"))
 
 
+def heuristic_against_theorem(crossovers: DataFrame, threshold: float) -> DataFrame:
+    """crossovers(length, n_theorem) with the size at which a constant product of series and points switches, and their ratio."""
+    heuristic = F.lit(threshold) / F.col("length")
+    return crossovers.select("length", heuristic.alias("n_heuristic"), "n_theorem", (heuristic / F.nullif("n_theorem", F.lit(0.0))).alias("ratio"))
+
+
 def width_basis(length: int, depth: int = 6, div: int = 4) -> dict[str, float]:
     """The regressors of the processing-cost fits, over all representations."""
     own = [costmodel.counts(n, depth, div) for n in layout.representation_lengths(length).values()]

@@ -99,7 +99,9 @@ class IntervalQuantilesModel(Model, _Shared, DefaultParamsReadable, DefaultParam
 
     def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault
-        channel, key = g("channelCol"), [g("idCol")] + ([g("channelCol")] if g("channelCol") else [])
+        channel = g("channelCol")
+        # one channel: every other column of the input goes along; several: rows of one id become one
+        key = [g("idCol"), channel] if channel else [c for c in df.columns if c not in (g("inputCol"), g("outputCol"), "features")]
         x, length = F.col(g("inputCol")), g("length")
         good = (F.size(x) == length) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
         checked = df.withColumn(g("inputCol"), F.when(good, x).otherwise(F.raise_error(F.lit(f"every series needs {length} finite points"))))
