@@ -525,7 +525,7 @@ def test_lines_long_repeated_and_hot(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words = [f"w{k}" for k in rng.integers(0, 10 ** 6, 15_000)]
     near, far = list(words), list(words)
-    near[100] = near[14_000] = "changed"
+    near[7_000] = near[7_010] = "changed"
     for k in range(0, 15_000, 3):
         far[k] = f"other{k}"
     docs = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (None, "a b c d e f g h"), (4, "same line here\nsame line here"), (4, "same line here\nsame line here")]
