@@ -16,6 +16,8 @@ marks every row with the keeper's doc_id as kept, ``drop_copies`` keeps one of t
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,7 @@ from llm.common import cut, with_rows, write_shared
 
 WHITE = " \t\n\x0b\x0c\r"
 KEY_BITS = 64
+MOST_OWNERS = 1 << 16  # tasks of one stage
 
 
 def normal(text: Column) -> Column:
@@ -37,14 +40,19 @@ def build_directory(loads: dict[int, int], max_bits: int, capacity: int) -> list
 
     ``loads`` has the number of entries by their first ``max_bits`` bits. A bucket
     above ``capacity`` splits on its next bit; needing more bits than the
-    directory has doubles the directory (each entry becomes two)."""
+    directory has doubles the directory (each entry becomes two). A bucket that is
+    overfull at ``max_bits`` goes on splitting below its entry, which keeps only the
+    local depth it needs: keys are hashes, so their next bits halve it each time."""
     depth, directory, local = 0, [0], {0: 0}
     load = {0: sum(loads.values())}
     members = {0: dict(loads)}
     todo = [0]
     while todo:
         bucket = todo.pop()
-        if load[bucket] <= capacity or local[bucket] == max_bits:
+        if load[bucket] <= capacity:
+            continue
+        if local[bucket] == max_bits:
+            local[bucket] += ceil(log2(load[bucket] / capacity))
             continue
         if local[bucket] == depth:
             directory = [b for b in directory for _ in range(2)]
@@ -83,9 +91,9 @@ def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) ->
     index(key, chain, keep_id, keep_row, group_size, text_sha256) has one row per distinct
     text (keep_row: 0 where ``docs`` has no column row__), in one file per bucket under the shared folder; chain numbers the
     texts of one key. entries(doc_id, key, text_sha256) has one row per document.
-    The directory has 2**max_bits entries whatever the corpus holds; loads are
-    distinct keys, so copies overfill no bucket. For larger corpora raise
-    ``max_bits``: a bucket is one task.
+    The directory has 2**max_bits entries whatever the corpus holds; an entry
+    whose keys exceed ``capacity`` stands for as many buckets, on its keys' next
+    bits, as they need. Loads are distinct keys, so copies overfill no bucket.
     """
     spark = docs.sparkSession
     base = docs.select(
@@ -96,13 +104,19 @@ def build_index(docs: DataFrame, max_bits: int = 14, capacity: int = 20_000) ->
     # bounded: one row per prefix
     loads = {r.p: r.n for r in entries.groupBy(prefix.alias("p")).agg(F.approx_count_distinct("key").alias("n")).collect()}
     directory = build_directory(loads, max_bits, capacity)
-    buckets = len({b for _, b, _ in directory})
-    lookup = spark.createDataFrame([(p, b) for p, b, _ in directory], "p long, bucket int")
+    entry_buckets = len({b for _, b, _ in directory})
+    more = {b: max(depth - max_bits, 0) for _, b, depth in directory}
+    buckets = sum(1 << bits for bits in more.values())
+    lookup = spark.createDataFrame([(p, b, more[b]) for p, b, _ in directory], "p long, entry long, more int")
+    # a bucket's number: its entry's, and the bits below the entry
+    own_bits = F.call_function("shiftrightunsigned", F.col("key"), F.lit(KEY_BITS - max_bits) - F.col("more"))
+    bucket = F.col("entry") + F.pmod(own_bits, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("more"))) * entry_buckets
 
     # copies collapse batch by batch before the texts move, so a group that holds a third of all rows stays small
     few = base.mapInArrow(_collapse, "key long, norm string, points long, doc_id long, row long, n long")
-    owned = few.join(F.broadcast(lookup), prefix == F.col("p")).drop("p").repartition(max(buckets, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
-    # one owner holds all of a bucket: both groupings below find their rows in place
+    owners = max(min(buckets, MOST_OWNERS), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owned = few.join(F.broadcast(lookup), prefix == F.col("p")).withColumn("bucket", bucket).drop("p", "entry", "more").repartition(owners, "bucket")
+    # one owner holds all of a bucket (and, beyond MOST_OWNERS buckets, several): both groupings below find their rows in place
     texts = owned.groupBy("bucket", "key", "norm").agg(
         F.sum("n").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id", "row")).alias("best"))
     chained = texts.select(

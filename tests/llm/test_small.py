@@ -59,8 +59,39 @@ def test_share_gives_shortages_to_siblings_first():
     assert leaf_budgets({}, 10, {}, 1) == {}
 
 
+def poured(tokens, budget, weights, epochs, path=()):
+    """Leaf budgets another way: each node's budget is poured in small drops, each to the child that is
+    furthest below its weighted level and not yet full."""
+    if len(path) == 3:
+        return {path: min(budget, epochs * tokens[path])}
+    room = defaultdict(float)
+    for leaf, n in tokens.items():
+        if leaf[:len(path)] == path:
+            room[leaf[:len(path) + 1]] += epochs * n
+    got, drop = dict.fromkeys(room, 0.0), 1e-3
+    left = min(budget, sum(room.values()))
+    while left > 1e-9:
+        child = min((c for c in room if got[c] < room[c] - 1e-9), key=lambda c: (got[c] / weights.get(c, 1.0), c))
+        some = min(drop * budget, left, room[child] - got[child])
+        got[child] += some
+        left -= some
+    return {leaf: b for c, own in got.items() for leaf, b in poured(tokens, own, weights, epochs, c).items()}
+
+
+def test_leaf_budgets_equal_poured_ones():
+    from llm.mixing import leaf_budgets
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        tokens = {(f"d{i}", "en" if i % 2 else "de", f"s{j}"): int(rng.integers(1, 300)) for i in range(3) for j in range(int(rng.integers(1, 4)))}
+        weights = {("d0",): 4.0, ("d1",): 0.5, ("d2", "de", "s1"): 3.0}
+        budget = float(rng.uniform(0.2, 2.5)) * sum(tokens.values())
+        got, want = leaf_budgets(tokens, budget, weights, 2), poured(tokens, budget, weights, 2)
+        assert got == pytest.approx(want, abs=0.01 * budget)
+
+
 def test_mix_equals_brute_force(spark):
-    from llm.mixing import leaf_budgets, mix
+    from llm.mixing import leaf_budgets, mix  # budgets: see the test above
 
     rng = np.random.default_rng(0)
     docs = [(i, " ".join(["t"] * int(rng.integers(1, 40))), ["en", "de"][i % 3 == 0], f"src{i % 5}", 0) for i in range(400)]
@@ -128,6 +159,20 @@ def test_directory_doubles_and_covers():
         held[b] += loads.get(p, 0)
     assert held[dict((p, b) for p, b, _ in d)[0]] == 50 and max(v for v in held.values() if v != 50) <= 40
     assert len({b for _, b, _ in build_directory({}, 3, 40)}) == 1
+    # an entry that is overfull with all bits of the directory has the depth that its load needs
+    assert [(p, depth) for p, _, depth in build_directory({1: 161, 3: 40}, 2, 40) if depth > 2] == [(1, 5)]
+
+
+def test_buckets_below_the_directory(spark):
+    """Beyond the directory's bits buckets split on: none holds many more keys than it should, and groups stay right."""
+    from llm.exact_dedup import build_index, exact_groups
+
+    texts = [(i, f"text {i % 1500}") for i in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    index, _ = build_index(df, max_bits=2, capacity=50)
+    sizes = [r[1] for r in index.groupBy(F.regexp_extract(F.input_file_name(), "bucket=([0-9]+)", 1)).count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) >= 24 and max(sizes) < 100
+    assert Counter(tuple(r) for r in exact_groups(df, max_bits=2, capacity=50).collect()) == exact_brute(texts)
 
 
 def exact_brute(rows):
