@@ -12,6 +12,7 @@ from dyadix import queries as Q
 from dyadix import studies
 from dyadix.operators import features as X
 from dyadix.operators import fits, metrics, relational
+from dyadix.operators.classify import RidgeCV
 from dyadix.plans import costmodel, layout
 from dyadix.queries import GRID_SQL, LENGTH, LENGTHS, LINES_SQL, PAIRS_SQL, RUNS_SQL, SCORES_SQL, VECTORS_SQL, query, table
 from dyadix.sources import series
@@ -277,3 +278,27 @@ def constants_by_estimator(spark, sf_dir):
     line = fits.setup_and_marginal(Q.fit_grid(spark, sf_dir), ["L"]).select(F.concat(F.lit("L"), "L").alias("estimator"), "setup", "marginal")
     long = relational.unpivot(line, ["estimator"], ["setup", "marginal"], "constant", "value")
     return Q._round(fits.constants_table(long, ["setup", "marginal"]), "setup", "marginal", digits=6)
+
+
+@query(f"""WITH {RUNS_SQL}, {GRID_SQL}, s AS (SELECT avg(L) AS ml, avg(n) AS mn, avg(t) AS mt, var_pop(L) AS ll, var_pop(n) AS nn, covar_pop(L, n) AS ln, covar_pop(L, t) AS lt, covar_pop(n, t) AS nt, var_pop(t) AS tt FROM g),
+    b AS (SELECT *, (lt * nn - nt * ln) / (ll * nn - ln * ln) AS bl, (nt * ll - lt * ln) / (ll * nn - ln * ln) AS bn FROM s)
+    SELECT round(mt - bl * ml - bn * mn, 6) AS one, round(bl, 6) AS L, round(bn, 6) AS n, round((bl * lt + bn * nt) / tt, 6) AS r2 FROM b""")
+def joint_coefficients(spark, sf_dir):
+    """The joint fit of three terms, from per-task triangular factors."""
+    g = Q.fit_grid(spark, sf_dir).select(F.lit(1.0).alias("one"), F.col("L").cast("double").alias("L"), F.col("n").cast("double").alias("n"), "t")
+    beta, r2, _ = fits.least_squares(g, ["one", "L", "n"], "t")
+    return Q._round(spark.createDataFrame([(*map(float, beta), float(r2))], "one double, L double, n double, r2 double"), "one", "L", "n", "r2", digits=6)
+
+
+# ---- classifiers -------------------------------------------------------------------------------------------------
+
+@query("""WITH x AS (SELECT vec_id, label AS y, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS a, list_sum(list_transform(embedding, lambda v: abs(v::DOUBLE))) AS b FROM embeddings),
+    t AS (SELECT k, a, b, CASE WHEN y = k THEN 1.0 ELSE -1.0 END AS t FROM x, (SELECT unnest(range(10)) AS k) WHERE vec_id % 3 <> 0),
+    c AS (SELECT k, avg(a) AS ma, avg(b) AS mb, avg(t) AS mt, count(*) * var_pop(a) + 1 AS aa, count(*) * var_pop(b) + 1 AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, t) AS ta, count(*) * covar_pop(b, t) AS tb FROM t GROUP BY k),
+    w AS (SELECT *, (ta * bb - tb * ab) / (aa * bb - ab * ab) AS wa, (tb * aa - ta * ab) / (aa * bb - ab * ab) AS wb FROM c)
+    SELECT vec_id, any_value(y) AS y, arg_max(k, mt + wa * (a - ma) + wb * (b - mb))::INT AS pred FROM x, w WHERE vec_id % 3 = 0 GROUP BY vec_id""")
+def ridge_two_sums(spark, sf_dir):
+    """Ridge regression at a fixed penalty on two features of whole vectors, so few that their system is solved in SQL too."""
+    total = lambda f: F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), f)
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("y"), F.array(total(lambda s, v: s + v), total(lambda s, v: s + F.abs(v))).alias("features"))
+    return RidgeCV(10, alphas=(1.0,)).fit(x.where("vec_id % 3 <> 0")).transform(x.where("vec_id % 3 = 0")).select("vec_id", "y", "pred")
