@@ -1,4 +1,4 @@
-"""Classifiers over feature vectors: forests, extremely randomised trees, ridge with built-in validation."""
+"""Classifiers over feature vectors: forests, extremely randomised trees (in ``trees``), ridge with built-in validation."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, SHARE = 200, 0.1
+from dyadix.operators.trees import SHARE, TREES, ExtraTrees
+
+__all__ = ["ExtraTrees", "RidgeCV", "random_forest"]
 
 
 def random_forest(seed: int = 0, trees: int = TREES, share: float = SHARE, bootstrap: bool = True) -> RandomForestClassifier:
@@ -16,90 +18,6 @@ def random_forest(seed: int = 0, trees: int = TREES, share: float = SHARE, boots
                                   maxDepth=30, bootstrap=bootstrap, seed=seed)
 
 
-def _grow(x: np.ndarray, y: np.ndarray, classes: int, share: float, rng: np.random.Generator):
-    """One extremely randomised tree: at each node a share of the features gets one random cut, the best by entropy is taken."""
-
-    def entropy(counts):
-        p = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
-        return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
-
-    nodes, todo = [], [(np.arange(len(y)), -1, 0)]
-    hot = np.eye(classes)[y]
-    while todo:
-        rows, parent, side = todo.pop()
-        at = len(nodes)
-        counts = hot[rows].sum(0)
-        nodes.append([-1, 0.0, -1, -1, (counts / counts.sum()).tolist()])
-        if parent >= 0:
-            nodes[parent][2 + side] = at
-        if (counts > 0).sum() < 2:
-            continue
-        order = rng.permutation(x.shape[1])
-        want, best = max(1, int(share * x.shape[1])), (np.inf, None, None)
-        low, high = x[rows].min(0), x[rows].max(0)
-        for f in order[high[order] > low[order]][:want]:
-            cut = rng.uniform(low[f], high[f])
-            left = x[rows, f] <= cut
-            a, b = hot[rows[left]].sum(0), hot[rows[~left]].sum(0)
-            cost = entropy(a) * a.sum() + entropy(b) * b.sum()
-            if a.sum() and b.sum() and cost < best[0]:
-                best = (cost, int(f), float(cut))
-        if best[1] is None:
-            continue
-        nodes[at][0], nodes[at][1] = best[1], best[2]
-        left = x[rows, best[1]] <= best[2]
-        todo += [(rows[~left], at, 1), (rows[left], at, 0)]
-    return nodes
-
-
-def _walk(nodes, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), int)
-    feature, cut = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
-    down = np.array([[n[2], n[3]] for n in nodes])
-    while (inner := feature[at] >= 0).any():
-        rows = np.flatnonzero(inner)
-        at[rows] = down[at[rows], (x[rows, feature[at[rows]]] > cut[at[rows]]).astype(int)]
-    return np.array([n[4] for n in nodes])[at]
-
-
-class ExtraTrees:
-    """Trees are grown side by side, one task each, on a training set that must fit a task; scoring is distributed."""
-
-    def __init__(self, classes: int, trees: int = TREES, share: float = SHARE, seed: int = 0, max_train_mb: float = 512.0):
-        self.classes, self.trees, self.share, self.seed, self.max_train_mb = classes, trees, share, seed, max_train_mb
-
-    def fit(self, train: DataFrame) -> ExtraTrees:
-        """``train(y, features array<double>)``; larger sets than ``max_train_mb`` are refused, not cut."""
-        spark = train.sparkSession
-        size = train.agg((F.count("*") * F.max(F.size("features")) * 8 / 1e6).alias("mb")).first().mb or 0
-        if size > self.max_train_mb:
-            raise ValueError(f"{size:.0f} MB of training features; a tree's task may hold {self.max_train_mb:.0f}")
-        rows = train.select("y", "features").toPandas()
-        order = np.lexsort((rows.index, rows.y))
-        data = spark.sparkContext.broadcast((np.stack(rows.features.to_numpy())[order], rows.y.to_numpy(int)[order]))
-        classes, share, seed = self.classes, self.share, self.seed
-
-        def grow(parts):
-            x, y = data.value
-            for part in parts:
-                yield pd.DataFrame({"tree": [repr(_grow(x, y, classes, share, np.random.default_rng((seed, int(t))))) for t in part["id"]]})
-
-        import ast
-
-        self.model = [ast.literal_eval(r.tree) for r in spark.range(self.trees).repartition(min(self.trees, 64)).mapInPandas(grow, "tree string").collect()]
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(self.model)
-
-        @F.pandas_udf("array<double>")
-        def proba(features: pd.Series) -> pd.Series:
-            x = np.stack(features.to_numpy())
-            return pd.Series(list(sum(_walk(t, x) for t in sent.value) / len(sent.value)))
-
-        return df.withColumn("proba", proba("features"))
-
-
 class RidgeCV:
     """One-vs-rest ridge regression on targets of -1 and 1; the penalty of least leave-one-out error.
 

@@ -1,7 +1,8 @@
 """Interval quantile features: exact by sorting, or approximate from four moments.
 
-Three plans give the same values: ``rowwise`` (array functions, no shuffle, no
-Python), ``arrow`` (blocks of rows in NumPy, no shuffle) and ``long`` (one row
+The plans give the same values: ``rowwise`` (array functions, no shuffle, no
+Python), ``arrow`` (blocks of rows in NumPy, no shuffle), ``presort`` (the same with one
+sort a series), ``auto`` (``mixed``: each batch chooses) and ``long`` (one row
 per point, an equi-join with the membership table and one hash aggregate: for
 series that arrive as rows). Features are an array per series, so a width of
 tens of thousands is no trouble.
@@ -9,6 +10,8 @@ tens of thousands is no trouble.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dyadix.functions import representations as R
 from dyadix.functions.normal import expansion_terms
-from dyadix.plans.layout import REPRESENTATIONS, approximated, feature_table, features, intervals, membership_table, representation_lengths
+from dyadix.plans.layout import REPRESENTATIONS, approximated, feature_table, features, intervals, membership_table, representation_lengths, segments
 
 FLOOR = 1e-12
 BATCH_BYTES = 32 << 20  # points and features that a task holds at a time
@@ -45,34 +48,188 @@ def exact_block(z: np.ndarray, depth: int = 6, div: int = 4, lower_median: bool
     return np.concatenate(out, 1)
 
 
-def approx_block(z: np.ndarray, depth: int = 6, div: int = 4) -> np.ndarray:
-    """As exact_block, with interior quantiles from the moments of each interval."""
-    n = z.shape[1]
+@lru_cache(1024)
+def widths(length: int, depth: int, div: int, lower_median: bool):
+    """The intervals of each width: (points of each, its quantiles, where their values go)."""
     own: dict[int, list] = {}
-    for f in features(n, depth, div):
+    for f in features(length, depth, div, lower_median):
         own.setdefault(f.interval_id, []).append(f)
-    out = []
-    for iv in intervals(n, depth):
-        part = z[:, iv.start:iv.end]
-        fs = own[iv.interval_id]
-        mean = part.mean(1, keepdims=True)
+    groups: dict[int, list] = {}
+    for iv in intervals(length, depth, lower_median):
+        groups.setdefault(iv.width, []).append(iv)
+    return [(np.array([iv.start for iv in g])[:, None] + np.arange(w), own[g[0].interval_id], np.array([[f.feature_id for f in own[iv.interval_id]] for iv in g]))
+            for w, g in groups.items()]
+
+
+def width_block(z: np.ndarray, mode: str, depth: int = 6, div: int = 4, lower_median: bool = False) -> np.ndarray:
+    """(rows, features) of one representation, all intervals of one width together."""
+    out = np.empty((len(z), len(features(z.shape[1], depth, div, lower_median))))
+    for points, fs, to in widths(z.shape[1], depth, div, lower_median):
+        part = z[:, points]
         if fs[0].kind == 0:
-            out.append(mean)
+            out[:, to[:, 0]] = part[:, :, 0]
             continue
-        c = part - mean
+        mean = part.mean(2, keepdims=True)
+        if mode == "exact":
+            ordered = np.sort(part, axis=2)
+            place = np.array([f.q for f in fs]) * (points.shape[1] - 1)
+            low = np.floor(place).astype(int)
+            rest = place - low
+            a, b = ordered[:, :, low], ordered[:, :, np.minimum(low + 1, points.shape[1] - 1)]
+            value = np.where(rest >= 0.5, b - (b - a) * (1 - rest), a + (b - a) * rest)
+        else:
+            c = part - mean
+            c2 = c * c
+            var = c2.mean(2)
+            skew = (c2 * c).mean(2) / (np.sqrt(np.maximum(var, FLOOR)) ** 3 + FLOOR)
+            kurt = (c2 * c2).mean(2) / (var * var + FLOOR) - 3
+            value = np.empty((*part.shape[:2], len(fs)))
+            for k, f in enumerate(fs):
+                if approximated(f):
+                    t = expansion_terms(f.q)
+                    value[:, :, k] = mean[:, :, 0] + np.sqrt(np.maximum(var, 0)) * (t[0] + t[1] * skew + t[2] * kurt - t[3] * skew * skew)
+                else:
+                    value[:, :, k] = part.max(2) if f.k else part.min(2)
+        out[:, to] = value - mean * np.array([f.centered for f in fs])
+    return out
+
+
+def presorted_block(z: np.ndarray, depth: int = 6, div: int = 4, lower_median: bool = False) -> np.ndarray:
+    """As exact_block, from one sort of each series: a stable partition of that order by bucket puts the points of every
+    interval in order, level after level (edges nest; moved intervals part the whole order)."""
+    own: dict[int, list] = {}
+    for f in features(z.shape[1], depth, div, lower_median):
+        own.setdefault(f.interval_id, []).append(f)
+    levels: dict[tuple[int, bool], list] = {}
+    for iv in intervals(z.shape[1], depth, lower_median):
+        levels.setdefault((iv.depth, iv.shifted), []).append(iv)
+    out = np.empty((len(z), sum(map(len, own.values()))))
+    whole = nested = np.argsort(z, axis=1, kind="stable").astype(np.int32)
+    for (_, shifted), ivs in levels.items():
+        bucket = np.full(z.shape[1], len(ivs), np.int16)  # small numbers are parted by counting, not compared
+        for i, iv in enumerate(ivs):
+            bucket[iv.start:iv.end] = i
+        order = whole if shifted else nested
+        order = np.take_along_axis(order, np.argsort(bucket[order], axis=1, kind="stable"), 1)
+        if not shifted:
+            nested = order
+        ordered = np.take_along_axis(z, order, 1)
+        begin = np.cumsum([0] + [iv.width for iv in ivs])
+        for width in {iv.width for iv in ivs}:
+            mine = [i for i, iv in enumerate(ivs) if iv.width == width]
+            fs = own[ivs[mine[0]].interval_id]
+            part = ordered[:, begin[mine][:, None] + np.arange(width)]
+            to = np.array([[f.feature_id for f in own[ivs[i].interval_id]] for i in mine])
+            if fs[0].kind == 0:
+                out[:, to[:, 0]] = part[:, :, 0]
+                continue
+            place = np.array([f.q for f in fs]) * (width - 1)
+            low = np.floor(place).astype(int)
+            rest = place - low
+            a, b = part[:, :, low], part[:, :, np.minimum(low + 1, width - 1)]
+            value = np.where(rest >= 0.5, b - (b - a) * (1 - rest), a + (b - a) * rest)
+            out[:, to] = value - part.mean(2, keepdims=True) * np.array([f.centered for f in fs])
+    return out
+
+
+@lru_cache(256)
+def _merges(length: int, depth: int) -> list[tuple]:
+    """For each group of intervals that do not overlap: which they are, their segments, the 0/1 matrix that adds segments up, and their points."""
+    seg, out = segments(length, depth), []
+    for ivs in seg.levels:
+        first, last = seg.runs[ivs[0]][0], sum(seg.runs[ivs[-1]])
+        held = np.zeros((len(ivs), last - first))
+        for i, iv in enumerate(ivs):
+            at, k = seg.runs[iv]
+            held[i, at - first:at - first + k] = 1
+        out.append((slice(ivs[0], ivs[-1] + 1), slice(first, last), held, held @ np.array(seg.widths[first:last], float)[:, None]))
+    return out
+
+
+def _extremes(low: np.ndarray, high: np.ndarray, runs: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest over runs of rows, each from two stretches of a power of two rows."""
+    first, k = np.array(runs).T
+    level = np.frexp(k.astype(float))[1] - 1
+    out = np.empty((len(k), low.shape[1])), np.empty((len(k), low.shape[1]))
+    for j in range(level.max() + 1):
+        own = np.flatnonzero(level == j)
+        a, b = first[own], first[own] + k[own] - (1 << j)
+        out[0][own], out[1][own] = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        if len(low) > 1 << j:
+            low, high = np.minimum(low[:-(1 << j)], low[1 << j:]), np.maximum(high[:-(1 << j)], high[1 << j:])
+    return out
+
+
+def moments_block(z: np.ndarray, depth: int = 6) -> dict[str, np.ndarray]:
+    """mean, m2, m3, m4 (sums of powers about the mean), low and high of every interval, (intervals, rows) each, and their n.
+
+    Each point is read once, into the moments of its segment about the segment's own mean; an interval's moments are
+    merged from those of its segments, so large offsets lose no digits. Points go down and rows across."""
+    seg = segments(z.shape[1], depth)
+    y = np.ascontiguousarray(z.T)
+    starts, widths = np.array(seg.starts), np.array(seg.widths)
+    n = widths[:, None].astype(float)
+    single = len(starts) == len(y)  # every point is a segment
+    if single:
+        mean = low = high = y
+    else:
+        mean = np.add.reduceat(y, starts) / n
+        c = y - np.repeat(mean, widths, axis=0)
         c2 = c * c
-        var = c2.mean(1, keepdims=True)
-        skew = (c2 * c).mean(1, keepdims=True) / (np.sqrt(np.maximum(var, FLOOR)) ** 3 + FLOOR)
-        kurt = (c2 * c2).mean(1, keepdims=True) / (var * var + FLOOR) - 3
-        value = np.empty((len(z), len(fs)))
-        for k, f in enumerate(fs):
-            if approximated(f):
-                t = expansion_terms(f.q)
-                value[:, k:k + 1] = mean + np.sqrt(np.maximum(var, 0)) * (t[0] + t[1] * skew + t[2] * kurt - t[3] * skew * skew)
-            else:
-                value[:, k] = part.max(1) if f.k else part.min(1)
-        out.append(value - mean * np.array([f.centered for f in fs]))
-    return np.concatenate(out, 1)
+        m2, m3, m4 = (np.add.reduceat(v, starts) for v in (c2, c2 * c, c2 * c2))
+        low, high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+    out = {k: np.empty((len(seg.runs), len(z))) for k in ("mean", "m2", "m3", "m4")}
+    count = np.empty((len(seg.runs), 1))
+    for own, s, held, total in _merges(z.shape[1], depth):
+        together = held @ (n[s] * mean[s]) / total
+        d = mean[s] - held.T @ together  # a segment of no interval here gets its own mean: it is in no sum
+        d2 = d * d
+        out["mean"][own], count[own] = together, total
+        if single:
+            out["m2"][own], out["m3"][own], out["m4"][own] = held @ d2, held @ (d2 * d), held @ (d2 * d2)
+        else:
+            nd = n[s] * d
+            out["m2"][own] = held @ (m2[s] + nd * d)
+            out["m3"][own] = held @ (m3[s] + d * (3 * m2[s] + nd * d))
+            out["m4"][own] = held @ (m4[s] + d * (4 * m3[s] + d * (6 * m2[s] + nd * d)))
+    out["low"], out["high"] = _extremes(low, high, seg.runs)
+    return out | {"n": count}
+
+
+@lru_cache(256)
+def _expanded(length: int, depth: int, div: int) -> tuple[np.ndarray, ...]:
+    """Of every feature: its interval, its expansion terms, how it is found (0 mean, 1 least, 2 greatest, 3 expansion), and whether the mean goes off."""
+    fs = features(length, depth, div)
+    terms = np.array([expansion_terms(f.q) if approximated(f) else (0.0,) * 4 for f in fs])
+    how = np.array([0 if f.kind == 0 else 3 if approximated(f) else 2 if f.k else 1 for f in fs])
+    return np.array([f.interval_id for f in fs]), terms.T.copy(), how, np.array([f.centered for f in fs], float)
+
+
+def approx_block(z: np.ndarray, depth: int = 6, div: int = 4) -> np.ndarray:
+    """As exact_block, with interior quantiles from the moments of each interval: merged where segments hold several points, else read from the points."""
+    if 2 * len(segments(z.shape[1], depth).starts) > z.shape[1]:
+        return width_block(z, "approx", depth, div)
+    at, t, how, centered = _expanded(z.shape[1], depth, div)
+    m = moments_block(z, depth)
+    var = m["m2"] / m["n"]
+    spread = np.sqrt(np.maximum(var, 0))
+    floored = np.sqrt(np.maximum(var, FLOOR))
+    skew = m["m3"] / m["n"] / (floored * floored * floored + FLOOR)
+    kurt = m["m4"] / m["n"] / (var * var + FLOOR) - 3
+    own = np.flatnonzero(how == 3)
+    iv, u = at[own], t[:, own, None]
+    sk = skew[iv]
+    value = np.empty((len(at), len(z)))
+    value[own] = m["mean"][iv] + spread[iv] * (u[0] + u[1] * sk + u[2] * kurt[iv] - u[3] * sk * sk)
+    for k, name in ((0, "mean"), (1, "low"), (2, "high")):
+        own = np.flatnonzero(how == k)
+        value[own] = m[name][at[own]]
+    own = np.flatnonzero(centered)
+    value[own] -= m["mean"][at[own]]
+    return np.ascontiguousarray(value.T)
+
+
+BLOCKS = {"exact": exact_block, "presort": presorted_block}
 
 
 def _arrow(df: DataFrame, key: list[str], x: str, mode: str, length: int, names: tuple[str, ...], depth: int, div: int, lower_median: bool) -> DataFrame:
@@ -83,7 +240,7 @@ def _arrow(df: DataFrame, key: list[str], x: str, mode: str, length: int, names:
             if len(flat) != batch.num_rows * length or not np.isfinite(flat).all():
                 raise ValueError(f"every series needs {length} finite points")
             made = R.blocks(flat.reshape(-1, length))
-            parts = [exact_block(made[n], depth, div, lower_median) if mode == "exact" else approx_block(made[n], depth, div) for n in names]
+            parts = [approx_block(made[n], depth, div) if mode == "approx" else BLOCKS[mode](made[n], depth, div, lower_median) for n in names]
             both = np.concatenate(parts, 1)
             offsets = pa.array(np.arange(len(both) + 1) * both.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in key), pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], [*key, "features"])
@@ -155,14 +312,23 @@ def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode:
     if mode not in ("exact", "approx"):
         raise ValueError(f"mode is exact or approx, not {mode!r}")
     lengths = representation_lengths(length)
+    if strategy == "auto":  # by the size of each batch, inside the job
+        from dyadix.operators.mixed import features_by_length
+
+        x_ok = df.withColumn(x, F.when(F.size(x) == length, F.col(x)).otherwise(F.raise_error(F.lit(f"every series needs {length} finite points"))))
+        return features_by_length(x_ok, key, x, mode, names, depth=depth, div=div, lower_median=lower_median).select(*key, "features")
     if strategy == "arrow":
         return _arrow(df, key, x, mode, length, names, depth, div, lower_median)
+    if strategy == "presort":
+        if mode != "exact":
+            raise ValueError("only exact quantiles need an order")
+        return _arrow(df, key, x, "presort", length, names, depth, div, lower_median)
     if lower_median:
-        raise ValueError("the baseline layout is there in the arrow plan only")
+        raise ValueError("the baseline layout is there in the arrow, presort and auto plans only")
     if strategy == "long":
         return _long(df, key, x, mode, length, names, depth, div)
     if strategy != "rowwise":
-        raise ValueError(f"strategy is arrow, rowwise or long, not {strategy!r}")
+        raise ValueError(f"strategy is auto, arrow, presort, rowwise or long, not {strategy!r}")
     out = df.select(*key, F.col(x).alias("__x"))
     for name in names:
         y = R.fft_abs_sql(F.col("__x"), length) if name == "fft_abs" else R.COLUMNS[name](F.col("__x"))
@@ -170,19 +336,58 @@ def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode:
     return out.select(*key, F.concat(*[F.col(f"__{n}") for n in names]).alias("features"))
 
 
+MOMENTS = ("n", "mean", "m2", "m3", "m4", "low", "high")
+
+
+def merged_moments(a: Column, b: Column) -> Column:
+    """The moments of two parts together: structs of n, mean, sums of powers about the mean, least and greatest (pairwise update)."""
+    def both(na: Column, nb: Column) -> Column:
+        n, d = na + nb, b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + d * nb / n).alias("mean"), (a["m2"] + b["m2"] + d * d * na * nb / n).alias("m2"),
+            (a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (n * n) + 3 * d * (na * b["m2"] - nb * a["m2"]) / n).alias("m3"),
+            (a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (n * n * n) + 6 * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n)
+             + 4 * d * (na * b["m3"] - nb * a["m3"]) / n).alias("m4"),
+            F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"))
+
+    return both(a["n"], b["n"])
+
+
+def segment_moments(points: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
+    """``points(key, t, y)``, a stream or not -> (key, segment, *MOMENTS): a point belongs to one segment, found in a literal
+    array, and the engine's central-moment aggregates keep and merge the moments. On a stream they are the state."""
+    of = [i for i, w in enumerate(segments(length, depth).widths) for _ in range(w)]
+    held = points.select(*key, F.get(F.lit(of), F.col("t").cast("int")).alias("segment"), F.col("y").cast("double").alias("y"))
+    agg = held.groupBy(*key, "segment").agg(
+        F.count("y").cast("double").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"), F.skewness("y").alias("sk"), F.kurtosis("y").alias("ku"),
+        F.min("y").alias("low"), F.max("y").alias("high"))
+    # the built-ins are null on constant parts
+    return agg.select(*key, "segment", "n", "mean", (F.col("var") * F.col("n")).alias("m2"),
+                      F.coalesce(F.col("sk") * F.pow("var", F.lit(1.5)) * F.col("n"), F.lit(0.0)).alias("m3"),
+                      F.coalesce((F.col("ku") + 3) * F.col("var") * F.col("var") * F.col("n"), F.lit(0.0)).alias("m4"), "low", "high")
+
+
+def interval_moments(states: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
+    """``states`` of all of a series' segments -> (key, interval_id, n, mean, var, m3, m4, low, high) of every interval, merged from its segments."""
+    seg = segments(length, depth)
+    parts = states.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("segment", F.struct(*MOMENTS).alias("m")))).alias("parts"))
+    runs = F.lit([a + 1 for a, _ in seg.runs]), F.lit([n for _, n in seg.runs])
+
+    def one(i: Column) -> Column:
+        own = F.transform(F.slice("parts", F.get(runs[0], i), F.get(runs[1], i)), lambda p: p["m"])
+        return F.aggregate(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), F.get(own, F.lit(0)), merged_moments)
+
+    every = parts.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(seg.runs) - 1)), one)).alias("interval_id", "m"))
+    n = F.col("m.n")
+    return every.select(*key, "interval_id", n.cast("long").alias("n"), "m.mean", *[(F.col(f"m.{c}") / n).alias(o) for c, o in (("m2", "var"), ("m3", "m3"), ("m4", "m4"))], "m.low", "m.high")
+
+
 def moments_long(points: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
     """``points(key, t, y)`` of one representation -> (key, interval_id, n, mean, var, m3, m4, low, high).
 
-    One broadcast equi-join and one hash aggregate; the engine's central-moment
-    aggregates merge partial moments, so large offsets lose no digits."""
-    held = points.join(F.broadcast(membership_table(points.sparkSession, length, depth)), "t")
-    agg = held.groupBy(*key, "interval_id").agg(
-        F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"), F.skewness("y").alias("sk"), F.kurtosis("y").alias("ku"),
-        F.min("y").alias("low"), F.max("y").alias("high"))
-    # the built-ins are null on constant intervals
-    return agg.select(
-        *key, "interval_id", "n", "mean", "var", F.coalesce(F.col("sk") * F.pow("var", F.lit(1.5)), F.lit(0.0)).alias("m3"),
-        F.coalesce((F.col("ku") + 3) * F.col("var") * F.col("var"), F.lit(0.0)).alias("m4"), "low", "high")
+    Every point is read once, into its segment's moments (a combined hash aggregate); a series' segments, at most four for each of the finest
+    intervals, are then merged into all intervals."""
+    return interval_moments(segment_moments(points, key, length, depth), key, length, depth)
 
 
 def _long(df, key, x, mode, length, names, depth, div):
@@ -226,6 +431,41 @@ def join_channels(df: DataFrame, key: str, channel: str, length: int, names: tup
     return rows.groupBy(key).agg(F.transform(F.sort_array(F.flatten(F.collect_list("f"))), lambda s: s["value"]).alias("features"))
 
 
+def channel_order(length: int, channels: int, names: tuple[str, ...] = REPRESENTATIONS, depth: int = 6, div: int = 4) -> np.ndarray:
+    """Where each output feature of ``channels`` channels, side by side inside each interval, stands among the channels' features one after another."""
+    place, base = [], 0
+    for name in names:
+        fs = features(representation_lengths(length)[name], depth, div)
+        place += [(base + f.interval_id, f.k) for f in fs]
+        base += len(intervals(representation_lengths(length)[name], depth))
+    every = [(iv, c, k, c * len(place) + at) for c in range(channels) for at, (iv, k) in enumerate(place)]
+    return np.array([e[3] for e in sorted(every)])
+
+
+def channel_features(df: DataFrame, key: list[str], channels: list[str], length: int, mode: str = "exact",
+                     names: tuple[str, ...] = REPRESENTATIONS, depth: int = 6, div: int = 4) -> DataFrame:
+    """(*key, features) of series with a column for each channel: one narrow pass, the channels side by side inside each interval."""
+    order = channel_order(length, len(channels), names, depth, div)
+
+    def run(batches):
+        rows = max(1, BATCH_BYTES // (8 * (len(order) + len(channels) * length)))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            parts = []
+            for c in channels:
+                flat = batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(flat) != batch.num_rows * length or not np.isfinite(flat).all():
+                    raise ValueError(f"every channel needs {length} finite points")
+                made = R.blocks(flat.reshape(-1, length))
+                parts += [exact_block(made[n], depth, div) if mode == "exact" else approx_block(made[n], depth, div) for n in names]
+            both = np.concatenate(parts, 1)[:, order]
+            offsets = pa.array(np.arange(len(both) + 1) * both.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in key), pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], [*key, "features"])
+
+    kept = df.select(*key, *channels)
+    schema = "".join(f"`{k}` {t}, " for k, t in kept.dtypes[:len(key)])
+    return kept.mapInArrow(run, f"{schema}features array<double>")
+
+
 def as_rows(df: DataFrame, key: list[str], digits: int = 6) -> DataFrame:
     """(key, feature_idx, value), rounded for comparison across engines."""
     return df.select(*key, F.posexplode("features").alias("feature_idx", "value")).withColumn("value", F.round("value", digits) + F.lit(0.0))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadix.operators.quantiles import aggregated
+
 
 def setup_and_marginal(df: DataFrame, keys: list[str], n: str = "n", t: str = "t") -> DataFrame:
     """t / n against 1 / n: slope = setup cost, intercept = marginal cost; R2 is that of t itself, unweighted."""
@@ -83,7 +85,7 @@ def dispatch_study(minima: DataFrame, n_intervals: int, depth: int = 6, div: int
     """minima(L, n, mode, variant, t_min) -> (mode, kappa, tau_scalar, tau_vec, delta, nl_threshold)."""
     lines = setup_and_marginal(minima.withColumnRenamed("t_min", "t"), ["L", "mode", "variant"])
     setup = lines.groupBy("L", "mode").pivot("variant", ["samples", "intervals"]).agg(F.first("setup"))
-    kappa = setup.groupBy("mode").agg(F.percentile((F.col("intervals") - F.col("samples")) / n_intervals, F.lit(0.5)).alias("kappa"))
+    kappa = aggregated(setup, ["mode"], [], {"kappa": ((F.col("intervals") - F.col("samples")) / n_intervals, 0.5)})
     x = F.when(F.col("mode") == "approx", basis(F.col("L"), "approx", depth, div)).otherwise(basis(F.col("L"), "exact", depth, div))
     tau = through_origin(lines.withColumn("x", x), ["mode", "variant"], "x", "marginal")
     both = tau.groupBy("mode").pivot("variant", ["samples", "intervals"]).agg(F.first("slope"))

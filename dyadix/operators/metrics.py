@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadix.operators.prefix import running_before
+from dyadix.operators.quantiles import aggregated
 
 EPS = 2.220446049250313e-16
 
@@ -95,9 +96,8 @@ def correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def paired_counts(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(
-        F.count_if(F.col(a) > F.col(b)).alias("wins"), F.count_if(F.col(a) == F.col(b)).alias("ties"), F.count_if(F.col(a) < F.col(b)).alias("losses"),
-        F.percentile(a, F.lit(0.5)).alias("median_a"), F.percentile(b, F.lit(0.5)).alias("median_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+    counts = [F.count_if(F.col(a) > F.col(b)).alias("wins"), F.count_if(F.col(a) == F.col(b)).alias("ties"), F.count_if(F.col(a) < F.col(b)).alias("losses")]
+    return aggregated(df, [], [*counts, F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b")], {"median_a": (F.col(a), 0.5), "median_b": (F.col(b), 0.5)})
 
 
 def wilcoxon_sums(df: DataFrame, a: str, b: str) -> DataFrame:

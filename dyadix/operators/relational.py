@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadix.operators.quantiles import FEW, aggregated
+
 
 def min_over_runs(df: DataFrame, keys: list[str], value: str = "runtime", out: str = "t_min") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(value).alias(out))
@@ -25,14 +27,15 @@ def mean_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def summary_by_bin(df: DataFrame, keys: list[str], score: str, runtime: str, item: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.avg(score).alias("mean_score"), F.percentile(runtime, F.lit(0.5)).alias("median_runtime"),
-        F.count("*").alias("n"), F.countDistinct(item).alias("n_items"))
+    return aggregated(df, keys, [F.avg(score).alias("mean_score"), F.count("*").alias("n"), F.countDistinct(item).alias("n_items")],
+                      {"median_runtime": (F.col(runtime), 0.5)}).select(*keys, "mean_score", "median_runtime", "n", "n_items")
 
 
 def share_of_total(df: DataFrame, within: list[str], value: str, out: str = "share") -> DataFrame:
     """Totals are combined before they move and joined back (a null key has no share)."""
     total = df.groupBy(*within).agg(F.sum(value).alias("__total"))
+    if total.count() <= FEW:  # no row of a hot group moves
+        total = F.broadcast(total)
     return df.join(total, within).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
 
 
@@ -132,8 +135,7 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
 
 def bin_edges(lengths: DataFrame, column: str) -> DataFrame:
     """Quartiles of the logarithm, back on the scale of the lengths, the outer two moved out by one."""
-    q = F.percentile(F.ln(column), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    edges = lengths.agg(q.alias("q"))
+    edges = aggregated(lengths, [], [], {"q": (F.ln(column), [0.0, 0.25, 0.5, 0.75, 1.0])})
     return edges.select(
         (F.exp(F.get("q", F.lit(0))) - 1).alias("e0"), *[F.exp(F.get("q", F.lit(i))).alias(f"e{i}") for i in (1, 2, 3)], (F.exp(F.get("q", F.lit(4))) + 1).alias("e4"))
 

@@ -78,6 +78,28 @@ def features(length: int, depth: int = 6, div: int = 4, lower_median: bool = Fal
     return tuple(out)
 
 
+@dataclass(frozen=True)
+class Segments:
+    """The pieces between all edges of the intervals: every interval is a run of them, and a point is in one."""
+
+    starts: tuple[int, ...]
+    widths: tuple[int, ...]
+    runs: tuple[tuple[int, int], ...]  # first segment and number of segments of each interval
+    levels: tuple[tuple[int, ...], ...]  # intervals that do not overlap, in order: one group for each level, and for each level's moved copies
+
+
+@lru_cache(256)
+def segments(length: int, depth: int = 6) -> Segments:
+    ivs = intervals(length, depth)
+    edges = sorted({e for iv in ivs for e in (iv.start, iv.end)})
+    at = {e: i for i, e in enumerate(edges)}
+    groups: dict[tuple[int, bool], list[int]] = {}
+    for iv in ivs:
+        groups.setdefault((iv.depth, iv.shifted), []).append(iv.interval_id)
+    return Segments(tuple(edges[:-1]), tuple(b - a for a, b in zip(edges, edges[1:], strict=False)),
+                    tuple((at[iv.start], at[iv.end] - at[iv.start]) for iv in ivs), tuple(map(tuple, groups.values())))
+
+
 def approximated(f: Feature) -> bool:
     """Whether the expansion gives the value; ends of kind 2 and single points are exact."""
     return f.kind == 1 or f.kind == 2 and 0 < f.k < f.nq - 1

@@ -9,6 +9,7 @@ from dyadix.functions import normal
 from dyadix.functions import representations as R
 from dyadix.operators import features as X
 from dyadix.operators import fits, metrics, relational
+from dyadix.operators.prefix import numbered
 from dyadix.plans import costmodel, layout
 from dyadix.sources import series
 from dyadix.streaming.features import padded
@@ -212,18 +213,8 @@ def exact_baseline_layout(spark, sf_dir):
 
 @query(features_sql("vec_id", VECTORS_SQL, 64, "raw", "exact"))
 def exact_sort_order(spark, sf_dir):
-    """The pre-sorted variant: points ranked by a window inside each interval, then interpolated."""
-    points = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("t", "y"))
-    held = points.join(F.broadcast(layout.membership_table(spark, LENGTH)), "t")
-    w = Window.partitionBy("vec_id", "interval_id")
-    ranked = held.select("vec_id", "interval_id", "y", (F.row_number().over(w.orderBy("y", "t")) - 1).alias("r"), F.avg("y").over(w).alias("mean"))
-    ft = F.broadcast(layout.feature_table(spark, LENGTH).where("repr = 'raw'").select(
-        "feature_id", "interval_id", "m", "centered", (F.col("q") * (F.col("m") - 1)).alias("place")))
-    near = ranked.join(ft, "interval_id").where("r = floor(place) or r = least(floor(place) + 1, m - 1)")
-    got = near.groupBy("vec_id", "feature_id", "place", "centered").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.first("mean").alias("mean"))
-    r = F.col("place") - F.floor("place")
-    value = F.when(r >= 0.5, F.col("b") - (F.col("b") - F.col("a")) * (1 - r)).otherwise(F.col("a") + (F.col("b") - F.col("a")) * r)
-    return got.select("vec_id", F.col("feature_id").cast("long").alias("feature_idx"), (F.round(value - F.when(F.col("centered"), F.col("mean")).otherwise(0.0), 6) + F.lit(0.0)).alias("value"))
+    """The pre-sorted variant: one sort a series, parted by bucket level after level."""
+    return _rows(X.interval_features(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", LENGTH, "exact", ("raw",), "presort"))
 
 
 @query(f"""WITH {VECTORS_SQL}, {intervals_sql(LENGTH)}, p AS (SELECT vec_id, interval_id, list_slice(x, s + 1, e) AS p FROM series, iv), q AS (SELECT *, list_avg(p) AS mean FROM p)
@@ -236,37 +227,51 @@ def moments_raw(spark, sf_dir):
     return m.select("vec_id", F.col("interval_id").cast("long").alias("interval_id"), "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "var", "m3", "m4", "low", "high")])
 
 
-EVENTS_SQL = """ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, value,
-      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3141592653.59 AS gap FROM events),
-    pair AS (SELECT user_id * 1000 + (r - 1) // 32 AS uid, list_resize(list(value ORDER BY r), 32, arg_max(value, r)) AS v, list_resize(list(gap ORDER BY r), 32, arg_max(gap, r)) AS g
-             FROM ev GROUP BY user_id, (r - 1) // 32)"""
+EVENTS_SQL = """ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, value,
+      coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) / 3141592653.59 AS gap FROM events)"""
+
+
+def event_pairs_sql(length: int) -> str:
+    """CTE pair(id, user_id, block, v, g) over ev."""
+    return f"""pair AS (SELECT user_id || '/' || r // {length} AS id, user_id, r // {length} AS block, list_resize(list(value ORDER BY r), {length}, arg_max(value, r)) AS v,
+             list_resize(list(gap ORDER BY r), {length}, arg_max(gap, r)) AS g FROM ev GROUP BY user_id, r // {length})"""
+
+
+def numbered_events(events: DataFrame) -> DataFrame:
+    """Events with ``r``, their number from 0 within their user by (ts, event_id)."""
+    return numbered(events.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "r")
+
 
+def event_series(rows: DataFrame, length: int) -> DataFrame:
+    """(user_id, block, v, g): every user's values and the times between them (in a unit that makes no decimal ties when rounded), as consecutive
+    series of ``length`` events of ``numbered_events``; the last one repeats its last event up to that length.
 
-def event_series(spark, sf_dir):
-    """(uid, channel, x): every user's values and the times between them, in a unit that makes no decimal ties when rounded,
-    as consecutive series of 32 events (uid = 1000 user_id + block); the last one repeats its last event up to 32."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 3141592653.59, F.lit(0.0))
-    ev = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("r"), "value", gap.alias("gap")).withColumn("uid", F.expr("user_id * 1000 + (r - 1) div 32"))
-    both = ev.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("r", "value", "gap"))).alias("p"))
-    sides = F.array(padded(F.transform("p", lambda s: s["value"]), 32), padded(F.transform("p", lambda s: s["gap"]), 32))
-    return both.select("uid", F.posexplode(sides).alias("channel", "x"))
+    A block is a group of its own, so a user of any number of events is many tasks; the time before a block's first
+    event comes from the block before it by a join on (user_id, block)."""
+    point = F.struct("r", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    blocks = rows.groupBy("user_id", F.floor(F.col("r") / length).alias("block")).agg(F.sort_array(F.collect_list(point)).alias("p"))
+    last = rows.where(F.pmod("r", F.lit(length)) == length - 1).select(
+        F.col("user_id").alias("u"), F.floor(F.col("r") / length + 1).alias("b"), F.unix_micros(F.col("ts").cast("timestamp")).alias("prior"))
+    joined = blocks.join(last, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("block") == F.col("b")), "left")
+    gaps = F.transform("p", lambda s, i: F.coalesce((s["at"] - F.when(i == 0, F.col("prior")).otherwise(F.get(F.col("p"), i - 1)["at"])) / 3141592653.59, F.lit(0.0)))
+    return joined.select("user_id", "block", padded(F.transform("p", lambda s: s["value"]), length).alias("v"), padded(gaps, length).alias("g"))
 
 
 def _two_channels_sql(mode):
-    src = "series AS (SELECT uid * 2 AS id, v AS x FROM pair UNION ALL SELECT uid * 2 + 1, g FROM pair)"
-    inner = features_sql("id", f"{EVENTS_SQL}, {src}", 32, "raw", mode, digits=15).replace("WITH ", "", 1)
+    src = "series AS (SELECT id || '/0' AS id, v AS x FROM pair UNION ALL SELECT id || '/1', g FROM pair)"
+    inner = features_sql("id", f"{EVENTS_SQL}, {event_pairs_sql(32)}, {src}", 32, "raw", mode, digits=15).replace("WITH ", "", 1)
     cut = inner.rindex("SELECT id, feature_idx")
     return f"""WITH {inner[:cut]} , res AS ({inner[cut:]})
-      SELECT id // 2 AS uid, row_number() OVER (PARTITION BY id // 2 ORDER BY interval_id, id % 2, k) - 1 AS feature_idx, round(value, 7) + 0.0 AS value
+      SELECT split_part(id, '/', 1)::BIGINT AS user_id, split_part(id, '/', 2)::BIGINT AS block,
+             row_number() OVER (PARTITION BY split_part(id, '/', 1), split_part(id, '/', 2) ORDER BY interval_id, id, k) - 1 AS feature_idx, round(value, 7) + 0.0 AS value
       FROM res JOIN ft USING (feature_idx)"""
 
 
 def _events(mode):
     def run(spark, sf_dir):
-        df = X.interval_features(event_series(spark, sf_dir), ["uid", "channel"], "x", 32, mode, ("raw",))
-        joined = X.join_channels(df, "uid", "channel", 32, ("raw",))
-        return X.as_rows(joined, ["uid"], 7).select("uid", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
+        pairs = event_series(numbered_events(table(spark, sf_dir, "events")), 32)
+        made = X.channel_features(pairs, ["user_id", "block"], ["v", "g"], 32, mode, ("raw",))
+        return X.as_rows(made, ["user_id", "block"], 7).select("user_id", "block", F.col("feature_idx").cast("long").alias("feature_idx"), "value")
 
     run.__name__ = f"{mode}_events_two_channel"
     query(_two_channels_sql(mode).replace(" , res", ", res"))(run)
@@ -673,6 +678,22 @@ def extra_trees_predict(spark, sf_dir):
     return ExtraTrees(10).fit(train).transform(test).select("vec_id", "y", metrics.argmax(F.col("proba")).alias("pred"))
 
 
+@query("""SELECT (list_sum(list_transform(embedding[1:4], lambda v: v::DOUBLE)) > 0)::INT AS y, count(*) AS n, true AS above_the_larger_class
+    FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1""")
+def extra_trees_accuracy(spark, sf_dir):
+    """Whether 20 trees learn the sign of the first four points' sum from the features, better than the larger class alone."""
+    from dyadix.operators.classify import ExtraTrees
+
+    x = F.col("embedding").cast("array<double>")
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.aggregate(F.slice(x, 1, 4), F.lit(0.0), lambda a, v: a + v) > 0).cast("int"))
+    f = X.interval_features(e, ["vec_id", "y"], "embedding", LENGTH, "approx", ("raw",))
+    train, test = f.where("vec_id % 3 <> 0"), f.where("vec_id % 3 = 0")
+    out = ExtraTrees(2, trees=20, seed=1).fit(train).transform(test).select("y", metrics.argmax(F.col("proba")).alias("pred"))
+    per = out.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("pred")).alias("right"))
+    whole = per.agg((F.sum("right") > F.max("n")).alias("above_the_larger_class"), F.lit(1).alias("k"))
+    return per.withColumn("k", F.lit(1)).join(F.broadcast(whole), "k").select("y", "n", "above_the_larger_class")  # one row of one verdict
+
+
 @query()
 def forest_predict(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadix.operators.features import segment_moments
+
 
 def stream_features(stream: DataFrame, model) -> DataFrame:
     return model.transform(stream)
 
 
+def stream_moments(points: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
+    """A stream of ``points(key, t, y)`` -> each series' segment moments so far, in update or complete mode: the state is the merged
+    moments, a few dozen rows a series whatever the number of points. ``features.interval_moments`` makes intervals of what it has written."""
+    return segment_moments(points, key, length, depth)
+
+
 def windowed_series(events: DataFrame, key: str, ts: str, value: str, window: str, late: str, length: int) -> DataFrame:
     """Event rows -> (key, window, block, x): the events of each key and tumbling window in order of time, cut into
     consecutive series of ``length`` points; the last one repeats its last value up to that length.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from dyadix.operators import classify, fits, metrics, relational
 from dyadix.operators.features import interval_features
+from dyadix.operators.quantiles import aggregated
 from dyadix.plans import costmodel, dispatch, layout
 from dyadix.sources import series
 from dyadix.transformer import IntervalQuantiles
@@ -167,7 +168,8 @@ def main(argv: list[str] | None = None) -> None:
 
 def expected_accuracy_delta(scores: DataFrame, a: str, b: str) -> DataFrame:
     """Mean score difference and mean ratio of runtimes between two estimators, per bin of ``scores(bin, dataset, estimator, score, runtime)``."""
-    per = scores.groupBy("bin", "dataset").pivot("estimator", [a, b]).agg(F.avg("score").alias("score"), F.percentile("runtime", F.lit(0.5)).alias("runtime"))
+    long = aggregated(scores, ["bin", "dataset", "estimator"], [F.avg("score").alias("score")], {"runtime": (F.col("runtime"), 0.5)})
+    per = long.groupBy("bin", "dataset").pivot("estimator", [a, b]).agg(F.first("score").alias("score"), F.first("runtime").alias("runtime"))
     return per.groupBy("bin").agg(
         F.avg(F.col(f"{a}_score") - F.col(f"{b}_score")).alias("mean_delta"), F.avg(F.col(f"{b}_runtime") / F.col(f"{a}_runtime")).alias("mean_speedup"),
         F.countDistinct("dataset").alias("n_datasets"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +10,14 @@ from dyadix import studies
 from dyadix.operators import features as X
 from dyadix.operators import fits, metrics, relational
 from dyadix.operators.classify import RidgeCV
+from dyadix.operators.mixed import baseline_speedups, dataset_timings, features_by_length, planned
 from dyadix.plans import costmodel, layout
 from dyadix.queries import GRID_SQL, LENGTH, LENGTHS, LINES_SQL, PAIRS_SQL, RUNS_SQL, SCORES_SQL, VECTORS_SQL, query, table
 from dyadix.sources import series
+from dyadix.sources.shared import scratch
 from dyadix.transformer import IntervalQuantiles
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; in a session of one process without one, a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/dyadix-{uuid.uuid4().hex}"
-
-
 # ---- the estimator -----------------------------------------------------------------------------------------------
 
 def _checks(features, digits: int = 3):
@@ -302,3 +291,52 @@ def ridge_two_sums(spark, sf_dir):
     total = lambda f: F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), f)
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("y"), F.array(total(lambda s, v: s + v), total(lambda s, v: s + F.abs(v))).alias("features"))
     return RidgeCV(10, alphas=(1.0,)).fit(x.where("vec_id % 3 <> 0")).transform(x.where("vec_id % 3 = 0")).select("vec_id", "y", "pred")
+
+
+# ---- data sets of many lengths -----------------------------------------------------------------------------------
+
+MIXED = (16, 24, 32, 48, 64)
+MIXED_LIMIT = 20_000.0  # between the sizes of the data sets at the smaller scales
+
+
+def _event_sets(spark, sf_dir) -> DataFrame:
+    """(dataset, user_id, block, x): one data set for each length, cut from every user's events."""
+    rows = Q.numbered_events(table(spark, sf_dir, "events"))
+    out = None
+    for n in MIXED:
+        one = Q.event_series(rows, n).select(F.lit(f"values{n}").alias("dataset"), "user_id", "block", F.col("v").alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _mixed_sql(select: str) -> str:
+    parts = []
+    for n in MIXED:
+        src = f"{Q.EVENTS_SQL}, {Q.event_pairs_sql(n)}, series AS (SELECT id, v AS x FROM pair)"
+        parts.append(f"SELECT 'values{n}' AS dataset, {n} AS len, * FROM ({Q.features_sql('id', src, n, 'raw', 'exact', digits=12)})")
+    return select.format(f"({' UNION ALL '.join(parts)})")
+
+
+@query(_mixed_sql(f"""WITH m AS (SELECT dataset, len, id, count(*) AS n_features, round(sum(value * (feature_idx % 97 + 1)) / 3.14159265, 4) AS weighted FROM {{}} GROUP BY dataset, len, id)
+    SELECT dataset, split_part(id, '/', 1)::BIGINT AS user_id, split_part(id, '/', 2)::BIGINT AS block, n_features, weighted,
+           CASE WHEN count(*) OVER (PARTITION BY dataset) * len * (log2(len) - 2.5) > {MIXED_LIMIT} THEN 'intervals' ELSE 'samples' END AS plan FROM m"""))
+def mixed_lengths(spark, sf_dir):
+    """Data sets of five lengths in one job, each by the plan that its own size asks for."""
+    made = features_by_length(planned(_event_sets(spark, sf_dir), "dataset", "x", "exact", MIXED_LIMIT), ["dataset", "user_id", "block"], "x", "exact", ("raw",), plan="plan")
+    weighted = F.aggregate(F.transform("features", lambda v, i: v * (i % 97 + 1)), F.lit(0.0), lambda a, v: a + v)
+    return made.select("dataset", "user_id", "block", F.size("features").cast("long").alias("n_features"), F.round(weighted / 3.14159265, 4).alias("weighted"), "plan")
+
+
+@query(_mixed_sql("""SELECT dataset, len::INT AS series_length, count(DISTINCT id) AS n_samples, (count(*) // count(DISTINCT id))::INT AS n_features, true AS timed FROM {} GROUP BY dataset, len"""))
+def dataset_runtimes(spark, sf_dir):
+    """Time in the transform by data set and length, all in one job."""
+    made = features_by_length(_event_sets(spark, sf_dir), ["dataset"], "x", "exact", ("raw",), threshold=0.0)
+    t = dataset_timings(made, "dataset", "exact")
+    return t.select("dataset", "series_length", "n_samples", "n_features", (F.col("runtime") > 0).alias("timed"))
+
+
+@query(_mixed_sql("""SELECT dataset, len::INT AS series_length, count(DISTINCT id) AS n_samples, true AS timed FROM {} GROUP BY dataset, len"""))
+def baseline_speedup_table(spark, sf_dir):
+    """The baseline's layout against both modes over every data set, with speed-ups."""
+    s = baseline_speedups(_event_sets(spark, sf_dir), "dataset", "x")
+    return s.select("dataset", "series_length", "n_samples", ((F.col("speedup_exact") > 0) & (F.col("speedup_approx") > 0)).alias("timed"))

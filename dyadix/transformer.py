@@ -86,7 +86,8 @@ class IntervalQuantilesModel(Model, _Shared, DefaultParamsReadable, DefaultParam
         return feature_names(self.getOrDefault("length"), self.getOrDefault("mode"), self.getOrDefault("depth"), self.getOrDefault("div"), self.getOrDefault("channels"))
 
     def strategy(self, n_series: int | None) -> str:
-        """Blocks of series (arrow) or one series at a time (rowwise), by the size of this input."""
+        """Blocks of series (arrow) or one series at a time (rowwise), by the size of this input; where that is not known
+        without a job (files, streams), each batch decides by its own size (auto)."""
         version, length = self.getOrDefault("version"), self.getOrDefault("length")
         if str(version).isdigit():
             return "arrow" if length >= int(version) else "rowwise"
@@ -95,7 +96,9 @@ class IntervalQuantilesModel(Model, _Shared, DefaultParamsReadable, DefaultParam
         mode = self.getOrDefault("mode")
         for said in dispatch.mismatch(mode, self.getOrDefault("depth"), self.getOrDefault("div")):
             warnings.warn(said, stacklevel=2)
-        return "arrow" if n_series is None or dispatch.blocks_pay(mode, n_series, length) else "rowwise"
+        if n_series is None:
+            return "auto"
+        return "arrow" if dispatch.blocks_pay(mode, n_series, length) else "rowwise"
 
     def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault

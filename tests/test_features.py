@@ -106,3 +106,61 @@ def test_windowed_series(spark):
     ev = spark.sql("select id % 2 as k, timestamp_seconds(id * 10) as ts, double(id) as v from range(40)")
     got = windowed_series(ev, "k", "ts", "v", "100 seconds", "1 minute", 4).collect()
     assert got and all(len(r.x) == 4 and r.x == sorted(r.x) for r in got)
+
+
+@pytest.mark.parametrize("length", [3, 10, 48, 97, 512])
+def test_presorted_blocks(length):
+    z = np.random.default_rng(length).integers(0, 9, (6, length)) * 0.37  # ties
+    for lower in (False, True):
+        assert np.allclose(X.presorted_block(z, lower_median=lower), X.exact_block(z, lower_median=lower), atol=1e-12)
+
+
+@pytest.mark.parametrize("length", [3, 10, 48, 97, 512, 1000])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_merged_moments_of_blocks(length, offset):
+    z = np.random.default_rng(length).normal(size=(5, length)) + offset
+    m = X.moments_block(z)
+    for iv in layout.intervals(length):
+        part = z[:, iv.start:iv.end]
+        c = part - part.mean(1, keepdims=True)
+        i = iv.interval_id
+        assert m["n"][i] == iv.width and np.allclose(m["mean"][i], part.mean(1), rtol=1e-14)
+        assert np.array_equal(m["low"][i], part.min(1)) and np.array_equal(m["high"][i], part.max(1))
+        for k, name in ((2, "m2"), (3, "m3"), (4, "m4")):
+            assert np.allclose(m[name][i], (c ** k).sum(1), atol=1e-6 * max(1, iv.width))
+    if offset == 0:
+        assert np.allclose(X.approx_block(z), X.width_block(z, "approx"), atol=1e-9)
+
+
+def test_presort_plan(spark):
+    df = frame(spark, [WORKED, WORKED[::-1]])
+    a, b = (X.interval_features(df, ["series_id"], "x", 10, "exact", strategy=s).orderBy("series_id").collect() for s in ("presort", "arrow"))
+    assert [r.features for r in a] == [pytest.approx(r.features) for r in b]
+    with pytest.raises(ValueError):
+        X.interval_features(df, ["series_id"], "x", 10, "approx", strategy="presort")
+
+
+def test_moments_of_a_stream(spark, tmp_path):
+    """The state is the merged moments: points in any order over two files, then intervals from what was written."""
+    from dyadix.streaming.features import stream_moments
+
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(3, 37)) + 1e5
+    rows = [(i, t, float(z[i, t])) for i in range(3) for t in range(37)]
+    order = rng.permutation(len(rows))
+    schema = "id long, t int, y double"
+    for k in range(2):
+        spark.createDataFrame([rows[i] for i in order[k::2]], schema).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+    q = stream_moments(stream, ["id"], 37).writeStream.outputMode("complete").format("memory").queryName("moments").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r.id, r.interval_id): r for r in X.interval_moments(spark.table("moments"), ["id"], 37).collect()}
+    batch = {(r.id, r.interval_id): r for r in X.moments_long(spark.createDataFrame(rows, schema), ["id"], 37).collect()}
+    assert len(got) == len(batch) == 3 * len(layout.intervals(37))
+    for iv in layout.intervals(37):
+        for i in range(3):
+            part, r = z[i, iv.start:iv.end], got[i, iv.interval_id]
+            c = part - part.mean()
+            assert r.n == iv.width and r.mean == pytest.approx(part.mean()) and (r.low, r.high) == (part.min(), part.max())
+            for name, power in (("var", 2), ("m3", 3), ("m4", 4)):
+                assert r[name] == pytest.approx((c ** power).mean(), abs=1e-6) and batch[i, iv.interval_id][name] == pytest.approx(r[name], abs=1e-6)
