@@ -198,7 +198,8 @@ ORACLE = {
         -- length / period exactly: 2^62 / 10^5 leaves room for 13 decimal digits
         best AS (
           SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length * 10000000000000 // period DESC, start, period) AS k FROM runs) WHERE k = 1)
-        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start::DOUBLE AS start, length::DOUBLE AS length, period::DOUBLE AS period,
+               (1000 * length // period)::DOUBLE AS exponent_milli,  -- doubles: whole numbers or null, as a data frame holds them
                sha256(coalesce(txt, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
         FROM docs LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
 }
