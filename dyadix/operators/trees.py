@@ -6,6 +6,9 @@ them, and the executors count the classes on either side of each cut (a second
 pass). Both passes end in a combined aggregate, and the best cut of a node is chosen
 before anything is collected: the driver holds nodes, never rows.
 
+A training set of at most LOCAL_BYTES is not worth two jobs a level: each of a few
+tasks gets all of its rows by a shuffle and grows some of the trees whole. The nodes are the same.
+
 What is drawn at a node depends on (seed, tree, node) only, so a model does not
 depend on how its rows are dealt out.
 """
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from dyadix.sources.shared import written
 
 TREES, SHARE = 200, 0.1
+LOCAL_BYTES = 64 << 20  # features of a training set that one task may hold
+LOCAL_TASKS = 32  # copies of such a set
 HELD = 8 << 20  # numbers that a task holds of the open nodes, and again of a portion of rows
 
 
@@ -141,6 +146,42 @@ def _impurity(side: str, classes: int):
     return total, sum(terms[1:], terms[0])
 
 
+def cost_of(counts: np.ndarray) -> np.ndarray:
+    """Rows times entropy of the last axis' class counts."""
+    total = counts.sum(-1, keepdims=True)
+    return -(counts * np.log2(np.where(counts > 0, counts, total) / np.maximum(total, 1))).sum(-1, where=counts > 0)
+
+
+def grown(x: np.ndarray, y: np.ndarray, classes: int, want: int, seed: int, number: int) -> Tree:
+    """One tree on rows in memory: the nodes, draws and cuts of the distributed growth."""
+    tree, hot = Tree(), np.eye(classes, dtype=np.int64)[y]
+    level = [(tree.add(hot.sum(0).tolist()), np.arange(len(y)))]
+    while level:
+        after = []
+        for n, rows in level:
+            if np.count_nonzero(tree.counts[n]) < 2:
+                continue
+            order, place = drawn(seed, number, n, x.shape[1])
+            low, high = x[rows].min(0), x[rows].max(0)
+            features = order[high[order] > low[order]][:want]
+            if not len(features):
+                continue
+            cuts = low[features] + place[features] * (high[features] - low[features])
+            side = x[np.ix_(rows, features)] <= cuts
+            left = side.T.astype(np.int64) @ hot[rows]
+            right = hot[rows].sum(0) - left
+            cost = np.round(cost_of(left) + cost_of(right), 9)
+            cost[(left.sum(1) == 0) | (right.sum(1) == 0)] = np.inf
+            j = int(cost.argmin())
+            if np.isinf(cost[j]):
+                continue
+            tree.feature[n], tree.cut[n] = int(features[j]), float(cuts[j])
+            tree.down[n] = (tree.add(left[j].tolist()), tree.add(right[j].tolist()))
+            after += [(tree.down[n][0], rows[side[:, j]]), (tree.down[n][1], rows[~side[:, j]])]
+        level = after
+    return tree
+
+
 class ExtraTrees:
     """``fit(train(y, features array<double>))``, then ``transform`` adds ``proba``, the mean of the trees' leaves.
 
@@ -148,8 +189,8 @@ class ExtraTrees:
     the one of least entropy is taken (the first of equal ones). A node of one class, or where everything is
     constant, is a leaf. The training rows are written once to the shared folder and read twice a level."""
 
-    def __init__(self, classes: int, trees: int = TREES, share: float = SHARE, seed: int = 0):
-        self.classes, self.trees, self.share, self.seed = classes, trees, share, seed
+    def __init__(self, classes: int, trees: int = TREES, share: float = SHARE, seed: int = 0, local_bytes: int = LOCAL_BYTES):
+        self.classes, self.trees, self.share, self.seed, self.local_bytes = classes, trees, share, seed, local_bytes
 
     def fit(self, train: DataFrame) -> ExtraTrees:
         data = written(train.select(F.col("y").cast("int").alias("y"), F.col("features").cast("array<double>").alias("features")))
@@ -158,6 +199,9 @@ class ExtraTrees:
             raise ValueError("no rows to learn from")
         width = data.agg(F.max(F.size("features"))).first()[0]
         want = max(1, int(self.share * width))
+        if 8 * width * sum(totals.values()) <= self.local_bytes:
+            self.model = self._local(data, want)
+            return self
         self.model = [Tree() for _ in range(self.trees)]
         frontier = [[t.add([totals.get(c, 0) for c in range(self.classes)])] for t in self.model]
         while any(frontier := [[n for n in own if np.count_nonzero(t.counts[n]) > 1] for t, own in zip(self.model, frontier, strict=True)]):
@@ -173,6 +217,23 @@ class ExtraTrees:
                     own += new
         return self
 
+    def _local(self, data: DataFrame, want: int) -> list[Tree]:
+        """Each task grows every ``tasks``-th tree; only nodes reach the driver."""
+        tasks, classes, trees, seed = min(self.trees, LOCAL_TASKS), self.classes, self.trees, self.seed
+
+        def grow(key, rows):
+            whole = rows.combine_chunks()
+            x, y = matrix(whole["features"].combine_chunks()), whole["y"].to_numpy().astype(np.int64)
+            own = range(key[0].as_py(), trees, tasks)
+            made = [grown(x, y, classes, want, seed, t) for t in own]
+            return pa.table({"tree": pa.array(own, pa.int32()), "feature": pa.array([t.feature for t in made], pa.list_(pa.int32())), "cut": pa.array([t.cut for t in made], pa.list_(pa.float64())),
+                             "down": pa.array([np.ravel(t.down).tolist() for t in made], pa.list_(pa.int32())), "counts": pa.array([np.ravel(t.counts).tolist() for t in made], pa.list_(pa.int64()))})
+
+        copies = data.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        nodes = copies.groupBy("task").applyInArrow(grow, "tree int, feature array<int>, cut array<double>, down array<int>, counts array<long>").collect()
+        return [Tree(list(r.feature), list(r.cut), [(a, b) for a, b in zip(r.down[::2], r.down[1::2], strict=True)], np.reshape(r.counts, (-1, classes)).tolist())
+                for r in sorted(nodes, key=lambda r: r.tree)]
+
     def _level(self, data: DataFrame, frontier: list[list[int]], width: int, want: int) -> list[list[int]]:
         context = data.sparkSession.sparkContext
         packed = [t.packed() for t in self.model]

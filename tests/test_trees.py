@@ -51,11 +51,12 @@ def made(seed, n=90, width=12, classes=3):
     return x, y
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_equal_to_the_plain_grower(spark, partitions):
+@pytest.mark.parametrize(("partitions", "local"), [(1, trees.LOCAL_BYTES), (5, trees.LOCAL_BYTES), (3, 0)])
+def test_equal_to_the_plain_grower(spark, partitions, local):
+    """The level-wise growth over executors and the whole trees of a task, however the rows are dealt out."""
     x, y = made(3)
     df = spark.createDataFrame([(int(c), r.tolist()) for c, r in zip(y, x)], "y int, features array<double>").repartition(partitions)
-    model = ExtraTrees(3, trees=3, share=0.3, seed=7).fit(df).model
+    model = ExtraTrees(3, trees=3, share=0.3, seed=7, local_bytes=local).fit(df).model
     for t, tree in enumerate(model):
         assert [list(n) for n in zip(tree.feature, tree.cut, tree.down, tree.counts)] == plain(x, y, 3, 0.3, 7, t)
         leaf = walk(tree.packed(), x)
@@ -65,18 +66,23 @@ def test_equal_to_the_plain_grower(spark, partitions):
 def test_portions_of_nodes_and_rows_change_nothing(spark, monkeypatch):
     x, y = made(4, n=24)
     df = spark.createDataFrame([(int(c), r.tolist()) for c, r in zip(y, x)], "y int, features array<double>").repartition(3)
-    want = ExtraTrees(3, trees=2, share=0.3, seed=1).fit(df).model
+    want = ExtraTrees(3, trees=2, share=0.3, seed=1, local_bytes=0).fit(df).model
     monkeypatch.setattr(trees, "HELD", 2 * 3 * 3 * 4)
-    got = ExtraTrees(3, trees=2, share=0.3, seed=1).fit(df).model
+    got = ExtraTrees(3, trees=2, share=0.3, seed=1, local_bytes=0).fit(df).model
     assert got == want
 
 
 def test_edges(spark):
+    for local in (0, trees.LOCAL_BYTES):
+        _edges(spark, local)
+
+
+def _edges(spark, local):
     one = spark.createDataFrame([(1, [1.0, 2.0])] * 3, "y int, features array<double>")
-    out = ExtraTrees(3, trees=2).fit(one).transform(one).collect()
+    out = ExtraTrees(3, trees=2, local_bytes=local).fit(one).transform(one).collect()
     assert all(r.proba == [0.0, 1.0, 0.0] for r in out)
     same = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0])], "y int, features array<double>")  # nothing to cut
-    assert ExtraTrees(2, trees=1).fit(same).transform(same).first().proba == pytest.approx([1 / 3, 2 / 3])
+    assert ExtraTrees(2, trees=1, local_bytes=local).fit(same).transform(same).first().proba == pytest.approx([1 / 3, 2 / 3])
     with pytest.raises(ValueError):
-        ExtraTrees(2, trees=1).fit(same.where("y > 5"))
-    assert ExtraTrees(2, trees=1).fit(same).transform(same.where("y > 5")).select(F.size("proba")).count() == 0
+        ExtraTrees(2, trees=1, local_bytes=local).fit(same.where("y > 5"))
+    assert ExtraTrees(2, trees=1, local_bytes=local).fit(same).transform(same.where("y > 5")).select(F.size("proba")).count() == 0
