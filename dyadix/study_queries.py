@@ -13,7 +13,7 @@ from dyadix.operators.classify import RidgeCV
 from dyadix.operators.mixed import baseline_speedups, dataset_timings, features_by_length, planned
 from dyadix.plans import costmodel, layout
 from dyadix.queries import GRID_SQL, LENGTH, LENGTHS, LINES_SQL, PAIRS_SQL, RUNS_SQL, SCORES_SQL, VECTORS_SQL, query, table
-from dyadix.sources import series
+from dyadix.sources import audit, series
 from dyadix.sources.shared import scratch
 from dyadix.transformer import IntervalQuantiles
 
@@ -340,3 +340,48 @@ def baseline_speedup_table(spark, sf_dir):
     """The baseline's layout against both modes over every data set, with speed-ups."""
     s = baseline_speedups(_event_sets(spark, sf_dir), "dataset", "x")
     return s.select("dataset", "series_length", "n_samples", ((F.col("speedup_exact") > 0) & (F.col("speedup_approx") > 0)).alias("timed"))
+
+
+# ---- loading that never raises -----------------------------------------------------------------------------------
+
+def _damaged(spark, sf_dir) -> str:
+    """Every vector as a line of its label's file, five kinds of lines damaged by number, and two data sets of a wrong shape."""
+    p = F.col("embedding").cast("array<double>").cast("array<string>")
+    k = F.pmod("vec_id", F.lit(50))
+    points = F.when(k == 7, F.concat(F.array(F.lit("x1")), F.slice(p, 2, 63))).when(k == 11, F.concat(F.slice(p, 1, 63), F.array(F.lit("?")))).when(
+        k == 17, F.array(F.lit(""))).when((F.col("label") == 4) & (k % 2 == 0), F.slice(p, 1, 60)).otherwise(p)
+    half = lambda at: F.array_join(F.slice(points, at, 32), ",")
+    two = F.concat_ws(":", half(1), F.when(k == 23, F.array_join(F.slice(points, 33, 31), ",")).otherwise(half(33)))
+    body = F.when((F.col("label") == 3) & ~k.isin(7, 11, 17), two).otherwise(F.array_join(points, ","))
+    path = scratch(spark)
+    line = F.concat(body, F.lit(":"), F.when(k == 13, F.lit(" ")).otherwise(F.col("label").cast("string")))
+    table(spark, sf_dir, "embeddings").select(F.concat(F.lit("set"), F.col("label")).alias("dataset"), line.alias("value")).write.partitionBy("dataset").text(path)
+    return path
+
+
+DAMAGE_SQL = """bad AS (SELECT 'set' || label AS dataset, CASE vec_id % 50 WHEN 13 THEN 'no label' WHEN 7 THEN 'not a number' WHEN 11 THEN 'missing value' WHEN 17 THEN 'no points'
+      WHEN 23 THEN CASE label WHEN 3 THEN 'channels of unequal length' END END AS reason, vec_id, label FROM embeddings)"""
+
+
+@query(f"WITH {DAMAGE_SQL} SELECT dataset, reason, count(*) AS n, true AS placed FROM bad WHERE reason IS NOT NULL GROUP BY dataset, reason")
+def audit_bad_lines(spark, sf_dir):
+    """What is wrong with which line: five kinds of damage, each with its place."""
+    _, bad = audit.audited(spark, _damaged(spark, sf_dir))
+    return bad.groupBy("dataset", "reason").agg(F.count("*").alias("n"), (F.count_distinct("file", "line_no") == F.count("*")).alias("placed"))
+
+
+@query(f"""WITH {DAMAGE_SQL}, sizes AS (SELECT dataset, label, count(*) FILTER (reason IS NULL) AS n, count(*) AS lines,
+      count(*) FILTER (reason IS NULL AND label = 4 AND vec_id % 2 = 0) AS cut FROM bad GROUP BY dataset, label),
+    pairs AS (SELECT 'set' || d AS dataset, r FROM range(12) t(d), range(3) u(r)),
+    f AS (SELECT p.dataset, r, unnest([CASE WHEN n IS NULL THEN 'no series' END, CASE WHEN lines > n THEN 'bad lines' END, CASE WHEN label = 3 THEN 'several channels' END,
+      CASE WHEN label = 4 AND cut > 0 AND cut < n THEN 'unequal lengths' END, CASE WHEN r = 2 THEN 'no indices' END,
+      CASE WHEN r = 1 AND label = 5 OR n IS NULL AND r < 2 THEN 'index out of range' END, CASE WHEN r = 0 AND label = 6 THEN 'index twice' END]) AS reason FROM pairs p LEFT JOIN sizes s USING (dataset))
+    SELECT dataset, r AS resample, reason FROM f WHERE reason IS NOT NULL""")
+def audit_failures(spark, sf_dir):
+    """Which data sets and resamples cannot be used, and why: wrong shapes, bad lines, absent data and faulty indices are rows."""
+    good, bad = audit.audited(spark, _damaged(spark, sf_dir))
+    wanted = relational.grid(spark, dataset=[f"set{d}" for d in range(12)], resample=[0, 1, 2]).withColumn("resample", F.col("resample").cast("long"))
+    n = F.when((F.col("dataset") == "set5") & (F.col("resample") == 1), 10 ** 9).otherwise(F.lit(0))
+    twice = F.when((F.col("dataset") == "set6") & (F.col("resample") == 0), F.array(F.lit(0), F.lit(0))).otherwise(F.array(n))
+    indices = wanted.where("resample < 2").select("dataset", "resample", F.explode(twice.cast("array<bigint>")).alias("idx"))
+    return audit.failures(wanted, good, bad, indices)
