@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadix.operators.trees import SHARE, TREES, ExtraTrees
+from dyadix.operators.trees import SHARE, TREES, ExtraTrees, matrix
+from dyadix.sources.shared import written
 
 __all__ = ["ExtraTrees", "RidgeCV", "random_forest"]
 
@@ -18,43 +20,155 @@ def random_forest(seed: int = 0, trees: int = TREES, share: float = SHARE, boots
                                   maxDepth=30, bootstrap=bootstrap, seed=seed)
 
 
+def _points(rows, name: str = "features") -> np.ndarray:
+    column = rows[name]
+    return matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
+
+def _targets(y: np.ndarray, classes: int) -> np.ndarray:
+    return np.where(np.eye(classes)[y] > 0, 1.0, -1.0)
+
+
+def _added(rows):
+    """Vectors of one number ``i``, added up."""
+    return pa.table({"i": rows["i"][:1], "g": pa.array([np.sum([np.frombuffer(r) for r in rows["g"].to_pylist()], axis=0).tobytes()])})
+
+
+def _stacked(parts: DataFrame) -> np.ndarray:
+    """The sum over all tasks of numbered vectors (i, g), one vector a row; executors add, the driver gets each number once."""
+    total = parts.groupBy("i").applyInArrow(_added, "i long, g binary").collect()
+    return np.stack([np.frombuffer(r.g) for r in sorted(total, key=lambda r: r.i)])
+
+
 class RidgeCV:
     """One-vs-rest ridge regression on targets of -1 and 1; the penalty of least leave-one-out error.
 
-    Executors reduce their rows to sums of products, so the driver solves a
-    system of the number of features whatever the number of rows."""
+    Up to ``max_features`` features, executors reduce their rows to sums of products and the driver solves a system of the number
+    of features. With more features but at most ``max_rows`` rows, it solves the dual system of the number of rows: tiles of features are multiplied on
+    executors, each tile of all rows. Beyond both, all penalties and classes are solved together by conjugate gradients,
+    a pass over the rows each step; leave-one-out has no such form, so the penalty is the one of least error on a fifth of the rows, chosen by
+    hash, and is then fitted to all rows."""
 
-    def __init__(self, classes: int, alphas=tuple(np.logspace(-3, 3, 10)), max_features: int = 5000):
-        self.classes, self.alphas, self.max_features = classes, alphas, max_features
+    def __init__(self, classes: int, alphas=tuple(np.logspace(-3, 3, 10)), max_features: int = 5000, max_rows: int = 5000, tile: int = 1024):
+        self.classes, self.alphas, self.max_features, self.max_rows, self.tile = classes, alphas, max_features, max_rows, tile
 
     def fit(self, train: DataFrame) -> RidgeCV:
+        width, rows = train.agg(F.max(F.size("features")), F.count("*")).first()
+        if not rows:
+            raise ValueError("no rows to learn from")
+        if width <= self.max_features:
+            return self._primal(train, width)
+        data = written(train.select(F.col("y").cast("int").alias("y"), F.col("features").cast("array<double>").alias("features"), F.monotonically_increasing_id().alias("id")))
+        return self._dual(data, width) if rows <= self.max_rows else self._iterative(data, width)
+
+    def _dual(self, data: DataFrame, width: int) -> RidgeCV:
+        labels = sorted(map(tuple, data.select("id", "y").collect()))  # max_rows at most
+        place, t = {i: k for k, (i, _) in enumerate(labels)}, _targets(np.array([y for _, y in labels]), self.classes)
+        n, tile = len(labels), self.tile
+        tiles = data.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((width - 1) // tile)), lambda b: F.slice("features", b * tile + 1, tile))).alias("tile", "part"))
+
+        def ordered(rows) -> np.ndarray:
+            x = _points(rows, "part")
+            out = np.empty_like(x)
+            out[[place[i] for i in rows["id"].to_pylist()]] = x
+            return out
+
+        def products(rows):
+            x = ordered(rows)
+            return pa.table({"i": pa.array(range(n), pa.int64()), "g": pa.array([r.tobytes() for r in x @ x.T])})
+
+        kernel = _stacked(tiles.groupBy("tile").applyInArrow(products, "i long, g binary"))
+        mean = kernel.mean(0)
+        values, vectors = np.linalg.eigh(kernel - mean - mean[:, None] + mean.mean())
+        values = values.clip(0)
+        middle = t.mean(0)
+        inner = vectors.T @ (t - middle)
+        losses = []
+        for a in self.alphas:
+            kept = values / (values + a)
+            own = (vectors ** 2) @ kept + 1 / n
+            losses.append((((t - middle - vectors @ (kept[:, None] * inner)) / (1 - own)[:, None]) ** 2).sum())
+        self.alpha = float(self.alphas[int(np.argmin(losses))])
+        weights = vectors @ (inner / (values + self.alpha)[:, None])
+
+        def slopes(key, rows):
+            x = ordered(rows)
+            both = np.vstack([(x - x.mean(0)).T @ weights, x.mean(0) @ ((x - x.mean(0)).T @ weights)[None]])
+            return pa.table({"i": pa.array([key[0].as_py()], pa.int64()), "g": pa.array([both.tobytes()])})
+
+        found = [np.frombuffer(r.g).reshape(-1, self.classes) for r in sorted(tiles.groupBy("tile").applyInArrow(slopes, "i long, g binary").collect(), key=lambda r: r.i)]
+        self.beta = np.vstack([f[:-1] for f in found])
+        self.intercept = middle - np.sum([f[-1] for f in found], axis=0)
+        return self
+
+    def _iterative(self, data: DataFrame, width: int, steps: int = 2000, error: float = 1e-10) -> RidgeCV:
+        k, context = self.classes, data.sparkSession.sparkContext
+        apart = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+
+        def summed(df: DataFrame, make) -> np.ndarray:
+            """The sum of make(x, t) over all rows, as vectors."""
+            def run(batches):
+                total = None
+                for b in batches:
+                    if b.num_rows:
+                        one = make(_points(b), _targets(b["y"].to_numpy(zero_copy_only=False), k))
+                        total = one if total is None else total + one
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array([r.tobytes() for r in total])], ["i", "g"])
+            return _stacked(df.select("y", "features").mapInArrow(run, "i long, g binary"))
+
+        def solved(df: DataFrame, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(slopes of each penalty and class, intercepts): conjugate gradients on the centred system, scaled by its diagonal."""
+            first = summed(df, lambda x, t: np.vstack([x.sum(0), (x * x).sum(0), t.T @ x, np.pad(np.append(t.sum(0), len(x)), (0, x.shape[1] - k - 1))]))
+            n = first[-1, k]
+            mean, middle = first[0] / n, first[-1, :k] / n
+            penalty = np.repeat(alphas, k)
+            scale = (first[1] - n * mean * mean).clip(0)[:, None] + penalty
+            goal = np.tile((first[2:2 + k] - n * np.outer(middle, mean)).T, len(alphas))
+            beta, rest = np.zeros_like(goal), goal.copy()
+            z = rest / scale
+            way, size = z.copy(), (rest * z).sum(0)
+            for _ in range(steps):
+                if (np.linalg.norm(rest, axis=0) <= error * np.maximum(np.linalg.norm(goal, axis=0), 1e-300)).all():
+                    break
+                sent = context.broadcast(way)
+                ahead = summed(df, lambda x, t: ((x - mean).T @ ((x - mean) @ sent.value)).T).T + penalty * way  # noqa: B023
+                sent.unpersist()
+                step = size / np.maximum((way * ahead).sum(0), 1e-300)
+                beta += step * way
+                rest -= step * ahead
+                z = rest / scale
+                new = (rest * z).sum(0)
+                way, size = z + new / np.maximum(size, 1e-300) * way, new
+            else:
+                raise RuntimeError("the ridge system did not settle")
+            return beta, np.tile(middle, len(alphas)) - mean @ beta
+
+        alphas = np.array(self.alphas, float)
+        self.alpha = float(alphas[0])
+        if len(alphas) > 1:
+            slopes = context.broadcast(solved(data.where(~apart), alphas))
+            miss = summed(data.where(apart), lambda x, t: ((x @ slopes.value[0] + slopes.value[1] - np.tile(t, len(alphas))) ** 2).sum(0, keepdims=True))
+            self.alpha = float(alphas[int(miss.reshape(len(alphas), k).sum(1).argmin())])
+        self.beta, self.intercept = solved(data, np.array([self.alpha]))
+        return self
+
+    def _primal(self, train: DataFrame, width: int) -> RidgeCV:
         k = self.classes
 
         def sums(batches):
-            import pyarrow as pa
-
             total = None
             for b in batches:
                 if b.num_rows:
-                    x = np.stack([np.asarray(v.as_py(), float) for v in b["features"]])
-                    t = np.where(np.eye(k)[b["y"].to_numpy(zero_copy_only=False)] > 0, 1.0, -1.0)
+                    x, t = _points(b), _targets(b["y"].to_numpy(zero_copy_only=False), k)
                     z = np.hstack([x, t, np.ones((len(x), 1))])
                     total = z.T @ z if total is None else total + z.T @ z
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array([r.tobytes() for r in total])], ["i", "g"])
 
-        def added(rows):
-            import pyarrow as pa
-
-            return pa.table({"i": rows["i"][:1], "g": pa.array([np.sum([np.frombuffer(r) for r in rows["g"].to_pylist()], axis=0).tobytes()])})
-
-        width = train.agg(F.max(F.size("features"))).first()[0]
-        if width > self.max_features:
-            raise ValueError(f"{width} features; the driver solves systems of up to {self.max_features}")
         n = width + k + 1
         # matrices are added row by row on the executors: the driver gets one, whatever the number of partitions
-        parts = train.select("y", "features").mapInArrow(sums, "i long, g binary").groupBy("i").applyInArrow(added, "i long, g binary")
-        g = np.stack([np.frombuffer(r.g) for r in sorted(parts.collect(), key=lambda r: r.i)])
+        g = _stacked(train.select("y", "features").mapInArrow(sums, "i long, g binary"))
         assert g.shape == (n, n)
         rows, mean = g[-1, -1], g[-1, :-1] / g[-1, -1]
         c = g[:-1, :-1] - rows * np.outer(mean, mean)
@@ -64,14 +178,12 @@ class RidgeCV:
         basis = train.sparkSession.sparkContext.broadcast((vectors, mean, [vectors @ (xy / (values + a)[:, None]) for a in self.alphas], values, list(self.alphas), int(rows)))
 
         def errors(batches):
-            import pyarrow as pa
-
             v, m, betas, w, alphas, count = basis.value
             out = np.zeros(len(alphas))
             for b in batches:
                 if b.num_rows:
-                    x = np.stack([np.asarray(r.as_py(), float) for r in b["features"]]) - m[:len(w)]
-                    t = np.where(np.eye(k)[b["y"].to_numpy(zero_copy_only=False)] > 0, 1.0, -1.0) - m[len(w):]
+                    x = _points(b) - m[:len(w)]
+                    t = _targets(b["y"].to_numpy(zero_copy_only=False), k) - m[len(w):]
                     p = (x @ v) ** 2
                     for i, (a, beta) in enumerate(zip(alphas, betas, strict=True)):
                         own = p @ (1 / (w + a)) + 1 / count

@@ -678,22 +678,47 @@ def extra_trees_predict(spark, sf_dir):
     return ExtraTrees(10).fit(train).transform(test).select("vec_id", "y", metrics.argmax(F.col("proba")).alias("pred"))
 
 
-@query("""SELECT (list_sum(list_transform(embedding[1:4], lambda v: v::DOUBLE)) > 0)::INT AS y, count(*) AS n, true AS above_the_larger_class
-    FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1""")
-def extra_trees_accuracy(spark, sf_dir):
-    """Whether 20 trees learn the sign of the first four points' sum from the features, better than the larger class alone."""
-    from dyadix.operators.classify import ExtraTrees
+SIGN_SQL = "(list_sum(list_transform(embedding[1:{}], lambda v: v::DOUBLE)) > 0)::INT"
 
-    x = F.col("embedding").cast("array<double>")
-    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.aggregate(F.slice(x, 1, 4), F.lit(0.0), lambda a, v: a + v) > 0).cast("int"))
-    f = X.interval_features(e, ["vec_id", "y"], "embedding", LENGTH, "approx", ("raw",))
-    train, test = f.where("vec_id % 3 <> 0"), f.where("vec_id % 3 = 0")
-    out = ExtraTrees(2, trees=20, seed=1).fit(train).transform(test).select("y", metrics.argmax(F.col("proba")).alias("pred"))
+
+def _signs(spark, sf_dir, points, x, length, names):
+    """(train, test) of features of the series ``x(embedding)``, with y: whether the vector's first points add up to more than 0."""
+    own = F.col("embedding").cast("array<double>")
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.aggregate(F.slice(own, 1, points), F.lit(0.0), lambda a, v: a + v) > 0).cast("int"))
+    f = X.interval_features(e.select("vec_id", "y", x(own).alias("x")), ["vec_id", "y"], "x", length, "approx", names)
+    return f.where("vec_id % 3 <> 0"), f.where("vec_id % 3 = 0")
+
+
+def _against_the_larger_class(out):
+    """(y, n, above_the_larger_class): by class of out(y, pred), whether all predictions together beat the larger class."""
     per = out.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("pred")).alias("right"))
     whole = per.agg((F.sum("right") > F.max("n")).alias("above_the_larger_class"), F.lit(1).alias("k"))
     return per.withColumn("k", F.lit(1)).join(F.broadcast(whole), "k").select("y", "n", "above_the_larger_class")  # one row of one verdict
 
 
+@query(f"SELECT {SIGN_SQL.format(4)} AS y, count(*) AS n, true AS above_the_larger_class FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1")
+def extra_trees_accuracy(spark, sf_dir):
+    """Whether 20 trees learn the sign of the first four points' sum from the features, better than the larger class alone."""
+    from dyadix.operators.classify import ExtraTrees
+
+    train, test = _signs(spark, sf_dir, 4, lambda x: x, LENGTH, ("raw",))
+    return _against_the_larger_class(ExtraTrees(2, trees=20, seed=1).fit(train).transform(test).select("y", metrics.argmax(F.col("proba")).alias("pred")))
+
+
+WIDE = sum(len(layout.features(n)) for n in layout.representation_lengths(10 * LENGTH).values())
+
+
+@query(f"SELECT {SIGN_SQL.format(LENGTH)} AS y, count(*) AS n, count(*) AS n_predicted, {WIDE}::BIGINT AS n_features FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1")
+def ridge_wide(spark, sf_dir):
+    """Ridge regression on over 5,000 features, of series of ten waves under the vector: a prediction for every test row."""
+    from dyadix.operators.classify import RidgeCV
+
+    waves = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.transform(x, lambda v, i: v * F.cos(j * i / 10))))
+    train, test = _signs(spark, sf_dir, LENGTH, waves, 10 * LENGTH, layout.REPRESENTATIONS)
+    out = RidgeCV(2).fit(train).transform(test)
+    return out.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("pred").isin(0, 1)).alias("n_predicted"), F.max(F.size("features")).cast("long").alias("n_features"))
+
+
 @query()
 def forest_predict(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
