@@ -395,7 +395,8 @@ def _long(df, key, x, mode, length, names, depth, div):
     table = feature_table(spark, length, depth, div)
     for at, name in enumerate(names):
         n = representation_lengths(length)[name]
-        points = df.select(*key, F.posexplode(R.COLUMNS[name](F.col(x))).alias("t", "y"))
+        y = R.fft_abs_sql(F.col(x), length) if name == "fft_abs" else R.COLUMNS[name](F.col(x))
+        points = df.select(*key, F.posexplode(y).alias("t", "y"))
         own = F.broadcast(table.where(F.col("repr") == name).drop("repr"))
         if mode == "exact":
             held = points.join(F.broadcast(membership_table(spark, n, depth)), "t").groupBy(*key, "interval_id").agg(

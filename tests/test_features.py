@@ -60,6 +60,16 @@ def test_fft_by_sums(spark):
     assert a == pytest.approx(b) and a == pytest.approx(list(np.abs(np.fft.rfft(WORKED))))
 
 
+@pytest.mark.parametrize(("length", "short"), [(3, 128), (97, 128), (15, 0), (16, 0), (31, 0), (37, 0), (74, 0), (120, 0), (256, 128)])
+def test_fft_without_python(spark, monkeypatch, length, short):
+    """Powers of two, odd, small and large prime lengths, and twice a large prime."""
+    monkeypatch.setattr(R, "SHORT", short)
+    x = np.random.default_rng(length).normal(size=(2, length)) + 3
+    df = frame(spark, x)
+    got = [r.a for r in df.select("series_id", R.fft_abs_sql(F.col("x"), length).alias("a")).orderBy("series_id").collect()]
+    assert np.allclose(got, np.abs(np.fft.rfft(x, axis=1)), atol=1e-9)
+
+
 def test_estimator(spark, tmp_path):
     df = frame(spark, [WORKED, WORKED[::-1]])
     model = IntervalQuantiles(mode="exact").fit(df)
