@@ -3,8 +3,8 @@
 The plans give the same values: ``rowwise`` (array functions, no shuffle, no
 Python), ``arrow`` (blocks of rows in NumPy, no shuffle), ``presort`` (the same with one
 sort a series), ``auto`` (``mixed``: each batch chooses) and ``long`` (one row
-per point, an equi-join with the membership table and one hash aggregate: for
-series that arrive as rows). Features are an array per series, so a width of
+per point, hash aggregates by interval or, for moments, by segment: for series that
+arrive as rows). Features are an array per series, so a width of
 tens of thousands is no trouble.
 """
 
@@ -134,7 +134,7 @@ def presorted_block(z: np.ndarray, depth: int = 6, div: int = 4, lower_median: b
 
 @lru_cache(256)
 def _merges(length: int, depth: int) -> list[tuple]:
-    """For each group of intervals that do not overlap: which they are, their segments, the 0/1 matrix that adds segments up, and their points."""
+    """For each group of intervals that do not overlap: which they are, their segments, and the 0/1 matrix that adds segments up."""
     seg, out = segments(length, depth), []
     for ivs in seg.levels:
         first, last = seg.runs[ivs[0]][0], sum(seg.runs[ivs[-1]])
@@ -142,7 +142,7 @@ def _merges(length: int, depth: int) -> list[tuple]:
         for i, iv in enumerate(ivs):
             at, k = seg.runs[iv]
             held[i, at - first:at - first + k] = 1
-        out.append((slice(ivs[0], ivs[-1] + 1), slice(first, last), held, held @ np.array(seg.widths[first:last], float)[:, None]))
+        out.append((slice(ivs[0], ivs[-1] + 1), slice(first, last), held))
     return out
 
 
@@ -169,31 +169,34 @@ def moments_block(z: np.ndarray, depth: int = 6) -> dict[str, np.ndarray]:
     y = np.ascontiguousarray(z.T)
     starts, widths = np.array(seg.starts), np.array(seg.widths)
     n = widths[:, None].astype(float)
-    single = len(starts) == len(y)  # every point is a segment
-    if single:
+    if len(starts) == len(y):  # every point is a segment
         mean = low = high = y
+        m2 = m3 = m4 = np.zeros_like(y)
     else:
         mean = np.add.reduceat(y, starts) / n
         c = y - np.repeat(mean, widths, axis=0)
         c2 = c * c
         m2, m3, m4 = (np.add.reduceat(v, starts) for v in (c2, c2 * c, c2 * c2))
         low, high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
-    out = {k: np.empty((len(seg.runs), len(z))) for k in ("mean", "m2", "m3", "m4")}
-    count = np.empty((len(seg.runs), 1))
-    for own, s, held, total in _merges(z.shape[1], depth):
-        together = held @ (n[s] * mean[s]) / total
+    return _merged({"n": n, "mean": mean, "m2": m2, "m3": m3, "m4": m4, "low": low, "high": high}, z.shape[1], depth)
+
+
+def _merged(of: dict[str, np.ndarray], length: int, depth: int) -> dict[str, np.ndarray]:
+    """Moments of the intervals, (intervals, rows), from those of the segments, (segments, rows); n may be one column for all rows."""
+    n, mean, m2, m3, m4 = (of[k] for k in ("n", "mean", "m2", "m3", "m4"))
+    count = len(intervals(length, depth))
+    out = {k: np.empty((count, mean.shape[1])) for k in ("mean", "m2", "m3", "m4")} | {"n": np.empty((count, n.shape[1]))}
+    for own, s, held in _merges(length, depth):
+        total = held @ n[s]
+        together = held @ (n[s] * mean[s]) / np.maximum(total, 1)
         d = mean[s] - held.T @ together  # a segment of no interval here gets its own mean: it is in no sum
-        d2 = d * d
-        out["mean"][own], count[own] = together, total
-        if single:
-            out["m2"][own], out["m3"][own], out["m4"][own] = held @ d2, held @ (d2 * d), held @ (d2 * d2)
-        else:
-            nd = n[s] * d
-            out["m2"][own] = held @ (m2[s] + nd * d)
-            out["m3"][own] = held @ (m3[s] + d * (3 * m2[s] + nd * d))
-            out["m4"][own] = held @ (m4[s] + d * (4 * m3[s] + d * (6 * m2[s] + nd * d)))
-    out["low"], out["high"] = _extremes(low, high, seg.runs)
-    return out | {"n": count}
+        nd = n[s] * d
+        out["n"][own], out["mean"][own] = total, together
+        out["m2"][own] = held @ (m2[s] + nd * d)
+        out["m3"][own] = held @ (m3[s] + d * (3 * m2[s] + nd * d))
+        out["m4"][own] = held @ (m4[s] + d * (4 * m3[s] + d * (6 * m2[s] + nd * d)))
+    out["low"], out["high"] = _extremes(of["low"], of["high"], segments(length, depth).runs)
+    return out
 
 
 @lru_cache(256)
@@ -339,20 +342,6 @@ def interval_features(df: DataFrame, key: list[str], x: str, length: int, mode:
 MOMENTS = ("n", "mean", "m2", "m3", "m4", "low", "high")
 
 
-def merged_moments(a: Column, b: Column) -> Column:
-    """The moments of two parts together: structs of n, mean, sums of powers about the mean, least and greatest (pairwise update)."""
-    def both(na: Column, nb: Column) -> Column:
-        n, d = na + nb, b["mean"] - a["mean"]
-        return F.struct(
-            n.alias("n"), (a["mean"] + d * nb / n).alias("mean"), (a["m2"] + b["m2"] + d * d * na * nb / n).alias("m2"),
-            (a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (n * n) + 3 * d * (na * b["m2"] - nb * a["m2"]) / n).alias("m3"),
-            (a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (n * n * n) + 6 * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n)
-             + 4 * d * (na * b["m3"] - nb * a["m3"]) / n).alias("m4"),
-            F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"))
-
-    return both(a["n"], b["n"])
-
-
 def segment_moments(points: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
     """``points(key, t, y)``, a stream or not -> (key, segment, *MOMENTS): a point belongs to one segment, found in a literal
     array, and the engine's central-moment aggregates keep and merge the moments. On a stream they are the state."""
@@ -368,18 +357,33 @@ def segment_moments(points: DataFrame, key: list[str], length: int, depth: int =
 
 
 def interval_moments(states: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
-    """``states`` of all of a series' segments -> (key, interval_id, n, mean, var, m3, m4, low, high) of every interval, merged from its segments."""
-    seg = segments(length, depth)
-    parts = states.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("segment", F.struct(*MOMENTS).alias("m")))).alias("parts"))
-    runs = F.lit([a + 1 for a, _ in seg.runs]), F.lit([n for _, n in seg.runs])
-
-    def one(i: Column) -> Column:
-        own = F.transform(F.slice("parts", F.get(runs[0], i), F.get(runs[1], i)), lambda p: p["m"])
-        return F.aggregate(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), F.get(own, F.lit(0)), merged_moments)
-
-    every = parts.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(seg.runs) - 1)), one)).alias("interval_id", "m"))
-    n = F.col("m.n")
-    return every.select(*key, "interval_id", n.cast("long").alias("n"), "m.mean", *[(F.col(f"m.{c}") / n).alias(o) for c, o in (("m2", "var"), ("m3", "m3"), ("m4", "m4"))], "m.low", "m.high")
+    """``states`` of a series' segments -> (key, interval_id, n, mean, var, m3, m4, low, high) of every interval, merged from its segments.
+
+    A segment without points may be missing; an interval without any has n = 0 and nulls."""
+    count, ivs = len(segments(length, depth).widths), len(intervals(length, depth))
+    parts = states.groupBy(*key).agg(F.collect_list(F.struct("segment", *MOMENTS)).alias("p"))  # a few for each of the finest intervals
+    parts = parts.select(*key, *[F.col(f"p.{c}").alias(c) for c in ("segment", *MOMENTS)])
+    schema = "".join(f"`{k}` {t}, " for k, t in parts.dtypes[:len(key)])
+
+    def run(batches):
+        rows = max(1, BATCH_BYTES // (8 * 7 * (count + ivs)))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            at = np.repeat(np.arange(batch.num_rows), np.diff(batch["segment"].offsets.to_numpy()))
+            seg = batch["segment"].flatten().to_numpy()
+            of = {}
+            for c in MOMENTS:
+                of[c] = np.full((count, batch.num_rows), {"low": np.inf, "high": -np.inf}.get(c, 0.0))
+                of[c][seg, at] = batch[c].flatten().to_numpy(zero_copy_only=False)
+            m = _merged(of, length, depth)
+            n = m["n"].T.ravel()
+            own = pa.array(np.repeat(np.arange(batch.num_rows), ivs))
+            none = n == 0
+            columns = [m["mean"], *(m[c] / np.maximum(m["n"], 1) for c in ("m2", "m3", "m4")), m["low"], m["high"]]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[k].take(own) for k in key), pa.array(np.tile(np.arange(ivs, dtype=np.int32), batch.num_rows)), pa.array(n.astype(np.int64)),
+                 *(pa.array(v.T.ravel(), mask=none) for v in columns)], [*key, "interval_id", "n", "mean", "var", "m3", "m4", "low", "high"])
+
+    return parts.mapInArrow(run, schema + "interval_id int, n long, mean double, var double, m3 double, m4 double, low double, high double")
 
 
 def moments_long(points: DataFrame, key: list[str], length: int, depth: int = 6) -> DataFrame:
