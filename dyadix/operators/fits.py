@@ -1,8 +1,9 @@
-"""Curve fits as aggregates: every design matrix of one to three columns is reduced to sums before it leaves the executors."""
+"""Curve fits as aggregates: every design matrix of a few columns is reduced to sums or a triangular factor before it leaves a task."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,32 +39,117 @@ def power_law(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.join(p, keys).groupBy(*keys, "P").agg(F.regr_intercept(F.col(y), z).alias("A"), F.regr_slope(F.col(y), z).alias("C"))
 
 
-def least_squares(df: DataFrame, terms: list[str], y: str) -> tuple[np.ndarray, float, float]:
-    """(coefficients, R2, condition number) of a joint fit of a few terms.
+MERGING = 64  # tasks that merge the factors of one group before the last merge
+HELD_GROUPS = 4096  # groups whose factors a task holds before it hands them on
+
+
+def _factor(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of rows (terms, y): at most as many rows as columns, with the same least-squares solutions."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """(factor, n, mean of y, squared distances from it) of two disjoint sets of rows together."""
+    n = a[1] + b[1]
+    d = b[2] - a[2]
+    return _factor(np.vstack([a[0], b[0]])), n, a[2] + d * b[1] / n, a[3] + b[3] + d * d * a[1] * b[1] / n
+
+
+def _solved(state: tuple, columns: list[int]) -> tuple[list[float], float | None, float]:
+    """(coefficients of the chosen columns, R2, condition number); without spread in y there is no R2."""
+    design, goal = state[0][:, columns], state[0][:, -1]
+    beta, *_ = np.linalg.lstsq(design, goal, rcond=None)
+    miss = float(((goal - design @ beta) ** 2).sum())
+    return beta.tolist(), 1 - miss / state[3] if state[3] > 0 else None, float(np.linalg.cond(design))
 
-    Executors reduce their rows to a triangular factor of at most len(terms) + 1
-    rows per task (ill-conditioned designs lose nothing to squared sums); the
-    driver joins those factors."""
+
+def joint_fits(df: DataFrame, keys: list[str], terms: list[str], y: str, reduced: list[str] | None = None) -> DataFrame:
+    """(*keys, n, beta, r2, condition, reduced_beta, reduced_r2, reduced_condition): least squares of ``y`` on a few terms, by group.
+
+    ``reduced`` names the terms of a second, better conditioned fit, solved from the same factor (null without it). A design
+    of lower rank gets the solution of least norm, as its condition number tells. Rows with a null or non-finite term or value are left
+    out; a null key is a group of its own; an empty table gives no rows; ``keys`` may be empty.
+
+    A task reduces its rows, portion by portion, to one triangular factor a group (nothing is squared, so an
+    ill-conditioned design loses no digits to it). The factors of a group are merged in MERGING tasks, then in one: neither a group
+    that holds all rows nor many groups reach the driver or one task."""
     k = len(terms) + 1
+    small = [terms.index(t) for t in reduced] if reduced else None
+    value = [F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate((*terms, y))]
+    rows = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *value)
+    for i in range(k):
+        rows = rows.where(F.abs(f"__v{i}") < float("inf"))  # neither null nor NaN, which is the largest of all
+    own = [f"__k{i}" for i in range(len(keys))]
+    kinds = "".join(f"{c} {kind}, " for c, kind in rows.dtypes[:len(keys)])
+    state = "__r array<double>, __n long, __mean double, __spread double"
+
+    def packed(found: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        made = [s for _, s in found]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([key[i] for key, _ in found], t) for i, t in enumerate(types)), pa.array([s[0].ravel().tolist() for s in made], pa.list_(pa.float64())),
+             *(pa.array([s[j] for s in made], t) for j, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], [*own, "__r", "__n", "__mean", "__spread"])
 
     def reduce(batches):
-        import pyarrow as pa
-
-        r = np.zeros((0, k))
-        total = np.zeros(3)
+        held: dict[tuple, tuple] = {}
+        types: list[pa.DataType] = []
         for b in batches:
-            m = np.stack([b[c].to_numpy(zero_copy_only=False) for c in (*terms, y)], 1).astype(float)
-            total += len(m), m[:, -1].sum(), (m[:, -1] ** 2).sum()
-            r = np.linalg.qr(np.vstack([r, m]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()]), pa.array([total.tolist()])], ["r", "total"])
-
-    parts = df.select(*terms, y).mapInArrow(reduce, "r array<double>, total array<double>").collect()
-    r = np.linalg.qr(np.vstack([np.array(p.r).reshape(-1, k) for p in parts if p.r] or [np.zeros((k, k))]), mode="r")
-    n, s, ss = np.sum([p.total for p in parts], axis=0)
-    beta, *_ = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)
-    miss = float(((r[:, -1] - r[:, :-1] @ beta) ** 2).sum())
-    spread = ss - s * s / n
-    return beta, 1 - miss / spread if spread > 0 else float("nan"), float(np.linalg.cond(r[:, :-1]))
+            if not b.num_rows:
+                continue
+            types = [b.schema.field(c).type for c in own]
+            m = np.stack([b[f"__v{i}"].to_numpy(zero_copy_only=False) for i in range(k)], 1)
+            if own:
+                at = pa.table({c: b[c] for c in own}).append_column("at", pa.array(np.arange(b.num_rows))).group_by(own, use_threads=False).aggregate([("at", "list")])
+                parts = zip(zip(*(at[c].to_pylist() for c in own), strict=True), at["at_list"].to_pylist(), strict=True)
+            else:
+                parts = [((), slice(None))]
+            for key, chosen in parts:
+                part = m[chosen]
+                one = _factor(part), len(part), float(part[:, -1].mean()), float(((part[:, -1] - part[:, -1].mean()) ** 2).sum())
+                held[key] = _merged(held[key], one) if key in held else one
+            if len(held) > HELD_GROUPS:
+                yield packed(list(held.items()), types)
+                held = {}
+        if held:
+            yield packed(list(held.items()), types)
+
+    def whole(table: pa.Table) -> tuple:
+        out = None
+        for r, n, mean, spread in zip(*(table[c].to_pylist() for c in ("__r", "__n", "__mean", "__spread")), strict=True):
+            one = np.reshape(r, (-1, k)), n, mean, spread
+            out = _merged(out, one) if out else one
+        return out
+
+    def types_of(table: pa.Table) -> list[pa.DataType]:
+        return [table.schema.field(c).type for c in own]
+
+    def merge(key, table):
+        named = tuple(v.as_py() for v in key[:len(own)])
+        return pa.Table.from_batches([packed([(named, whole(table))], types_of(table))])
+
+    def solve(key, table):
+        s = whole(table)
+        beta, r2, condition = _solved(s, list(range(k - 1)))
+        fewer = _solved(s, small) if small else (None, None, None)
+        double, many = pa.float64(), pa.list_(pa.float64())
+        values = [(s[1], pa.int64()), (beta, many), (r2, double), (condition, double), (fewer[0], many), (fewer[1], double), (fewer[2], double)]
+        columns = [*(pa.array([v.as_py()], t) for v, t in zip(key, types_of(table), strict=False)), *(pa.array([v], t) for v, t in values)]
+        return pa.Table.from_arrays(columns, names=[*own, "n", "beta", "r2", "condition", "reduced_beta", "reduced_r2", "reduced_condition"])
+
+    parts = rows.mapInArrow(reduce, kinds + state).withColumn("__task", F.pmod(F.spark_partition_id(), F.lit(MERGING)))
+    merged = parts.groupBy(*own, "__task").applyInArrow(merge, kinds + state)
+    if not own:
+        merged, last = merged.withColumn("__all", F.lit(1)), ["__all"]
+    out = merged.groupBy(*(own or last)).applyInArrow(
+        solve, kinds + "n long, beta array<double>, r2 double, condition double, reduced_beta array<double>, reduced_r2 double, reduced_condition double")
+    return out.withColumnsRenamed(dict(zip(own, keys, strict=True)))
+
+
+def least_squares(df: DataFrame, terms: list[str], y: str) -> tuple[np.ndarray, float, float]:
+    """(coefficients, R2, condition number) of a joint fit of a few terms over the whole table."""
+    found = joint_fits(df, [], terms, y).first()
+    if found is None:
+        raise ValueError("no rows to fit")
+    return np.array(found.beta), float("nan") if found.r2 is None else found.r2, found.condition
 
 
 def threshold(kappa: Column, n_intervals: int, slope_samples: Column, slope_intervals: Column) -> Column:

@@ -208,5 +208,29 @@ def width_basis(length: int, depth: int = 6, div: int = 4) -> dict[str, float]:
             "width": float(np.sum([c["total_width_gt1"] for c in own])), "n_intervals": float(np.sum([c["n_intervals"] for c in own]))}
 
 
+MOMENT_TERMS = ["total_width", "n_quantiles_gt1", "n_intervals"]
+
+
+def moment_basis(length: int, depth: int = 6, div: int = 4) -> list[float]:
+    """MOMENT_TERMS over all representations: points and intervals of any width, quantiles of those that have an expansion."""
+    own = [costmodel.counts(n, depth, div) for n in layout.representation_lengths(length).values()]
+    return [float(sum(c[t] for c in own)) for t in MOMENT_TERMS]
+
+
+def moment_constants(lines: DataFrame, lengths: list[int]) -> DataFrame:
+    """Fact rows (estimator, constant, value, r2, fit) of the processing costs of a point, a quantile and an interval, from lines(estimator, L, slope).
+
+    ``joint_3param`` fits all three. Points and quantiles grow together, so their costs are hard to
+    tell apart; ``robust_2param`` gives the points both shares (c1 with a quantile's cost times quantiles per point)."""
+    spark = lines.sparkSession
+    basis = spark.createDataFrame([(n, *moment_basis(n)) for n in lengths], "L long, " + ", ".join(f"{t} double" for t in MOMENT_TERMS))
+    made = fits.joint_fits(lines.join(F.broadcast(basis), "L"), ["estimator"], MOMENT_TERMS, "slope", ["total_width", "n_intervals"])  # a row a length
+    row = lambda name, fit, beta, at, r2: F.struct(F.lit(name).alias("constant"), F.get(beta, F.lit(at)).alias("value"), F.col(r2).alias("r2"), F.lit(fit).alias("fit"))
+    rows = [row(f"c{i + 1}_tilde", "joint_3param", "beta", i, "r2") for i in range(3)]
+    rows += [row("c1_plus_ratio_c2_tilde", "robust_2param", "reduced_beta", 0, "reduced_r2"), row("c3_tilde", "robust_2param", "reduced_beta", 1, "reduced_r2")]
+    return made.select("estimator", F.explode(F.array(*rows)).alias("c")).select("estimator", "c.*")
+
+
+
 if __name__ == "__main__":
     main()

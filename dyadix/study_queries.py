@@ -279,6 +279,43 @@ def joint_coefficients(spark, sf_dir):
     return Q._round(spark.createDataFrame([(*map(float, beta), float(r2))], "one double, L double, n double, r2 double"), "one", "L", "n", "r2", digits=6)
 
 
+@query("""WITH g AS (SELECT l_returnflag, l_linestatus, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE AS t FROM lineitem),
+    s AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(t) AS mt, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+        covar_pop(a, t) AS ta, covar_pop(b, t) AS tb, var_pop(t) AS tt, avg(a * a) AS qa, avg(b * b) AS qb, avg(a * b) AS qab FROM g GROUP BY ALL),
+    w AS (SELECT *, (ta * bb - tb * ab) / (aa * bb - ab * ab) AS wa, (tb * aa - ta * ab) / (aa * bb - ab * ab) AS wb,
+        (1 + qa + qb) / 3 AS m, ma * ma + mb * mb + qab * qab AS off FROM s),
+    p AS (SELECT *, sqrt((pow(1 - m, 2) + pow(qa - m, 2) + pow(qb - m, 2) + 2 * off) / 6) AS p FROM w),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((1 - m) * ((qa - m) * (qb - m) - qab * qab) - ma * (ma * (qb - m) - qab * mb) + mb * (ma * qab - (qa - m) * mb)) / (2 * p * p * p)))) / 3 AS phi FROM p),
+    e AS (SELECT *, m + 2 * p * cos(phi) AS most, qa * qb + ma * mb * qab * 2 - qa * mb * mb - qab * qab - qb * ma * ma AS det, m + 2 * p * cos(phi + 2 * pi() / 3) AS least FROM r)
+    SELECT l_returnflag, l_linestatus, n, round(mt - wa * ma - wb * mb, 3) AS one, round(wa, 3) AS l_quantity, round(wb, 2) AS l_discount, round((wa * ta + wb * tb) / tt, 6) AS r2,
+        round(sqrt(most * most * (1 + qa + qb - most - least) / det), 1) AS condition, round(mt - ta / aa * ma, 3) AS reduced_one, round(ta / aa, 3) AS reduced_quantity, round(ta * ta / aa / tt, 6) AS reduced_r2 FROM e""")
+def joint_fits_by_group(spark, sf_dir):
+    """The price of an order line by quantity and discount in every group, with two terms too, and how well the three can be told apart."""
+    g = table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1.0))
+    made = fits.joint_fits(g, ["l_returnflag", "l_linestatus"], ["one", "l_quantity", "l_discount"], "l_extendedprice", ["one", "l_quantity"])
+    pick = lambda column, at, digits, name: F.round(F.get(column, F.lit(at)), digits).alias(name)
+    return made.select("l_returnflag", "l_linestatus", "n", pick("beta", 0, 3, "one"), pick("beta", 1, 3, "l_quantity"), pick("beta", 2, 2, "l_discount"), F.round("r2", 6).alias("r2"),
+                       F.round("condition", 1).alias("condition"), pick("reduced_beta", 0, 3, "reduced_one"), pick("reduced_beta", 1, 3, "reduced_quantity"), F.round("reduced_r2", 6).alias("reduced_r2"))
+
+
+MOMENT_LENGTHS = [16, 32, 48, 64, 80, 96]
+MOMENT_BASIS = ", ".join("({}, {}, {}, {})".format(n, *studies.moment_basis(n)) for n in MOMENT_LENGTHS)
+
+
+@query(f"""WITH {RUNS_SQL}, b(L, w, q, i) AS (VALUES {MOMENT_BASIS}),
+    m AS (SELECT estimator, L, n, min(runtime) + n * 3.0 AS t FROM r GROUP BY estimator, L, n), ln AS (SELECT estimator, L, regr_intercept(t / n, 1.0 / n) AS y FROM m GROUP BY estimator, L),
+    s AS (SELECT estimator, sum(w * w) AS ww, sum(w * i) AS wi, sum(i * i) AS ii, sum(w * y) AS wy, sum(i * y) AS iy, count(*) * var_pop(y) AS tt, sum(y * y) AS yy FROM ln JOIN b USING (L) WHERE y IS NOT NULL GROUP BY estimator),
+    f AS (SELECT *, (wy * ii - iy * wi) / (ww * ii - wi * wi) AS c1, (iy * ww - wy * wi) / (ww * ii - wi * wi) AS c3 FROM s)
+    SELECT estimator, 'c1_plus_ratio_c2_tilde' AS constant, round(c1, 6) AS value, round(1 - (yy - c1 * wy - c3 * iy) / tt, 5) AS r2 FROM f
+    UNION ALL SELECT estimator, 'c3_tilde', round(c3, 6), round(1 - (yy - c1 * wy - c3 * iy) / tt, 5) FROM f""")
+def moment_constants_robust(spark, sf_dir):
+    """Costs of a point and an interval from every estimator's fitted lines over six lengths."""
+    minima = Q.runs(spark, sf_dir).groupBy("estimator", "L", "n").agg((F.min("runtime") + F.col("n") * 3.0).alias("t"))
+    lines = fits.setup_and_marginal(minima, ["estimator", "L"]).select("estimator", "L", F.col("marginal").alias("slope"))
+    rows = studies.moment_constants(lines, MOMENT_LENGTHS).where("fit = 'robust_2param'")
+    return rows.select("estimator", "constant", F.round("value", 6).alias("value"), F.round("r2", 5).alias("r2"))
+
+
 # ---- classifiers -------------------------------------------------------------------------------------------------
 
 @query("""WITH x AS (SELECT vec_id, label AS y, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS a, list_sum(list_transform(embedding, lambda v: abs(v::DOUBLE))) AS b FROM embeddings),

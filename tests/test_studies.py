@@ -138,3 +138,42 @@ def test_classifiers_separate(spark, kind):
             return total
 
         assert model.alpha == pytest.approx(min(np.logspace(-3, 3, 10), key=loss)) and z.shape[1] == 13
+
+
+def test_joint_fits_by_group(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for g, n, shift in ((None, 40, 0.0), ("a", 900, 1e6), ("b", 2, 0.0), ("flat", 5, 0.0), ("thin", 60, 0.0)):
+        x = rng.normal(size=(n, 2)) + shift
+        if g == "thin":
+            x[:, 1] = x[:, 0] * 3  # of lower rank
+        t = np.full(n, 7.0) if g == "flat" else 2 + x @ [1.0, -2.0] + rng.normal(size=n)
+        want[g] = (np.column_stack([np.ones(n), x]), t)
+        rows += [(g, 1.0, *map(float, r), float(v)) for r, v in zip(x, t, strict=True)]
+    rows += [("a", 1.0, None, 1.0, 1.0), ("a", 1.0, 1.0, float("nan"), 1.0), ("a", 1.0, 1.0, 1.0, float("inf"))]
+    df = spark.createDataFrame(rows, "n string, one double, a double, b double, t double").repartition(7)
+    got = {r[0]: r for r in fits.joint_fits(df, ["n"], ["one", "a", "b"], "t", ["one", "a"]).collect()}
+    assert set(got) == set(want)
+    for g, (x, t) in want.items():
+        r = got[g]
+        beta = np.linalg.lstsq(x, t, rcond=None)[0]
+        fewer = np.linalg.lstsq(x[:, :2], t, rcond=None)[0]
+        assert r[1] == len(t)
+        assert np.allclose(r.beta, beta, rtol=1e-5, atol=1e-4) and np.allclose(r.reduced_beta, fewer, rtol=1e-5, atol=1e-4)
+        if g == "flat":
+            assert r.r2 is None
+        else:
+            assert r.r2 == pytest.approx(1 - ((t - x @ beta) ** 2).sum() / ((t - t.mean()) ** 2).sum(), abs=1e-6)
+        if g in (None, "a"):
+            assert r.condition == pytest.approx(np.linalg.cond(x), rel=1e-4)
+        if g == "thin":
+            assert r.condition > 1e12
+    assert fits.joint_fits(df.where("false"), ["n"], ["one", "a"], "t").count() == 0
+    assert fits.joint_fits(df, [], ["one", "a"], "t").first().n == sum(len(t) for _, t in want.values()) + 1
+
+
+def test_factors_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(fits, "HELD_GROUPS", 10)
+    df = spark.range(3000).select((F.col("id") % 300).alias("g"), F.lit(1.0).alias("one"), (F.col("id") / 300).alias("x")).withColumn("t", F.col("g") + F.col("g") * F.col("x"))
+    got = fits.joint_fits(df, ["g"], ["one", "x"], "t").collect()
+    assert len(got) == 300 and all(r.n == 10 and np.allclose(r.beta, r.g, atol=1e-8) for r in got)
