@@ -9,10 +9,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadix.operators.trees import SHARE, TREES, ExtraTrees, matrix
+from dyadix.operators.trees import SHARE, TREES, ExtraTrees, Forest, matrix
 from dyadix.sources.shared import written
 
-__all__ = ["ExtraTrees", "RidgeCV", "random_forest"]
+__all__ = ["ExtraTrees", "Forest", "RidgeCV", "random_forest"]
 
 
 def random_forest(seed: int = 0, trees: int = TREES, share: float = SHARE, bootstrap: bool = True) -> RandomForestClassifier:
@@ -61,6 +61,22 @@ class RidgeCV:
         data = written(train.select(F.col("y").cast("int").alias("y"), F.col("features").cast("array<double>").alias("features"), F.monotonically_increasing_id().alias("id")))
         return self._dual(data, width) if rows <= self.max_rows else self._iterative(data, width)
 
+    def fit_block(self, x: np.ndarray, y: np.ndarray) -> RidgeCV:
+        """The same model of rows in memory, by their singular values."""
+        t, n = _targets(y, self.classes), len(y)
+        mean, middle = x.mean(0), t.mean(0)
+        u, s, v = np.linalg.svd(x - mean, full_matrices=False)
+        inner = u.T @ (t - middle)
+        losses = []
+        for a in self.alphas:
+            kept = s * s / (s * s + a)
+            own = (u ** 2) @ kept + 1 / n
+            losses.append((((t - middle - u @ (kept[:, None] * inner)) / (1 - own)[:, None]) ** 2).sum())
+        self.alpha = float(self.alphas[int(np.argmin(losses))])
+        self.beta = v.T @ ((s / (s * s + self.alpha))[:, None] * inner)
+        self.intercept = middle - mean @ self.beta
+        return self
+
     def _dual(self, data: DataFrame, width: int) -> RidgeCV:
         labels = sorted(map(tuple, data.select("id", "y").collect()))  # max_rows at most
         place, t = {i: k for k, (i, _) in enumerate(labels)}, _targets(np.array([y for _, y in labels]), self.classes)

@@ -84,6 +84,11 @@ def all_metrics(df: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
     return out
 
 
+def all_metrics_by_classes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The five scores of ``df(keys, classes, y, pred, proba)``, where each key has its own number of classes."""
+    return all_metrics(df.where("classes = 2"), keys, 2).unionByName(all_metrics(df.where("classes <> 2"), keys, 3))
+
+
 def difference_summary(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     d = F.abs(F.col(a) - F.col(b))
     return df.groupBy(*keys).agg(

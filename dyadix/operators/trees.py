@@ -182,6 +182,57 @@ def grown(x: np.ndarray, y: np.ndarray, classes: int, want: int, seed: int, numb
     return tree
 
 
+def in_own_order(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in an order of their own contents, so that what is drawn by position does not depend on how they arrived."""
+    order = sorted(range(len(y)), key=lambda i: (x[i].tobytes(), y[i]))
+    return x[order], y[order]
+
+
+def _best_cut(x: np.ndarray, hot: np.ndarray, features: np.ndarray) -> tuple[float, int, float]:
+    """(cost, place in ``features``, cut) of least entropy over all cuts between different values; the first of equal ones."""
+    best = (np.inf, -1, 0.0)
+    some = max(1, HELD // (x.shape[0] * hot.shape[1]))
+    for at in range(0, len(features), some):
+        values = x[:, features[at:at + some]]
+        order = np.argsort(values, axis=0, kind="stable")
+        values = np.take_along_axis(values, order, 0)
+        left = hot[order].cumsum(0)
+        cost = np.round(cost_of(left[:-1]) + cost_of(left[-1] - left[:-1]), 9)
+        cost[values[:-1] == values[1:]] = np.inf
+        i = cost.argmin(0)
+        j = int(cost[i, np.arange(len(i))].argmin())
+        if cost[i[j], j] < best[0]:
+            low, high = values[i[j], j], values[i[j] + 1, j]
+            middle = low + (high - low) / 2
+            best = float(cost[i[j], j]), at + j, float(middle if middle < high else low)
+    return best
+
+
+def bagged(x: np.ndarray, y: np.ndarray, classes: int, want: int, seed: int, number: int) -> Tree:
+    """One tree of a random forest, on as many rows drawn with repetition from rows ``in_own_order``: the best cut of ``want`` drawn features that are not constant."""
+    sample = np.repeat(np.arange(len(y)), np.random.default_rng((seed, number)).multinomial(len(y), np.full(len(y), 1 / len(y))))
+    x, hot = x[sample], np.eye(classes, dtype=np.int64)[y[sample]]
+    tree = Tree()
+    level = [(tree.add(hot.sum(0).tolist()), np.arange(len(x)))]
+    while level:
+        after = []
+        for n, rows in level:
+            if np.count_nonzero(tree.counts[n]) < 2:
+                continue
+            order, _ = drawn(seed, number, n, x.shape[1])
+            own = x[rows]
+            features = order[own.max(0)[order] > own.min(0)[order]][:want]
+            if not len(features):
+                continue
+            _, j, cut = _best_cut(own, hot[rows], features)
+            side = own[:, features[j]] <= cut
+            tree.feature[n], tree.cut[n] = int(features[j]), cut
+            tree.down[n] = (tree.add(hot[rows[side]].sum(0).tolist()), tree.add(hot[rows[~side]].sum(0).tolist()))
+            after += [(tree.down[n][0], rows[side]), (tree.down[n][1], rows[~side])]
+        level = after
+    return tree
+
+
 class ExtraTrees:
     """``fit(train(y, features array<double>))``, then ``transform`` adds ``proba``, the mean of the trees' leaves.
 
@@ -189,6 +240,8 @@ class ExtraTrees:
     the one of least entropy is taken (the first of equal ones). A node of one class, or where everything is
     constant, is a leaf. The training rows are written once to the shared folder and read twice a level."""
 
+    one = staticmethod(grown)  # grows one tree of rows in memory
+
     def __init__(self, classes: int, trees: int = TREES, share: float = SHARE, seed: int = 0, local_bytes: int = LOCAL_BYTES):
         self.classes, self.trees, self.share, self.seed, self.local_bytes = classes, trees, share, seed, local_bytes
 
@@ -219,13 +272,15 @@ class ExtraTrees:
 
     def _local(self, data: DataFrame, want: int) -> list[Tree]:
         """Each task grows every ``tasks``-th tree; only nodes reach the driver."""
-        tasks, classes, trees, seed = min(self.trees, LOCAL_TASKS), self.classes, self.trees, self.seed
+        tasks, classes, trees, seed, one = min(self.trees, LOCAL_TASKS), self.classes, self.trees, self.seed, type(self).one
 
         def grow(key, rows):
             whole = rows.combine_chunks()
             x, y = matrix(whole["features"].combine_chunks()), whole["y"].to_numpy().astype(np.int64)
+            if one is bagged:
+                x, y = in_own_order(x, y)
             own = range(key[0].as_py(), trees, tasks)
-            made = [grown(x, y, classes, want, seed, t) for t in own]
+            made = [one(x, y, classes, want, seed, t) for t in own]
             return pa.table({"tree": pa.array(own, pa.int32()), "feature": pa.array([t.feature for t in made], pa.list_(pa.int32())), "cut": pa.array([t.cut for t in made], pa.list_(pa.float64())),
                              "down": pa.array([np.ravel(t.down).tolist() for t in made], pa.list_(pa.int32())), "counts": pa.array([np.ravel(t.counts).tolist() for t in made], pa.list_(pa.int64()))})
 
@@ -311,3 +366,19 @@ class ExtraTrees:
             return pd.Series(list(sum(p[walk(t, x)] for t, p in sent.value) / len(sent.value)))
 
         return df.withColumn("proba", proba("features"))
+
+
+class Forest(ExtraTrees):
+    """A random forest on a training set of at most ``local_bytes``, each task growing some of its trees whole; larger sets are for ``classify.random_forest``."""
+
+    one = staticmethod(bagged)
+
+    def fit(self, train: DataFrame) -> Forest:
+        data = written(train.select(F.col("y").cast("int").alias("y"), F.col("features").cast("array<double>").alias("features")))
+        n, width = data.agg(F.count("*"), F.max(F.size("features"))).first()
+        if not n:
+            raise ValueError("no rows to learn from")
+        if 8 * n * width > self.local_bytes:
+            raise ValueError(f"{8 * n * width} bytes of features: use random_forest")
+        self.model = self._local(data, max(1, int(self.share * width)))
+        return self

@@ -15,11 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadix.operators import classify, fits, metrics, relational
+from dyadix.operators import classify, fitgrid, fits, metrics, relational, trees
 from dyadix.operators.features import interval_features
 from dyadix.operators.quantiles import aggregated
 from dyadix.plans import costmodel, dispatch, layout
 from dyadix.sources import series
+from dyadix.sources.shared import written
 from dyadix.transformer import IntervalQuantiles
 
 SMOKE = os.environ.get("DYADIX_SMOKE") == "1"
@@ -28,6 +29,9 @@ SIZES = [1, 10] if SMOKE else [1, 10, 100, 1000, 10_000]
 RUNS = 1 if SMOKE else 5
 VARIANTS = {"samples": "rowwise", "intervals": "arrow"}
 CLASSIFIERS = ("extra_trees", "random_forest", "ridge")
+N_TREES = 8 if SMOKE else classify.TREES
+SCORES = ["accuracy", "balanced_accuracy", "log_loss", "roc_auc", "f1"]
+STAGE_SECONDS = ["runtime_features_train", "runtime_fit", "runtime_features_test", "runtime_prediction"]
 
 
 def timed(df: DataFrame) -> float:
@@ -74,19 +78,21 @@ def sort_study(spark: SparkSession, lengths=None, runs: int | None = None) -> Da
     return spark.createDataFrame(rows, "L int, variant string, run int, runtime double")
 
 
-def _predict(name: str, train: DataFrame, test: DataFrame, classes: int, seed: int) -> tuple[DataFrame, float, float]:
+def _predict(name: str, train: DataFrame, test: DataFrame, classes: int, seed: int, n_trees: int) -> tuple[DataFrame, float, float]:
     """(test with pred and proba, seconds of the fit, seconds of the prediction)."""
     start = time.perf_counter()
     if name == "ridge":
         model = classify.RidgeCV(classes).fit(train)
         out = model.transform(test).withColumn("proba", metrics.one_hot(F.col("pred"), classes))
     elif name == "extra_trees":
-        model = classify.ExtraTrees(classes, trees=8 if SMOKE else classify.TREES, seed=seed).fit(train)
+        model = classify.ExtraTrees(classes, trees=n_trees, seed=seed).fit(train)
         out = model.transform(test)
+    elif train.agg(F.count("*") * F.max(F.size("features")) * 8).first()[0] <= trees.LOCAL_BYTES:
+        out = classify.Forest(classes, n_trees, seed=seed).fit(train).transform(test)
     else:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
-        model = classify.random_forest(seed, 8 if SMOKE else classify.TREES).fit(train.withColumn("features", array_to_vector("features")))
+        model = classify.random_forest(seed, n_trees).fit(train.withColumn("features", array_to_vector("features")))
         out = model.transform(test.withColumn("features", array_to_vector("features"))).withColumn("proba", vector_to_array("probability"))
     fitted = time.perf_counter()
     out = out.withColumn("pred", metrics.argmax(F.col("proba"))).select("y", "pred", "proba").cache()
@@ -94,7 +100,7 @@ def _predict(name: str, train: DataFrame, test: DataFrame, classes: int, seed: i
     return out, fitted - start, time.perf_counter() - fitted
 
 
-def classification_benchmark(pool: DataFrame, resamples: dict[int, DataFrame], modes=("approx", "exact"), classifiers=CLASSIFIERS) -> DataFrame:
+def classification_benchmark(pool: DataFrame, resamples: dict[int, DataFrame], modes=("approx", "exact"), classifiers=CLASSIFIERS, n_trees: int = N_TREES) -> DataFrame:
     """One row of scores and stage runtimes per dataset, resample, mode and classifier.
 
     ``pool(dataset, pool_id, label, x)`` holds one data set; ``resamples`` maps a
@@ -116,7 +122,7 @@ def classification_benchmark(pool: DataFrame, resamples: dict[int, DataFrame], m
                 made.append(f)
                 seconds.append(time.perf_counter() - start)
             for name in classifiers:
-                out, fit_s, predict_s = _predict(name, made[0], made[1], classes, number)
+                out, fit_s, predict_s = _predict(name, made[0], made[1], classes, number, n_trees)
                 m = metrics.all_metrics(out.withColumn("key", F.lit(1)), ["key"], classes).first()
                 rows.append((dataset, number, f"{mode}/{name}", m.accuracy, m.balanced_accuracy, m.log_loss, m.roc_auc, m.f1,
                              sum(seconds) + fit_s + predict_s, seconds[0], fit_s, seconds[1], predict_s))
@@ -124,6 +130,44 @@ def classification_benchmark(pool: DataFrame, resamples: dict[int, DataFrame], m
     return spark.createDataFrame(rows, series.METRICS)
 
 
+def classification_grid(pool: DataFrame, indices: DataFrame, modes=("approx", "exact"), classifiers=CLASSIFIERS, n_trees: int = N_TREES,
+                        cell_bytes: int = trees.LOCAL_BYTES, tasks: int = fitgrid.TASKS) -> DataFrame:
+    """Scores and stage runtimes (METRICS, with ``error``) of every data set, resample, mode and classifier, in one job.
+
+    ``pool(dataset, pool_id, label, x)`` holds any number of data sets, ``indices(dataset, resample, idx)`` their training rows. Cells whose features
+    take at most ``cell_bytes`` are fitted as tasks of their own; larger data sets go one by one through the distributed classifiers. A data set
+    or cell that cannot be fitted is a row without scores that gives the reason."""
+    spark = pool.sparkSession
+    shape = written(fitgrid.shapes(pool))  # a row a data set
+    lengths = sorted(r.length for r in shape.where("fault is null").select("length").distinct().collect())
+    sized = shape.withColumn("large", fitgrid.feature_bytes(F.col("n"), F.col("length"), lengths) > cell_bytes)
+    keys = ["dataset", "resample", "estimator"]
+    name = F.concat_ws("/", "mode", "classifier")
+    small = pool.join(sized.where("fault is null and not large").select("dataset"), "dataset", "left_semi")
+    made = written(fitgrid.cell_predictions(small, indices, modes, classifiers, n_trees, tasks=tasks).withColumn("estimator", name))
+    fitted = made.where("error is null")
+    seconds = fitted.groupBy(*keys).agg(F.first("seconds").alias("s")).select(
+        *keys, F.aggregate("s", F.lit(0.0), lambda a, v: a + v).alias("runtime"), *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(STAGE_SECONDS)])
+    out = metrics.all_metrics_by_classes(fitted, keys).join(seconds, keys).withColumn("error", F.lit(None).cast("string")).unionByName(
+        made.where("error is not null").select(*keys, "error"), allowMissingColumns=True)
+    cells = indices.select("dataset", F.col("resample").cast("int").alias("resample")).distinct()
+    estimators = F.explode(F.array(*[F.lit(f"{m}/{c}") for m in modes for c in classifiers])).alias("estimator")
+    faulty = cells.join(shape.where("fault is not null"), "dataset").select("dataset", "resample", estimators, F.col("fault").alias("error"))
+    absent = cells.join(shape, "dataset", "left_anti").select("dataset", "resample", estimators, F.lit("no series").alias("error"))
+    out = out.unionByName(faulty, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True)
+    large = sized.where("fault is null and large").select("dataset").join(cells, "dataset").collect()
+    for r in large:  # each of them is over the bound and a distributed job of its own
+        own = indices.where((F.col("dataset") == r.dataset) & (F.col("resample") == r.resample)).select(F.lit(0).alias("line_no"), "idx")
+        for mode in modes:
+            for c in classifiers:
+                try:
+                    one = classification_benchmark(pool.where(F.col("dataset") == r.dataset), {r.resample: own}, (mode,), (c,), n_trees).withColumn("error", F.lit(None).cast("string"))
+                except Exception as e:
+                    one = spark.createDataFrame([(r.dataset, r.resample, f"{mode}/{c}", str(e).splitlines()[0])], "dataset string, resample int, estimator string, error string")
+                out = out.unionByName(one, allowMissingColumns=True)
+    return out.select("dataset", "resample", "estimator", *SCORES, "runtime", *STAGE_SECONDS, "error")
+
+
 def loading_audit(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return series.missing_resamples(wanted, present)
 

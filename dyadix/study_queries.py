@@ -330,6 +330,31 @@ def ridge_two_sums(spark, sf_dir):
     return RidgeCV(10, alphas=(1.0,)).fit(x.where("vec_id % 3 <> 0")).transform(x.where("vec_id % 3 = 0")).select("vec_id", "y", "pred")
 
 
+# ---- the grid of fits --------------------------------------------------------------------------------------------
+
+GRID_CELLS = """v AS (SELECT 'set' || label // 4 AS dataset, vec_id, label FROM embeddings), r AS (SELECT unnest(range(3))::INT AS resample),
+    c AS (SELECT unnest(['extra_trees', 'random_forest', 'ridge']) AS classifier),
+    own AS (SELECT dataset, resample, vec_id, label, (vec_id // 10 + resample) % 3 <> 0 AND NOT (dataset = 'set1' AND resample = 2 AND label = 7) AS train FROM v, r)"""
+
+
+@query(f"""WITH {GRID_CELLS}, cell AS (SELECT dataset, resample, count(*) FILTER (NOT train) AS n_test, count(DISTINCT label) FILTER (train) AS classes,
+      min(label) FILTER (label NOT IN (SELECT label FROM own AS o WHERE o.train AND o.dataset = own.dataset AND o.resample = own.resample)) AS unknown FROM own GROUP BY dataset, resample)
+    SELECT dataset, resample, 'approx/' || classifier AS estimator, CASE WHEN unknown IS NULL THEN 1.0::DOUBLE END AS accuracy, CASE WHEN unknown IS NULL THEN 1.0::DOUBLE END AS balanced_accuracy,
+      CASE WHEN unknown IS NULL THEN 1.0::DOUBLE END AS roc_auc, CASE WHEN unknown IS NULL THEN 1.0::DOUBLE END AS f1, unknown IS NULL AS timed, 'unknown label ' || unknown AS error FROM cell, c""")
+def classification_grid(spark, sf_dir):
+    """Three classifiers over three resamples of three data sets, fitted as tasks of one job, on vectors to which each label adds a wave of its own: every
+    test row must be told right, and a resample whose training rows lack a label is a row with the reason."""
+    e = table(spark, sf_dir, "embeddings")
+    wave = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: v + 3 * F.cos((F.col("label") + 1) * i / 4))
+    pool = e.select(F.concat(F.lit("set"), F.floor(F.col("label") / 4)).alias("dataset"), F.col("vec_id").alias("pool_id"), "label", wave.alias("x"))
+    every = pool.select("dataset", "pool_id", "label", F.explode(F.array(*[F.lit(r) for r in range(3)])).alias("resample"))
+    lacks = (F.col("dataset") == "set1") & (F.col("resample") == 2) & (F.col("label") == 7)
+    indices = every.where((F.floor(F.col("pool_id") / 10) + F.col("resample")) % 3 != 0).where(~lacks).select("dataset", "resample", F.col("pool_id").alias("idx"))
+    out = studies.classification_grid(pool, indices, ("approx",), n_trees=20, tasks=32)
+    scores = ["accuracy", "balanced_accuracy", "roc_auc", "f1"]
+    return out.select("dataset", "resample", "estimator", *[F.round(s, 9).alias(s) for s in scores], F.coalesce(F.col("runtime") > 0, F.lit(False)).alias("timed"), "error")
+
+
 # ---- data sets of many lengths -----------------------------------------------------------------------------------
 
 MIXED = (16, 24, 32, 48, 64)
