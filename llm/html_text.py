@@ -11,7 +11,9 @@ Defined cases: null html counts as empty and gives an empty text; character
 references are decoded once, white space inside a block becomes one space, empty
 blocks vanish; unclosed and misnested tags are tolerated; an unclosed script,
 style or comment hides the rest; a self-closed icon or frame hides nothing; a
-quote that never closes makes its tag text; pages of any length are read whole, in time that grows with their length; repeated
+quote that never closes makes its tag text; what is left out inside a word or line puts no space
+there; ``<br>`` ends a block; a form around an article or main part is no boilerplate for what follows; a link
+around blocks counts as links until the part that it began in ends, an anchor without href is none; pages of any length are read whole, in time that grows with their length; repeated
 rows are extracted each.
 """
 
@@ -45,6 +47,11 @@ BAD_NAMES = set(
 GOOD_NAMES = set("article articlebody body content entry main maincontent post story text".split())
 #: Parts that say nothing by themselves: "site-footer" is a footer, "has-sidebar" or "overflow-hidden" is none.
 PLAIN_PARTS = set("area bar block box btn button container content group inner item items js left list main new outer page post right section site text top bottom user widget wrap wrapper".split())
+#: "related-article" is another article, "article-related" or "privacy-article" may be this one.
+OTHERS = set("ad ads advert adverts comment comments promo promoted recommended related reply replies sidebar sponsor sponsored teaser".split())
+MANY = set("articles entries posts stories".split())
+ARTICLE_NAMES = set("article articlebody entry main maincontent post story".split())
+HREF = re.compile(r"(?<![\w-])href\b", re.I)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 EMBEDDED = set("svg iframe object canvas math".split())  # self-closed ones hold no text
@@ -55,19 +62,29 @@ FEATURES = ("words", "links", "before_words", "before_links", "after_words", "af
 def is_boilerplate(value: str) -> bool:
     """Whether some whole name of a class or id attribute is made of boilerplate and plain parts only."""
     for token in value.split():
-        parts = {x.lower() for x in NAME_PARTS(token)}
+        listed = [x.lower() for x in NAME_PARTS(token)]
+        parts = set(listed)
         if not parts.isdisjoint(BAD_NAMES) and parts <= BAD_NAMES | PLAIN_PARTS:
             return True
+        if len(listed) > 1 and listed[0] in OTHERS and parts <= BAD_NAMES | PLAIN_PARTS | GOOD_NAMES | MANY:
+            return True
     return False
 
 
+def is_article(token: str) -> bool:
+    """Whether a whole name of a class or id attribute says that this is the article."""
+    parts = {x.lower() for x in NAME_PARTS(token)}
+    return parts <= GOOD_NAMES and not parts.isdisjoint(ARTICLE_NAMES)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
     """(text, words, words in links, boilerplate around it, main text around it, heading) of each block with text."""
     out: list[tuple[str, int, int, int, int, bool]] = []
-    stack: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int, int]] = []  # tag, boilerplate, main text, boilerplate as a form only
     text: list[str] = []
     linked: list[str] = []
-    in_link = False
+    forms: list[int] = []  # places of forms on the stack, since the last article
+    in_link, link_depth = False, 0
     heading = False
 
     def close():
@@ -91,20 +108,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
         if not name:
             if m[0].startswith("<![CDATA["):
                 text.append(html.escape(m[0][9:].removesuffix("]]>")))
-            elif m[1] and m[1].lower() in ("script", "style", "title", "select", "button", "textarea"):
-                text.append(" ")
             continue
         if name == "a":
-            in_link = not m[2]
+            in_link, link_depth = not m[2] and HREF.search(m[4]) is not None, len(stack)
             continue
         if name in INLINE or name in EMBEDDED and m[4].rstrip().endswith("/"):
             continue
         close()
-        in_link = False
         if m[2]:
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
+                in_link &= len(stack) >= link_depth  # a link goes around blocks, but ends with the part that it began in
             heading = False
         else:
             heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
@@ -113,14 +128,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, bool]]:
             if name == "p":  # a new paragraph closes an open one
                 while stack and stack[-1][0] == "p":
                     stack.pop()
-            bad, good = name in BAD_TAGS, name in GOOD_TAGS
+                in_link &= len(stack) >= link_depth
+            bad, good, whole, named = name in BAD_TAGS, name in GOOD_TAGS, name in GOOD_TAGS, False
             for a in ATTRIBUTE.finditer(m[4]) if m[4] else ():
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "hidden":
-                    bad = True
-                bad |= name not in WHOLE and name not in HEADINGS and is_boilerplate(value)
+                    bad = named = True
+                if name not in WHOLE and name not in HEADINGS and is_boilerplate(value):
+                    bad = named = True
                 good |= not {x.lower() for x in NAME_PARTS(value)}.isdisjoint(GOOD_NAMES)
-            stack.append((name, int(bad), int(good and not bad)))
+                whole |= any(is_article(token) for token in value.split())
+            if whole and not bad:  # a form around an article is the page's frame
+                for i in forms:
+                    if i < len(stack):
+                        stack[i] = (stack[i][0], stack[i][1] - stack[i][3], stack[i][2], 0)
+                forms.clear()
+            if name == "form" and not named:
+                forms.append(len(stack))
+            stack.append((name, int(bad), int(good and not bad), int(name == "form" and not named)))
     rest = page[at:]
     if rest:
         text.append(rest)

@@ -656,3 +656,55 @@ def test_pipeline(spark, tmp_path):
     ids = [r.doc_id for r in out["encode"].collect()]
     assert set(ids) <= near and len(ids) == out["mixing"].count() > 0.7 * len(near)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(ids)
+
+
+def test_html_frames_and_links():
+    from llm.html_text import blocks, grow, labelled_blocks, main_text
+
+    tree = grow(*labelled_blocks())
+    text = lambda page: main_text(page, tree)
+    assert text("<article><p>wo<script>x</script>rd, b<button>y</button>ook<!-- z -->s</p></article>") == "word, books"
+    inside = "<p>The long story of a town that had no name.</p><p>It has a second part.</p>"
+    story = "The long story of a town that had no name.\nIt has a second part."
+    for part in ("article", "main", "div class='post-body'"):
+        name = part.split()[0]
+        assert text(f"<form id='page'><nav><p>Menu and more</p></nav><{part}>{inside}</{name}><footer>Foot of the page</footer></form>") == story
+        # a form inside the article, and one named as boilerplate around something like an article, stay out
+        assert text(f"<{part}>{inside}<form><p>Your name</p><p>Your mail</p></form></{name}>") == story
+        assert text(f"<{part}>{inside}</{name}><form class='comment-form'><{part}><p>Say what you think of it</p></{name}></form>") == story
+    for other in ("related-article", "related-posts", "sponsored-content", "promoStory", "comment-body"):
+        assert text(f"<main>{inside}<div class='{other}'><p>Another story about another town</p></div></main>") == story
+    for own in ("article-related-to-nothing", "privacy-article", "post-content"):
+        assert text(f"<main><div class='{own}'>{inside}</div></main>") == story
+    assert text(f"<main>{inside}<a href='/x'><div>Read also this one</div></a></main>") == story
+    found = blocks("<p><a href=/a>one two</p><p>three</p><a name=top><p>four <a href=/b>five</a></p>")
+    assert [(b[0], b[2]) for b in found] == [("one two", 2), ("three", 0), ("four five", 1)]
+    import time
+
+    began = time.time()
+    assert text("<form><article>" * 60_000 + "end of it all") == "end of it all" and time.time() - began < 20
+
+
+def test_html_generated_pages():
+    """Pages put together at random around a known article, in and out of forms, with every kind of boilerplate between its parts."""
+    import random
+
+    from llm.html_text import grow, labelled_blocks, main_text
+
+    rng, tree = random.Random(7), grow(*labelled_blocks())
+    words = "river town story light market winter bridge letter garden music people morning".split()
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for _ in range(300):
+        parts, want = [], []
+        for _ in range(rng.randint(1, 8)):
+            t = line(rng.choice((2, 9, 40, 120)))
+            want.append(t)
+            parts.append(rng.choice(("<p>{}</p>", "<p>\n {} \t</p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>")).format(t.replace(" ", rng.choice((" ", "  ", "\n")), 1)))
+            parts.append(rng.choice((
+                "", "<script>var a = '<p>no</p>';</script>", f"<aside><p>{line(30)}</p></aside>", f"<div class='related-article'><p>{line(30)}</p></div>",
+                f"<form><p>{line(5)}</p><input></form>", f"<div class='ad'>{line(12)}</div>", f"<section class='comments'><article><p>{line(60)}</p></article></section>")))
+        shell = rng.choice(("<article>{}</article>", "<main><div>{}</div></main>", "<div class='post-content'>{}</div>"))
+        page = f"<header><p>{line(4)}</p></header><nav><a href=/>{line(2)}</a></nav>" + shell.format("".join(parts)) + f"<div class='cookie-notice'>{line(40)}</div><footer>{line(9)}</footer>"
+        if rng.random() < 0.5:
+            page = f"<form method=post>{page}</form>"
+        assert main_text(f"<html><head><title>{line(3)}</title></head><body>{page}</body></html>", tree) == "\n".join(want)
