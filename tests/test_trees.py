@@ -86,3 +86,54 @@ def _edges(spark, local):
     with pytest.raises(ValueError):
         ExtraTrees(2, trees=1, local_bytes=local).fit(same.where("y > 5"))
     assert ExtraTrees(2, trees=1, local_bytes=local).fit(same).transform(same.where("y > 5")).select(F.size("proba")).count() == 0
+
+
+@pytest.mark.parametrize("kind", [ExtraTrees, trees.Forest])
+def test_parts_below_a_bound(spark, kind):
+    """Large nodes cut level by level, all that is below them grown in tasks: every row ends in a leaf of its own kind, however the rows are dealt out."""
+    x, y = made(5, n=300)
+    x[150:] = x[:150]  # equal rows
+    y[150:] = y[:150]
+    rows = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(y, x))], "i int, y int, features array<double>")
+    found = []
+    for n in (1, 5):
+        model = kind(3, trees=4, share=0.3, seed=7, local_bytes=8 * 12 * 100).fit(rows.repartition(n))
+        assert model.parts.count() >= 8 and all(sum(t.counts[i]) <= 100 for t, own in zip(model.model, model.handed) for i in own)
+        found.append({r.i: r.proba for r in model.transform(rows.repartition(n)).collect()})
+    assert found[0] == found[1] and len(found[0]) == 300
+    proba = np.array([found[0][i] for i in range(300)])
+    assert np.allclose(proba.sum(1), 1)
+    assert (proba.argmax(1) == y).mean() > 0.95
+    if kind is ExtraTrees:
+        assert (proba.max(1) == 1).all()  # pure, nothing is constant
+    few = model.transform(rows.where("i < 3").withColumn("y", F.lit(None).cast("int"))).collect()
+    assert len(few) == 3 and all(r.proba == found[0][r.i] for r in few)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_growth_of_all_nodes_of_a_level(exact):
+    x, y = made(6, n=200)
+    x[:, 0] = np.round(x[:, 0], 1)
+    sample = np.sort(np.random.default_rng(1).integers(0, 200, 260))
+    feature, cut, down, counts = trees.below(x, y, sample, 3, 12, (0, 1), exact)
+    assert np.array_equal(counts[0], np.bincount(y[sample], minlength=3))
+    inner = feature >= 0
+    assert np.array_equal(counts[down[inner]].sum(1), counts[inner]) and (counts > 0).sum(1)[~inner].max() == 1
+    assert np.array_equal(counts[walk((feature, cut, down), x[sample])].argmax(1), y[sample])
+    if exact:  # the first cut against every cut of every feature
+        u, v = x[sample], np.eye(3, dtype=int)[y[sample]]
+        costs = [float(trees.cost_of(v[u[:, f] <= c].sum(0)) + trees.cost_of(v[u[:, f] > c].sum(0))) for f in range(12) for c in np.unique(u[:, f])[:-1]]
+        assert float(trees.cost_of(counts[down[0]]).sum()) == pytest.approx(min(costs), abs=1e-6)
+
+
+def test_parts_take_the_time_of_their_rows():
+    """All nodes of a level at once: a node costs no calls of its own."""
+    import time
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(20000, 40)), rng.integers(0, 10, 20000)
+    start = time.perf_counter()
+    trees.below(x, y, np.arange(20000), 10, 4, (0,), False)
+    whole = time.perf_counter()
+    trees.grown(x, y, 10, 4, 0, 0)
+    assert whole - start < (time.perf_counter() - whole) / 2
