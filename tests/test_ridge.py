@@ -55,3 +55,23 @@ def test_iterations_choose_a_penalty(spark):
 def test_no_rows(spark):
     with pytest.raises(ValueError):
         RidgeCV(2).fit(made(spark, 3, 4)[2].where("y > 9"))
+
+
+def test_roads(spark, monkeypatch):
+    """More than 5,000 rows and features need no iterations; few rows still take the dual system."""
+    taken = []
+    for road in ("_primal", "_dual", "_iterative"):
+        monkeypatch.setattr(RidgeCV, road, lambda self, data, width, road=road: taken.append(road))
+    for n, width, want in ((6001, 5654, "_primal"), (500, 5654, "_dual"), (500, 300, "_primal"), (6001, 8193, "_iterative")):
+        RidgeCV(2).fit(spark.range(n).selectExpr("0 AS y", f"array_repeat(0.0D, {width}) AS features"))
+        assert taken.pop() == want
+
+
+def test_portions_change_nothing(spark, monkeypatch):
+    from dyadix.operators import classify
+
+    _, _, df = made(spark, 60, 15, seed=2)
+    a = RidgeCV(3).fit(df)
+    monkeypatch.setattr(classify, "PORTION", 8 * 15 * 7)
+    b = RidgeCV(3).fit(df)
+    assert a.alpha == b.alpha and np.allclose(a.beta, b.beta, atol=1e-9)
