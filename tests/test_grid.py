@@ -79,3 +79,12 @@ def test_ridge_block_equals_the_sums(spark):
         rows = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(y, x, strict=True)], "y int, features array<double>")
         a, b = RidgeCV(3).fit(rows), RidgeCV(3).fit_block(x, y)
         assert a.alpha == b.alpha and np.allclose(a.beta, b.beta, atol=1e-8) and np.allclose(a.intercept, b.intercept, atol=1e-8)
+
+
+def test_large_cells_fail_for_the_same_reasons(spark):
+    """The reasons do not depend on the size at which a data set goes through the distributed classifiers."""
+    pool = _pool(spark, {"good": (30, 16, 2)})
+    indices = _indices(spark, [("good", 1, range(0, 30, 2)), ("good", 2, range(30)), ("good", 3, [99])])
+    found = [{(r.resample, r.estimator): (r.error, r.accuracy) for r in studies.classification_grid(pool, indices, ("approx",), n_trees=2, cell_bytes=b, tasks=4).collect()} for b in (0, 1 << 20)]
+    assert found[0] == found[1] and len(found[0]) == 9
+    assert {e for e, _ in found[0].values()} == {"unknown label b", "no rows to test on", "no rows to learn from"}
