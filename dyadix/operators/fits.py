@@ -40,6 +40,7 @@ def power_law(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 MERGING = 64  # tasks that merge the factors of one group before the last merge
+ROUNDING = 16 * 2.0 ** -52  # share of a value that its computation may change
 HELD_GROUPS = 4096  # groups whose factors a task holds before it hands them on
 
 
@@ -56,11 +57,11 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 
 def _solved(state: tuple, columns: list[int]) -> tuple[list[float], float | None, float]:
-    """(coefficients of the chosen columns, R2, condition number); without spread in y there is no R2."""
+    """(coefficients of the chosen columns, R2, condition number); where y has no spread beyond its own rounding there is no R2."""
     design, goal = state[0][:, columns], state[0][:, -1]
     beta, *_ = np.linalg.lstsq(design, goal, rcond=None)
     miss = float(((goal - design @ beta) ** 2).sum())
-    return beta.tolist(), 1 - miss / state[3] if state[3] > 0 else None, float(np.linalg.cond(design))
+    return beta.tolist(), 1 - miss / state[3] if state[3] > state[1] * (ROUNDING * state[2]) ** 2 else None, float(np.linalg.cond(design))
 
 
 def joint_fits(df: DataFrame, keys: list[str], terms: list[str], y: str, reduced: list[str] | None = None) -> DataFrame:

@@ -177,3 +177,12 @@ def test_factors_of_many_groups(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 300).alias("g"), F.lit(1.0).alias("one"), (F.col("id") / 300).alias("x")).withColumn("t", F.col("g") + F.col("g") * F.col("x"))
     got = fits.joint_fits(df, ["g"], ["one", "x"], "t").collect()
     assert len(got) == 300 and all(r.n == 10 and np.allclose(r.beta, r.g, atol=1e-8) for r in got)
+
+
+def test_no_r2_of_rounding(spark):
+    """Values that differ in their last bit only have no spread to explain."""
+    rows = [(float(i), 3.0 if i % 2 else 3.0000000000000004) for i in range(1, 9)]
+    found = fits.joint_fits(spark.createDataFrame(rows, "a double, y double"), [], ["a"], "y", ["a"]).first()
+    assert found.r2 is None and found.reduced_r2 is None and found.n == 8
+    some = fits.joint_fits(spark.createDataFrame([(a, y + a * 1e-9) for a, y in rows], "a double, y double").selectExpr("1.0D AS one", "a", "y"), [], ["one", "a"], "y").first()
+    assert some.r2 > 0.99
