@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import components, cut, only_wanted, with_rows
@@ -38,6 +38,8 @@ CHOICES = ((BLOCKS - 2, 1, 10, 3), (3, 9, 32, 5), (2, 28, None, 6))
 LANES = 5  # a long holds three counters of 21 bits each: a class may have two million words of a line
 MASK = 1 | 1 << 21 | 1 << 42
 TILE = 2000  # lines of a key that meet in one go
+NEIGHBOURS = 8  # lines of a larger key that each of its lines meets before all others
+STEP, ANCHOR, PIECE = 48, 12, 800  # characters: where lines are cut to be compared, what both have there, a piece at most
 
 
 def normal(line: Column) -> Column:
@@ -90,12 +92,48 @@ def block_keys() -> Column:
     return F.array_compact(F.array(*out))
 
 
+def _bound(na: Column, nb: Column, most: Column) -> Column:
+    """An upper bound of the edit distance: the sum over pieces, cut where ANCHOR characters of ``na`` at each STEP occur near the same place in ``nb``.
+
+    A lambda argument holds what is used twice; beyond ``most`` the sum stays as it is."""
+    def bind(x: Column, use) -> Column:
+        return F.get(F.transform(F.array(x), use), F.lit(0))
+
+    def cost(x: Column, y: Column) -> Column:
+        longer = lambda v: F.greatest(F.char_length(v["x"]), F.char_length(v["y"]))
+        return bind(F.struct(x.alias("x"), y.alias("y")), lambda v: F.when(v["x"] == v["y"], 0).when(longer(v) > PIECE, longer(v)).otherwise(F.levenshtein(v["x"], v["y"])))
+
+    def state(p: Column, q: Column, total: Column) -> Column:
+        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), total.cast("int").alias("total"))
+
+    def step(was: Column, p: Column) -> Column:
+        anchor, gone = F.substr(na, p, F.lit(ANCHOR)), p - was["p"]
+        ahead = was["q"] + gone
+
+        def look(low: Column, size: Column, other: Column) -> Column:
+            def cut_at(at: Column) -> Column:
+                q = at["low"] + at["i"] - 1
+                return F.when(at["i"] > 0, state(p, q, was["total"] + cost(F.substr(na, was["p"], gone), F.substr(nb, was["q"], q - was["q"])))).otherwise(other)
+
+            place = bind(F.greatest(was["q"], low), lambda x: F.struct(x.alias("low"), F.call_function("locate", anchor, F.substr(nb, x, size + ANCHOR)).alias("i")))
+            return bind(place, cut_at)
+
+        # from where nothing was added or lost onwards first: in a line that repeats itself the anchor is in many places
+        reach = F.lit(ANCHOR) + F.floor(gone / 4).cast("int")
+        return F.when(was["total"] > most, was).otherwise(look(ahead, reach, look(ahead - reach, reach, was)))
+
+    one = F.lit(1)
+    starts = F.filter(F.sequence(F.lit(1 + STEP), F.greatest(F.char_length(na), F.lit(1 + STEP)), F.lit(STEP)), lambda p: p <= F.char_length(na) - ANCHOR)
+    rest = lambda v, at: F.substr(v, at, F.char_length(v))
+    return F.aggregate(starts, state(one, one, F.lit(0)), step, lambda was: was["total"] + cost(rest(na, was["p"]), rest(nb, was["q"])))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """pairs(a, b) with a flag ``ok``: the edit similarity of their normal forms reaches the threshold.
 
-    Two lines lose the words that they share at both ends first, which changes
-    no distance. With a bound only a band of the table is walked (-1 says that
-    the bound is passed), so a quarter of the bound is tried before the whole."""
+    Two lines lose the words that they share at both ends first, which changes no distance. The distance
+    of what is left takes time by the square of its length, so it is taken in pieces first, whose distances
+    add up to the whole one or more. Where that passes the bound, the whole one decides."""
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
     longer = F.greatest(F.char_length("na"), F.char_length("nb"))
@@ -108,7 +146,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     ends = tail.withColumn("tail", F.least(F.col("tail"), F.least(F.size("wa"), F.size("wb")) - F.col("head")))
     rest = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
     cored = ends.select("a", "b", "most", rest("wa").alias("na"), rest("wb").alias("nb"))
-    tried = cored.withColumn("near", F.expr("levenshtein(na, nb, cast(most div 4 as int)) >= 0"))
+    tried = cored.withColumn("near", _bound(F.col("na"), F.col("nb"), F.col("most")) <= F.col("most"))
     return tried.select("a", "b", F.expr("case when near then true else levenshtein(na, nb, most) >= 0 end").alias("ok"))
 
 
@@ -119,9 +157,10 @@ def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     of the connected group. Scale: equal lines meet once by a map-side combined
     aggregate, so a line that a third of all documents repeat is one row from
     there on. Inside a block key every line meets the key's smallest line first.
-    Then only lines of one key that are in different connected groups by now
-    meet, in tiles of TILE lines a side: a link inside a group changes no group,
-    so a key shared by many near copies costs as many pairs as it has lines.
+    Then lines of one key that are in different connected groups by now meet:
+    a few neighbours each, and where these leave groups apart all others, in
+    tiles of TILE lines a side. A link inside a group changes no group, so a key
+    shared by many near copies costs a few pairs for each of its lines.
     """
     return _groups(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), similarity).drop("row")
 
@@ -132,10 +171,9 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
         "doc_id", "row", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm")), "rawlines")
 
     distinct = cut(with_simhash(raw.groupBy("id").agg(F.min("norm").alias("norm"))), "simhashes")
-    # dealt by key once: the count and the join below use the same exchange
-    keyed = distinct.select("id", F.explode(block_keys()).alias("key")).repartition("key")
-    low = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    met = cut(keyed.join(low.hint("shuffle_hash"), "key").where("id <> low"), "met")
+    # one exchange and one sort: a key's lines stream past its smallest
+    keyed = distinct.select("id", F.explode(block_keys()).alias("key"))
+    met = cut(keyed.withColumn("low", F.first("id").over(Window.partitionBy("key").orderBy("id"))).where("id <> low"), "met")
 
     near = F.least("len", "len2") >= F.greatest("len", "len2") * F.lit(similarity) - F.lit(1e-9)
     size = distinct.select("id", "len")
@@ -147,18 +185,26 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     found = first.where("ok").select("a", "b")
     # lines of a key that are in one group by now need no other pairs
     so_far = components(found).select(F.col("a").alias("id"), F.col("b").alias("group"))
-    many = cut(met.select("key", "id", "n").union(met.select("key", F.col("low").alias("id"), "n").distinct()).where("n > 2").join(size, "id").join(so_far, "id", "left").select(
+    counts = met.groupBy("key").agg((F.count("*") + 1).alias("n")).where("n > 2")
+    lines = met.select("key", "id").union(met.select("key", F.col("low").alias("id")).distinct()).join(counts, "key")
+    many = cut(lines.join(size, "id").join(so_far, "id", "left").select(
         "key", "id", "n", "len", F.coalesce("group", "id").alias("group")), "many")
-    mixed = many.groupBy("key").agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("key", "one")
-    tiled = cut(many.join(mixed, "key").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "tiled")
+    # first each line meets the lines just before it in a key: what they link needs no other pairs either
+    before = [F.lag(F.struct("id", "len", "group"), j).over(Window.partitionBy("key").orderBy("id")) for j in range(1, NEIGHBOURS + 1)]
+    apart = lambda x: (x["group"] != F.col("group")) & (F.least(x["len"], F.col("len")) >= F.greatest(x["len"], F.col("len")) * F.lit(similarity) - F.lit(1e-9))
+    met_next = _mixed(many).where(F.col("n") > NEIGHBOURS).withColumn("before", F.array(*before)).select("id", "group", F.explode(F.filter("before", apart)).alias("x"))
+    close = cut(met_next.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b"), F.col("group").alias("ga"), F.col("x.group").alias("gb")).dropDuplicates(["a", "b"]), "close")
+    near_by = cut(_similar(close, _with_missing(raw, texts, close), similarity).where("ok").join(close, ["a", "b"]).select("a", "b", "ga", "gb"), "near_by")
+    merged = components(near_by.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("a").alias("group"), F.col("b").alias("now"))
+    many = cut(many.join(merged, "group", "left").select("key", "id", "n", "len", F.coalesce("now", "group").alias("group")), "regrouped")
+    tiled = cut(_mixed(many).withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "tiled")
     tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     rest = tiled.where("group <> one").select("key", F.col("id").alias("a"), F.col("len").alias("len2"), F.col("group").alias("group2"), F.col("tile").alias("ta"), tiles.alias("tb"))
     others = tiled.select("key", F.col("id").alias("b"), "len", "group", F.col("tile").alias("tb"), tiles.alias("ta"))
     pairs = cut(rest.join(others, ["key", "ta", "tb"]).where((F.col("group") != F.col("group2")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id", "left_anti")
-    second = _similar(pairs, texts.unionByName(_texts(raw, missing)), similarity)
-    edges = found.union(second.where("ok").select("a", "b"))
+    second = _similar(pairs, _with_missing(raw, texts, pairs), similarity)
+    edges = found.union(near_by.select("a", "b")).union(second.where("ok").select("a", "b"))
 
     lead = components(edges).select(F.col("a").alias("id"), F.col("b").alias("lead"))
     # the first occurrence of each group: a combined minimum per line, then per group
@@ -176,6 +222,18 @@ def _texts(raw: DataFrame, wanted: DataFrame) -> DataFrame:
     return only_wanted(raw.select("id", "norm"), wanted).groupBy("id").agg(F.min("norm").alias("norm"))
 
 
+def _with_missing(raw: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``texts`` and those that only ``pairs`` want."""
+    missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id", "left_anti")
+    return texts.unionByName(_texts(raw, missing))
+
+
+def _mixed(many: DataFrame) -> DataFrame:
+    """Rows of keys whose lines are in several groups, with the first of these as ``one``."""
+    mixed = many.groupBy("key").agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("key", "one")
+    return many.join(mixed, "key")
+
+
 def drop_fuzzy_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """``docs`` with the text rebuilt from its kept lines (and its lines without wording); other columns as they are."""
     keyed = with_rows(docs)

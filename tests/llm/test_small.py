@@ -613,6 +613,26 @@ def test_lines_recall_against_edit_similarity(spark, tmp_path):
     assert {r.n for r in spark.createDataFrame([(t,) for t in odd], "t string").select(normal(F.col("t")).alias("n")).collect()} == {"hello world"}
 
 
+def test_lines_pieces_bound_the_distance(spark):
+    """The sum over pieces is never below the edit distance, and near it for lines with scattered edits."""
+    from llm.line_dedup import _bound
+
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdeéß"), int(rng.integers(2, 9)))) for _ in range(300)]
+    rows = [("", "x"), ("thor " * 60 + "end", "thor " * 70 + "end"), ("a", "a")]
+    for k in range(60):
+        a = list(rng.choice(words, int(rng.integers(5, 200))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 1 + len(a) // 8))):
+            at = int(rng.integers(0, len(b)))
+            b[at:at + int(rng.integers(0, 2))] = rng.choice(words, int(rng.integers(0, 3)))
+        rows += [(" ".join(a), " ".join(b)), (" ".join(a), " ".join(rng.permutation(a)))]
+    df = spark.createDataFrame([(*r, 10 ** 6) for r in rows], "na string, nb string, most int")
+    got = df.select(_bound(F.col("na"), F.col("nb"), F.col("most")).alias("bound"), F.levenshtein("na", "nb").alias("d")).collect()
+    assert all(r.bound >= r.d for r in got)
+    assert np.median([r.bound - r.d for r in got[3::2]]) <= 3
+
+
 # ---- components and pipeline
 
 def test_components(spark):
