@@ -40,56 +40,70 @@ MASK = 1 | 1 << 21 | 1 << 42
 TILE = 2000  # lines of a key that meet in one go
 NEIGHBOURS = 8  # lines of a larger key that each of its lines meets before all others
 STEP, ANCHOR, PIECE = 48, 12, 800  # characters: where lines are cut to be compared, what both have there, a piece at most
+FAR = 300  # a bound from which on an anchor is looked for as far away as the bound allows
 
 
-def normal(line: Column) -> Column:
+def normal(text: Column) -> Column:
+    """The normal form of a line, or of a text's lines, whose line feeds stay (and spaces beside them)."""
     # a single space before a letter is not matched: a match costs more than the rest of the pass
-    return F.trim(F.regexp_replace(F.lower(line), r" [^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N} ][^\p{L}\p{M}\p{N}]*", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r" [^\p{L}\p{M}\p{N}\n]+|[^\p{L}\p{M}\p{N} \n][^\p{L}\p{M}\p{N}\n]*", " "))
 
 
 def with_simhash(lines: DataFrame) -> DataFrame:
-    """lines(id, norm), one row per id -> (id, len, words, n0.., b0..): length, different words, and each block's words and bits.
+    """lines(id, norm) -> (id, len, p0, p1, n0, n1), one row per id: length, bits of the blocks and their different words, three blocks to a long.
 
     Each different word (a long line's common words would outvote the rest) adds its hash's bits to counters packed three to a long, in the
     block that other bits of the hash name; a bit is set when over half of the
-    block's words have it, and a block without words has the value -1."""
-    h = F.xxhash64("w")
-    words = lines.select("id", F.char_length("norm").alias("len"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select(
-        "id", "len", F.pmod(F.shiftrightunsigned(h, 20), F.lit(BLOCKS)).cast("int").alias("g"), h.alias("h"))
-    sums = words.groupBy("id", "len", "g").agg(
-        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK))).alias(f"s{i}") for i in range(LANES)])
-    # adding 2**20 - 1 - n // 2 to a counter carries into its top bit when it is over n / 2
-    raised = (F.lit((1 << 20) - 1) - F.floor(F.col("n") / 2)) * F.lit(MASK)
-    bits = F.lit(0).cast("long")
-    for i in range(LANES):
-        carried = F.shiftrightunsigned(F.col(f"s{i}") + raised, 20).bitwiseAND(F.lit(MASK))
-        bits = bits.bitwiseOR(F.shiftleft(carried, i))
-    # lanes at 0, 21 and 42 move together: 15 bits side by side
-    packed = bits.bitwiseAND(F.lit(31)).bitwiseOR(F.shiftrightunsigned(bits, 16).bitwiseAND(F.lit(31 << 5))).bitwiseOR(
-        F.shiftrightunsigned(bits, 32).bitwiseAND(F.lit(31 << 10)))
-    blocks = sums.select("id", "len", "g", F.col("n").cast("int").alias("n"), packed.cast("int").alias("b"))
-    own = [F.col("g") == k for k in range(BLOCKS)]
-    return blocks.groupBy("id", "len").agg(
-        F.sum("n").cast("int").alias("words"),
-        *[F.coalesce(F.max(F.when(own[k], F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(BLOCKS)],
-        *[F.coalesce(F.max(F.when(own[k], F.col("b"))), F.lit(-1)).alias(f"b{k}") for k in range(BLOCKS)])
-
-
-def block_keys() -> Column:
-    """The keys of a row of ``with_simhash``: lines that agree in a choice of blocks share one."""
-    words, out = F.col("words"), []
+    block's words have it, and a block without words has the value 0, others 1 and more.
+    Equal lines meet with the 18 bits of each word that count, half as many bytes as their text."""
+    hashed = lines.select("id", F.char_length("norm").alias("len"), F.expr("array_distinct(transform(split(norm, ' '), w -> xxhash64(w)))").alias("h"))
+    bits = "(x & 31L) | (shiftrightunsigned(x, 16) & 992L) | (shiftrightunsigned(x, 32) & 31744L)"
+    packed = hashed.select("id", "len", F.expr(f"transform(h, x -> cast({bits} | shiftleft(pmod(shiftrightunsigned(x, 20), {BLOCKS}L), 15) as int))").alias("h"))
+    words = packed.dropDuplicates(["id"]).select("id", "len", F.explode("h").alias("w")).select(
+        "id", "len", F.shiftright("w", 15).alias("g"), F.expr("(w & 31L) | shiftleft(w & 992L, 16) | shiftleft(w & 31744L, 32)").alias("h"))
+    sums = words.groupBy("id").agg(F.first("len").alias("len"), *[F.expr(f"count_if(g = {k})").alias(f"n_{k}") for k in range(BLOCKS)], *[
+        F.expr(f"sum(if(g = {k}, shiftrightunsigned(h, {i}) & {MASK}L, 0L))").alias(f"s{k}_{i}") for k in range(BLOCKS) for i in range(LANES)])
+
+    def above_half(k: int) -> Column:
+        # adding 2**20 - 1 - n // 2 to a counter carries into its top bit when it is over n / 2
+        raised, out = (F.lit((1 << 20) - 1) - F.shiftright(F.col(f"n_{k}"), 1)) * F.lit(MASK), F.lit(0).cast("long")
+        for i in range(LANES):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}_{i}") + raised, 20).bitwiseAND(F.lit(MASK)), i))
+        return out.alias(f"v{k}")
+
+    def block(k: int) -> Column:
+        # lanes at 0, 21 and 42 move together: 15 bits side by side
+        v = F.col(f"v{k}")
+        side = v.bitwiseAND(F.lit(31)).bitwiseOR(F.shiftrightunsigned(v, 16).bitwiseAND(F.lit(31 << 5))).bitwiseOR(F.shiftrightunsigned(v, 32).bitwiseAND(F.lit(31 << 10)))
+        return F.when(F.col(f"n_{k}") > 0, side + 1).otherwise(0).cast("long").alias(f"b{k}")
+
+    # small steps: the engine compiles no method of over 8,000 bytes
+    kept, blocks = ["id", "len", *[f"n_{k}" for k in range(BLOCKS)]], sums
+    for k in range(BLOCKS):
+        later = [f"s{j}_{i}" for j in range(k + 1, BLOCKS) for i in range(LANES)]
+        blocks = blocks.select(*kept, *[f"v{j}" for j in range(k)], above_half(k), *later)
+    blocks = blocks.select(*kept, *[block(k) for k in range(BLOCKS)])
+    three = lambda v, k: F.col(f"{v}{k}").bitwiseOR(F.shiftleft(F.col(f"{v}{k + 1}"), 21)).bitwiseOR(F.shiftleft(F.col(f"{v}{k + 2}"), 42))
+    return blocks.select("id", "len", three("b", 0).alias("p0"), three("b", 3).alias("p1"), three("n_", 0).alias("n0"), three("n_", 3).alias("n1"))
+
+
+def block_keys(distinct: DataFrame) -> DataFrame:
+    """Rows of ``with_simhash`` -> (id, key): lines that agree in a choice of blocks share a key.
+
+    A choice is a mask over the bits and the counts, so one short expression serves them all."""
+    lane, spec = (1 << 21) - 1, []
     for size, low, high, most in CHOICES:
-        fits = (words >= low) if high is None else words.between(low, high)
-        least = F.least(F.lit(most), F.ceil(words / 2))
-        for k, chosen in enumerate(combinations(range(BLOCKS), size)):
-            held = sum((F.col(f"n{i}") for i in chosen[1:]), F.col(f"n{chosen[0]}"))
-            # small numbers where they do: what is shuffled packs better than hashes
-            if size == 2:
-                key = F.shiftleft(F.col(f"b{chosen[0]}") + F.lit(1).cast("long"), 16) + F.col(f"b{chosen[1]}") + F.lit(1 + (k << 33))
-            else:
-                key = F.shiftrightunsigned(F.xxhash64(*[F.col(f"b{i}") for i in chosen]), 20) + F.lit(size * 32 + k << 44)
-            out.append(F.when(fits & (held >= least), key))
-    return F.array_compact(F.array(*out))
+        for chosen in combinations(range(BLOCKS), size):
+            masks = [sum(lane << 21 * (k % 3) for k in chosen if k // 3 == half) for half in (0, 1)]
+            spec.append(f"struct({masks[0]}L as m0, {masks[1]}L as m1, {low}L as low, {(1 << 40) if high is None else high}L as high, {most}L as most, {len(spec)}L as tag)")
+
+    def total(x: str, y: str) -> Column:
+        return F.expr(" + ".join(f"(shiftright({v}, {21 * k}) & {lane}L)" for v in (x, y) for k in range(3)))
+
+    rows = distinct.select("id", "p0", "p1", "n0", "n1", total("n0", "n1").alias("words"), F.expr(f"explode(array({', '.join(spec)}))").alias("c"))
+    fitting = rows.where("words between c.low and c.high").where(total("(n0 & c.m0)", "(n1 & c.m1)") >= F.least("c.most", F.shiftright(F.col("words") + 1, 1)))
+    # 40 bits of hash and the choice: what is shuffled packs better than whole hashes, and a rare clash is only compared
+    return fitting.select("id", (F.shiftrightunsigned(F.xxhash64(F.expr("p0 & c.m0"), F.expr("p1 & c.m1")), 24) + F.shiftleft(F.col("c.tag"), 40)).alias("key"))
 
 
 def _bound(na: Column, nb: Column, most: Column) -> Column:
@@ -120,7 +134,9 @@ def _bound(na: Column, nb: Column, most: Column) -> Column:
 
         # from where nothing was added or lost onwards first: in a line that repeats itself the anchor is in many places
         reach = F.lit(ANCHOR) + F.floor(gone / 4).cast("int")
-        return F.when(was["total"] > most, was).otherwise(look(ahead, reach, look(ahead - reach, reach, was)))
+        # one long run of a word may be longer or shorter by nearly the whole bound
+        far = F.when(most < FAR, was).otherwise(look(ahead, most - was["total"], look(was["q"], gone, was)))
+        return F.when(was["total"] > most, was).otherwise(look(ahead, reach, look(ahead - reach, reach, far)))
 
     one = F.lit(1)
     starts = F.filter(F.sequence(F.lit(1 + STEP), F.greatest(F.char_length(na), F.lit(1 + STEP)), F.lit(STEP)), lambda p: p <= F.char_length(na) - ANCHOR)
@@ -128,12 +144,13 @@ def _bound(na: Column, nb: Column, most: Column) -> Column:
     return F.aggregate(starts, state(one, one, F.lit(0)), step, lambda was: was["total"] + cost(rest(na, was["p"]), rest(nb, was["q"])))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) with a flag ``ok``: the edit similarity of their normal forms reaches the threshold.
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Those of pairs(a, b) where the edit similarity of their normal forms reaches the threshold.
 
     Two lines lose the words that they share at both ends first, which changes no distance. The distance
     of what is left takes time by the square of its length, so it is taken in pieces first, whose distances
-    add up to the whole one or more. Where that passes the bound, the whole one decides."""
+    add up to the whole one or more. Where that passes the bound, the whole one decides. All answers are
+    written before any is dropped: the optimiser would move a filter below the steps here and write each out at every use of it."""
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
     longer = F.greatest(F.char_length("na"), F.char_length("nb"))
@@ -147,7 +164,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     rest = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
     cored = ends.select("a", "b", "most", rest("wa").alias("na"), rest("wb").alias("nb"))
     tried = cored.withColumn("near", _bound(F.col("na"), F.col("nb"), F.col("most")) <= F.col("most"))
-    return tried.select("a", "b", F.expr("case when near then true else levenshtein(na, nb, most) >= 0 end").alias("ok"))
+    return cut(tried.select("a", "b", F.expr("case when near then true else levenshtein(na, nb, most) >= 0 end").alias("ok")), name).where("ok").select("a", "b")
 
 
 def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
@@ -167,13 +184,13 @@ def fuzzy_line_groups(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
 
 def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     """As fuzzy_line_groups, for rows told apart by ``row``, with that column."""
-    raw = cut(docs.select("doc_id", "row", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")).select(
-        "doc_id", "row", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm")), "rawlines")
+    # whole texts are normalised, as a filter or hash of what is made for each line would make it again
+    raw = cut(docs.select("doc_id", "row", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line_no", "line")).select(
+        "doc_id", "row", "line_no", F.trim("line").alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm")), "rawlines")
 
-    distinct = cut(with_simhash(raw.groupBy("id").agg(F.min("norm").alias("norm"))), "simhashes")
-    # one exchange and one sort: a key's lines stream past its smallest
-    keyed = distinct.select("id", F.explode(block_keys()).alias("key"))
-    met = cut(keyed.withColumn("low", F.first("id").over(Window.partitionBy("key").orderBy("id"))).where("id <> low"), "met")
+    distinct = cut(with_simhash(raw.select("id", "norm")), "simhashes")
+    # one exchange and one sort by a number: a key's lines meet its smallest
+    met = cut(block_keys(distinct).withColumn("low", F.min("id").over(Window.partitionBy("key"))).where("id <> low"), "met")
 
     near = F.least("len", "len2") >= F.greatest("len", "len2") * F.lit(similarity) - F.lit(1e-9)
     size = distinct.select("id", "len")
@@ -181,8 +198,7 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     star = cut(met.select("id", "low").distinct().join(size, "id").join(lows, "low").where(near).select(
         F.col("low").alias("a"), F.col("id").alias("b")), "star")
     texts = cut(_texts(raw, star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
-    first = cut(_similar(star, texts, similarity), "first")
-    found = first.where("ok").select("a", "b")
+    found = _similar(star, texts, similarity, "first")
     # lines of a key that are in one group by now need no other pairs
     so_far = components(found).select(F.col("a").alias("id"), F.col("b").alias("group"))
     counts = met.groupBy("key").agg((F.count("*") + 1).alias("n")).where("n > 2")
@@ -194,7 +210,7 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     apart = lambda x: (x["group"] != F.col("group")) & (F.least(x["len"], F.col("len")) >= F.greatest(x["len"], F.col("len")) * F.lit(similarity) - F.lit(1e-9))
     met_next = _mixed(many).where(F.col("n") > NEIGHBOURS).withColumn("before", F.array(*before)).select("id", "group", F.explode(F.filter("before", apart)).alias("x"))
     close = cut(met_next.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b"), F.col("group").alias("ga"), F.col("x.group").alias("gb")).dropDuplicates(["a", "b"]), "close")
-    near_by = cut(_similar(close, _with_missing(raw, texts, close), similarity).where("ok").join(close, ["a", "b"]).select("a", "b", "ga", "gb"), "near_by")
+    near_by = _similar(close, _with_missing(raw, texts, close), similarity, "near_by").join(close, ["a", "b"])
     merged = components(near_by.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("a").alias("group"), F.col("b").alias("now"))
     many = cut(many.join(merged, "group", "left").select("key", "id", "n", "len", F.coalesce("now", "group").alias("group")), "regrouped")
     tiled = cut(_mixed(many).withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")), "tiled")
@@ -203,8 +219,8 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     others = tiled.select("key", F.col("id").alias("b"), "len", "group", F.col("tile").alias("tb"), tiles.alias("ta"))
     pairs = cut(rest.join(others, ["key", "ta", "tb"]).where((F.col("group") != F.col("group2")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    second = _similar(pairs, _with_missing(raw, texts, pairs), similarity)
-    edges = found.union(near_by.select("a", "b")).union(second.where("ok").select("a", "b"))
+    second = _similar(pairs, _with_missing(raw, texts, pairs), similarity, "second")
+    edges = found.union(near_by.select("a", "b")).union(second)
 
     lead = components(edges).select(F.col("a").alias("id"), F.col("b").alias("lead"))
     # the first occurrence of each group: a combined minimum per line, then per group

@@ -633,6 +633,60 @@ def test_lines_pieces_bound_the_distance(spark):
     assert np.median([r.bound - r.d for r in got[3::2]]) <= 3
 
 
+def test_lines_are_normalised_and_compared_once(spark, monkeypatch):
+    """No plan normalises a line twice, lines are exchanged as bits of their words, and every comparison is written before answers are dropped."""
+    from llm import line_dedup
+
+    plans, cut = {}, line_dedup.cut
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", spy)
+    docs = [(k, f"One line, of SEVERAL words; number {k % 3}\nand another: line") for k in range(9)]
+    assert line_dedup.fuzzy_line_groups(spark.createDataFrame(docs, "doc_id long, text string")).count() == 18
+    assert plans["rawlines"].count("regexp_replace") == 1 and "min(norm" not in plans["simhashes"]
+    compared = {name: plan for name, plan in plans.items() if "levenshtein" in plan}
+    assert set(compared) == {"first", "near_by", "second"}
+    assert not any("levenshtein" in x for plan in compared.values() for x in plan.splitlines() if "Filter" in x)
+
+
+def test_lines_blocks_like_brute_force(spark):
+    """Each block's bits are the majority of its words' hashes, and lines share a key where a choice of blocks agrees."""
+    from itertools import combinations
+
+    from llm.line_dedup import BLOCKS, CHOICES, block_keys, with_simhash
+
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(400)]
+    lines = {i: list(rng.choice(words, int(n))) for i, n in enumerate(rng.integers(1, 60, 40))}
+    for i in range(40, 70):
+        lines[i] = list(lines[i - 40])
+        lines[i][int(rng.integers(len(lines[i])))] = "other"
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in lines.items()] * 2, "id long, norm string")
+    made = with_simhash(df)
+    hashes = {r.w: r.h % 2 ** 64 for r in df.select(F.explode(F.split("norm", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    want, blocks = {}, {}
+    for i, w in lines.items():
+        own = [[hashes[x] for x in set(w) if (hashes[x] >> 20) % BLOCKS == k] for k in range(BLOCKS)]
+        b = [1 + sum(1 << j + 5 * lane for lane in range(3) for j in range(5) if sum(h >> j + 21 * lane & 1 for h in hs) > len(hs) // 2) if hs else 0 for hs in own]
+        n, three = [len(hs) for hs in own], lambda v: sum(x << 21 * j for j, x in enumerate(v))
+        want[i], blocks[i] = (len(" ".join(w)), three(b[:3]), three(b[3:]), three(n[:3]), three(n[3:])), (b, n)
+    assert {r.id: tuple(r)[1:] for r in made.collect()} == want
+    keys = defaultdict(set)
+    for i, (b, n) in blocks.items():
+        for size, low, high, most in CHOICES:
+            if low <= sum(n) <= (high or 10 ** 9):
+                for c in combinations(range(BLOCKS), size):
+                    if sum(n[k] for k in c) >= min(most, (sum(n) + 1) // 2):
+                        keys[c, tuple(b[k] for k in c)].add(i)
+    got = defaultdict(set)
+    for r in block_keys(made).collect():
+        got[r.key].add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, keys.values()))
+
+
 # ---- components and pipeline
 
 def test_components(spark):
