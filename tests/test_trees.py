@@ -137,3 +137,56 @@ def test_parts_take_the_time_of_their_rows():
     whole = time.perf_counter()
     trees.grown(x, y, 10, 4, 0, 0)
     assert whole - start < (time.perf_counter() - whole) / 2
+
+
+def peak_of_shuffles(spark, run):
+    """(what ``run`` returns, the most bytes of shuffle files that it added at any time)."""
+    import threading
+    from pathlib import Path
+
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    done, sizes = threading.Event(), []
+
+    def held():
+        total = 0
+        for f in (f for d in folders for f in Path(d).rglob("shuffle_*.data")):
+            try:
+                total += f.stat().st_size
+            except FileNotFoundError:
+                pass
+        return total
+
+    def watch():
+        while not done.wait(0.05):
+            sizes.append(held())
+
+    before, other = held(), threading.Thread(target=watch)
+    other.start()
+    try:
+        out = run()
+    finally:
+        done.set()
+        other.join()
+    return out, max(sizes) - before
+
+
+@pytest.mark.parametrize("kind", [ExtraTrees])
+def test_disk_does_not_grow_with_the_trees(spark, monkeypatch, kind):
+    """Rows are dealt to the parts of a few trees at a time and no shuffle files stay; the model and its shares are those of all trees at once."""
+    x, y = made(8, n=2000)
+    rows = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(y, x))], "i int, y int, features array<double>").repartition(3)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+
+    def run():
+        model = kind(3, trees=16, share=0.3, seed=7, local_bytes=8 * 12 * 700).fit(rows)
+        proba = {r.i: r.proba for r in model.transform(rows).collect()}
+        return sorted((r.tree, r.node, bytes(r.cut)) for r in model.parts.collect()), proba
+
+    one_tree = 8 * 12 * 2000
+    whole = run()
+    monkeypatch.setattr(trees, "WAVE_BYTES", 2 * one_tree // 4)  # two trees at a time on four cores
+    found, peak = peak_of_shuffles(spark, run)
+    assert found == whole and len(found[1]) == 2000
+    assert peak < 6 * one_tree, (peak, one_tree)
+    assert spark.conf.get(setting, None) == before
